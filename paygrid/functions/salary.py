@@ -16,7 +16,7 @@ SINGLE = f"{R.CURRENCY_SYMBOL}\\s*({R.NUMBER})"
 
 
 def _amount(c: Column) -> Column:
-    return F.try_cast(F.regexp_replace(c, ",", ""), "bigint")
+    return (F.regexp_replace(c, ",", "")).try_cast("bigint")
 
 
 def _symbol_currency(sym: Column) -> Column:
@@ -68,7 +68,7 @@ def reparse_salary(text) -> Column:
     """
     raw = F.col(text) if isinstance(text, str) else text
     plain = normalize_ws(raw)
-    empty = raw.isNull() | (F.trim(raw) == "")
+    empty = raw.isNull() | (plain == "")
     unit = first_match(plain, R.REPARSE_UNIT_RULES, None)
     code = extract(plain, R.CURRENCY_CODE, 1, ci=False)
     first_sym = _symbol_currency(extract(plain, "[$£€]", 0, ci=False))
@@ -79,9 +79,9 @@ def reparse_salary(text) -> Column:
     has_c, has_d, has_k = c_min.isNotNull(), d_min.isNotNull(), k_min.isNotNull()
     currency = (F.when(has_c | has_d, F.coalesce(code, first_sym))
                 .when(has_k, k_code).otherwise(code))
-    lo = (F.when(has_c, _amount(c_min)).when(has_d, F.try_cast(F.regexp_replace(d_min, "\\.", ""), "bigint"))
+    lo = (F.when(has_c, _amount(c_min)).when(has_d, (F.regexp_replace(d_min, "\\.", "")).try_cast("bigint"))
           .when(has_k, _amount(k_min)))
-    hi = (F.when(has_c, _amount(c_max)).when(has_d, F.try_cast(F.regexp_replace(d_max, "\\.", ""), "bigint"))
+    hi = (F.when(has_c, _amount(c_max)).when(has_d, (F.regexp_replace(d_max, "\\.", "")).try_cast("bigint"))
           .when(has_k, _amount(k_max)))
     null = F.lit(None)
     return F.when(empty, F.struct(null.cast("bigint").alias("salary_min"), null.cast("bigint").alias("salary_max"),

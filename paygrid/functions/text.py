@@ -39,7 +39,8 @@ def html_to_text(c) -> Column:
     decode entities, join text runs with single spaces."""
     h = _c(c)
     h = F.regexp_replace(h, "(?s)<!--.*?-->", " ")
-    h = F.regexp_replace(h, "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>", " ")
+    for tag in ("script", "style"):
+        h = F.regexp_replace(h, f"(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>", " ")
     h = F.regexp_replace(h, "(?s)<[^>]*>", " ")
     return normalize_ws(html_unescape(h))
 
@@ -47,14 +48,14 @@ def html_to_text(c) -> Column:
 def extract_yoe_max(desc="description_md") -> Column:
     """Max of the leading numbers of every experience mention, kept in 1..25."""
     found = F.regexp_extract_all(_c(desc), F.lit(jpat(R.YOE_PATTERN)), F.lit(1))
-    nums = F.transform(found, lambda x: F.try_cast(x, "int"))
+    nums = F.transform(found, lambda x: (x).try_cast("int"))
     kept = F.filter(nums, lambda x: (x >= R.YOE_MIN) & (x <= R.YOE_MAX))
     return F.array_max(kept)
 
 
 def extract_yoe_first(desc="description_md") -> Column:
     """First ``N years`` (case-sensitive, unbounded)."""
-    return F.try_cast(extract(_c(desc), R.YOE_FIRST_PATTERN, 1, ci=False), "bigint")
+    return extract(_c(desc), R.YOE_FIRST_PATTERN, 1, ci=False).try_cast("bigint")
 
 
 def word_count(desc="description_md") -> Column:

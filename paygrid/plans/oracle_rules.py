@@ -15,6 +15,36 @@ import re
 from paygrid import rules as R
 
 NONWORD = r"[^\p{L}\p{N}_\n]"
+# Java's Unicode white space (what ``(?U)\s`` matches on the Spark side)
+WS_CLASS = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = "[" + WS_CLASS + "]"
+WORD = r"[\p{L}\p{N}_]"
+
+
+def _classes(p: str) -> str:
+    r"""``\s`` and ``\w`` outside brackets -> explicit Unicode classes."""
+    out, i, depth = [], 0, 0
+    while i < len(p):
+        ch = p[i]
+        if ch == "\\" and i + 1 < len(p):
+            tok = p[i:i + 2]
+            if depth == 0 and tok == r"\s":
+                out.append(WS)
+            elif depth == 0 and tok == r"\w":
+                out.append(WORD)
+            else:
+                out.append(tok)
+            i += 2
+            continue
+        if ch == "[":
+            depth += 1
+        elif ch == "]" and depth:
+            depth -= 1
+        out.append(ch)
+        i += 1
+    return "".join(out)
+
+
 BOUND = rf"(?:^|$|{NONWORD})"
 
 # explicit RE2 forms where the generic rewrite would change the meaning
@@ -38,7 +68,7 @@ def re2(pattern: str, ci: bool = True) -> str:
     p = p.replace(r"(?<!\w)", rf"(?:^|{NONWORD})").replace(r"(?!\w)", rf"(?:$|{NONWORD})")
     p = re.sub(r"\\b\(\?=", "(?:", p)
     p = p.replace(r"\b", BOUND)
-    return ("(?mi)" if ci else "(?m)") + p
+    return ("(?mi)" if ci else "(?m)") + _classes(p)
 
 
 def q(s: str) -> str:
