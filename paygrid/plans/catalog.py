@@ -41,12 +41,19 @@ def register(name: str, sql: str | None = None):
 
 def finish(df: DataFrame) -> DataFrame:
     """Round doubles so engine and oracle hash the same values."""
-    cols = [F.round(F.col(f"`{f.name}`"), DIGITS).alias(f.name)
+    cols = [round_half_away(F.col(f"`{f.name}`")).alias(f.name)
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
             for f in df.schema.fields]
     return df.select(*cols)
 
 
+def round_half_away(c):
+    """sign(x) * floor(|x| * 10^d + 0.5) / 10^d in plain double arithmetic, so
+    that both engines round identical doubles identically (no decimal detour)."""
+    scale = 10 ** DIGITS
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(fixture.postings(spark, sf_dir))
 
@@ -54,7 +61,8 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- oracle text
 
 def r2(expr: str) -> str:
-    return f"round(({expr})::double, {DIGITS})"
+    scale = 10 ** DIGITS
+    return f"(sign(({expr})::double) * floor(abs(({expr})::double) * {scale} + 0.5) / {scale})"
 
 
 ENRICHED = f"""postings as ({fixture.POSTINGS_SQL}),

@@ -79,15 +79,17 @@ def sink_postings(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
 def history_frame(df: DataFrame) -> DataFrame:
     """History as it is written: zero/absent salary blank, dates as yyyyMMdd,
     flag as True/False text, rows ordered by first_seen then job_id."""
+    def opt(c):
+        return F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c)
     return (df.select(
-        F.col("job_id").cast("string").alias("job_id"), "title", "location", "department",
+        F.col("job_id").cast("string").alias("job_id"), opt("title"), opt("location"), opt("department"),
         F.nullif(F.col("salary_min"), F.lit(0)).alias("salary_min"),
         F.nullif(F.col("salary_max"), F.lit(0)).alias("salary_max"),
-        "currency", "salary_unit",
+        opt("currency"), opt("salary_unit"),
         F.date_format("first_seen", "yyyyMMdd").alias("first_seen"),
         F.date_format("last_seen", "yyyyMMdd").alias("last_seen"),
         F.when(F.col("is_active"), F.lit("True")).otherwise(F.lit("False")).alias("is_active"),
-        "snapshot_url"))
+        opt("snapshot_url")))
 
 
 def sink_history(df: DataFrame, path: str, mode: str = "overwrite") -> None:
