@@ -54,10 +54,10 @@ def comparables(r: DataFrame, job_id: str) -> DataFrame:
     same = F.col("department") == F.col("t_dept")
     d1, d2, d3 = same & (gap <= R.SCOPE_TOLERANCE), same & (gap <= R.SCOPE_TOLERANCE_WIDE), \
         gap <= R.SCOPE_TOLERANCE_WIDE
-    c1 = cand.select(F.count_if(d1)).scalar()
-    c2 = cand.select(F.count_if(d2)).scalar()
-    tier = (F.when(c1 >= R.MIN_COMPARABLES, F.lit(1))
-            .when(c2 >= R.MIN_COMPARABLES, F.lit(2)).otherwise(F.lit(3)))
+    # both tier counts in one scalar subquery (one extra pass, not two)
+    tier = cand.select(
+        F.when(F.count_if(d1) >= R.MIN_COMPARABLES, F.lit(1))
+         .when(F.count_if(d2) >= R.MIN_COMPARABLES, F.lit(2)).otherwise(F.lit(3))).scalar()
     keep = ((tier == 1) & d1) | ((tier == 2) & d2) | ((tier == 3) & d3)
     return cand.where(keep).select("job_id", "k", "title", "department", "scope_score", "mid",
                                    "salary_min", "salary_max", "description_md", tier.alias("tier"))
@@ -272,7 +272,7 @@ def phrase_overlap(r: DataFrame, job_id: str, roles: int = R.OVERLAP_ROLES) -> D
     t = _target(r, job_id).select("job_id", "k", "description_md", F.lit(0).alias("_p"))
     comps = comparables(r, job_id).select("job_id", "k", "description_md", F.lit(1).alias("_p"))
     cast = (t.unionByName(comps).orderBy("_p", "k").limit(roles)
-             .select("job_id", F.lower(F.coalesce("description_md", F.lit("None"))).alias("d")))
+             .select("job_id", F.lower(F.coalesce("description_md", F.lit("nan"))).alias("d")))
     counts = cast.select("job_id", "d", F.explode(phrases).alias("phrase")).select(
         "job_id", "phrase",
         F.try_divide(F.length("d") - F.length(F.replace("d", F.col("phrase"), F.lit(""))),
