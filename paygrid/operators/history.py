@@ -7,7 +7,7 @@ last_seen, is_active, salary_*, mid_usd, title_department, seniority``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
@@ -259,3 +259,31 @@ def fold_summary(h: DataFrame) -> DataFrame:
     truthy = F.col("salary_min").isNotNull() & (F.col("salary_min") != 0)
     return h.agg(F.count("*").alias("total"), F.count_if(truthy).alias("with_salary"),
                  F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("closed"))
+
+
+# --------------------------------------------------------------------------
+# description backfill
+# --------------------------------------------------------------------------
+
+def needs_description(h: DataFrame | None = None) -> Column:
+    """Content-family title, blank description, non-blank snapshot URL."""
+    blank = F.trim(F.coalesce(F.col("description_md"), F.lit(""))) == ""
+    has_url = F.trim(F.coalesce(F.col("snapshot_url"), F.lit(""))) != ""
+    return C.is_content_family("title") & blank & has_url
+
+
+def backfill_description(h: DataFrame, pages: DataFrame, extract=None) -> DataFrame:
+    """Fill blank descriptions of content-family rows from their landed page.
+
+    The cheap row filter runs before any page is parsed (Catalyst does not
+    move filters across a Python stage), then only the pages of rows that
+    need one are joined by URL.  A missing page leaves an empty text.
+    """
+    from paygrid.functions.text import html_to_text
+    extract = extract or html_to_text
+    need = needs_description(h)
+    todo = h.where(need)
+    texts = pages.select(F.col("url").alias("_url"), extract(F.col("html")).alias("_text"))
+    filled = (todo.join(texts, todo["snapshot_url"] == texts["_url"], "left")
+                  .withColumn("description_md", F.coalesce("_text", F.lit(""))).drop("_url", "_text"))
+    return h.where(~need).unionByName(filled)

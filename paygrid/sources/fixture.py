@@ -67,3 +67,19 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15-column postings table (plus key ``k`` and history columns)."""
     register_tables(spark, sf_dir, ["orders", "customer", "nation", "region", "documents"])
     return spark.sql(POSTINGS_SQL)
+
+
+PAGES_JOIN_SQL = ("left join pages pg on pg.page_id = "
+                  "postings.k % (select count(*) from pages)")
+
+
+def postings_with_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings with an archived page each (``page_id = k mod #pages``): the
+    page URL is the posting's snapshot URL, its HTML the landed snapshot."""
+    from pyspark.sql import functions as F
+    p = postings(spark, sf_dir)
+    pages = table(spark, sf_dir, "pages")
+    n = pages.select(F.count("*")).scalar()
+    return (p.withColumn("_page", F.pmod(F.col("k"), n))
+             .join(pages.select(F.col("page_id").alias("_page"), F.col("url").alias("snapshot_url")), "_page", "left")
+             .drop("_page"))
