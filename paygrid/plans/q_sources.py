@@ -142,3 +142,29 @@ def _backfill(spark, sf):
     h = fixture.postings_with_snapshots(spark, sf)
     out = H.backfill_description(h, fixture.table(spark, sf, "pages"), html_to_text)
     return out.where(is_content_family("title")).select("job_id", "description_md")
+
+# ------------------------------------------------------------ pages (rows-only checks)
+
+from paygrid.functions import salary as SAL  # noqa: E402
+from paygrid.sources import pages as PG  # noqa: E402
+
+register("page_blocks")(lambda spark, sf: PG.page_blocks(fixture.table(spark, sf, "pages")))
+
+register("main_content")(lambda spark, sf: PG.main_content(PG.page_blocks(fixture.table(spark, sf, "pages"))))
+
+register("html_to_markdown")(lambda spark, sf: PG.main_content_markdown(fixture.table(spark, sf, "pages")))
+
+register("html_to_markdown_board")(
+    lambda spark, sf: PG.html_to_markdown(
+        B.scan_board_nested(B.payload_guard(B.board_a_payloads(raw(spark, sf)))), "content_html",
+        keep=["job_id"]))
+
+
+def _salary_block(spark, sf):
+    p = raw(spark, sf)
+    sb = PG.salary_block(PG.page_blocks(PG.salary_pages(p)))
+    return sb.select("page_id", "salary_block", SAL.parse_salary("salary_block").alias("s")).select(
+        "page_id", "salary_block", "s.currency", "s.salary_min", "s.salary_max", "s.salary_unit")
+
+
+register("salary_block")(_salary_block)
