@@ -231,7 +231,7 @@ def pay_percentile(r: DataFrame) -> DataFrame:
                      F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("le"),
                      F.sum("cnt").over(Window.partitionBy("company")).alias("n"))
     return (r.select("job_id", "company", "mid").join(cum, ["company", "mid"])
-             .select("job_id", "company", "mid", (F.col("le") * 100.0 / F.col("n")).alias("percentile")))
+             .select("job_id", "company", "mid", (F.col("le") / F.col("n") * 100.0).alias("percentile")))
 
 
 # --------------------------------------------------------------------------
