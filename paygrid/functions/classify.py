@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
-from paygrid.functions.regex import first_match, jpat, matches
+from paygrid.functions.regex import first_match, fold, jpat, matches, search
 
 
 def _c(c) -> Column:
@@ -86,7 +86,7 @@ def scope_score(desc="description_md") -> Column:
     groups = (R.BUILDER_PATTERNS, R.OWNER_PATTERNS, R.LEADER_PATTERNS, R.CONTRIBUTOR_PATTERNS)
     for weight, pats in zip(R.SCOPE_WEIGHTS, groups):
         for p in pats:
-            total = total + F.when(d.rlike(jpat(p, ci=False)), F.lit(weight)).otherwise(F.lit(0))
+            total = total + F.when(search(d, p, ci=False), F.lit(weight)).otherwise(F.lit(0))
     return F.when(d.isNull(), F.lit(R.SCOPE_BASE)).otherwise(F.greatest(F.lit(0), F.least(F.lit(10), total)))
 
 
@@ -107,12 +107,18 @@ def flag_name(prefix: str, label: str) -> str:
     return f"{prefix}_{safe}"
 
 
-def skill_flags(desc="description_md") -> dict[str, Column]:
-    return {flag_name("skill", lbl): matches(_c(desc), p) for lbl, p in R.SKILL_KEYWORDS}
+def skill_flags(desc="description_md", folded=None) -> dict[str, Column]:
+    """46 keyword flags; pass ``folded`` (a column holding ``fold(desc)``) to
+    share the case-folded text across all prefilters."""
+    d = _c(desc)
+    f = _c(folded) if folded is not None else fold(d)
+    return {flag_name("skill", lbl): matches(d, p, folded=f) for lbl, p in R.SKILL_KEYWORDS}
 
 
-def edu_flags(desc="description_md") -> dict[str, Column]:
-    return {flag_name("edu", lbl): matches(_c(desc), p) for lbl, p in R.EDU_PATTERNS}
+def edu_flags(desc="description_md", folded=None) -> dict[str, Column]:
+    d = _c(desc)
+    f = _c(folded) if folded is not None else fold(d)
+    return {flag_name("edu", lbl): matches(d, p, folded=f) for lbl, p in R.EDU_PATTERNS}
 
 
 def status_label(active="is_active") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
-from paygrid.functions.regex import extract, jpat
+from paygrid.functions.regex import extract, fold, jpat
 
 # FIXED VALUES: the named entities decoded natively (plus decimal / hex numerics
 # of ASCII punctuation); ``&amp;`` last so that double escapes decode once.
@@ -47,10 +47,12 @@ def html_to_text(c) -> Column:
 
 def extract_yoe_max(desc="description_md") -> Column:
     """Max of the leading numbers of every experience mention, kept in 1..25."""
-    found = F.regexp_extract_all(_c(desc), F.lit(jpat(R.YOE_PATTERN)), F.lit(1))
+    d = _c(desc)
+    found = F.regexp_extract_all(d, F.lit(jpat(R.YOE_PATTERN)), F.lit(1))
     nums = F.transform(found, lambda x: (x).try_cast("int"))
     kept = F.filter(nums, lambda x: (x >= R.YOE_MIN) & (x <= R.YOE_MAX))
-    return F.array_max(kept)
+    # every match contains "year": skip the regex scan for rows without it
+    return F.when(fold(d).contains("year"), F.array_max(kept))
 
 
 def extract_yoe_first(desc="description_md") -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paygrid import rules as R
 from paygrid.functions import classify as C
 from paygrid.functions import text as TX
+from paygrid.functions.regex import fold
 from paygrid.operators.common import median, top_k, top_k_per_group
 
 
@@ -22,7 +23,8 @@ def desc_coverage(p: DataFrame) -> DataFrame:
 def _flag_counts(p: DataFrame, flags: dict, labels: list[str], by: list[str]) -> DataFrame:
     """Per-group row count and per-label mention counts, long form."""
     names = list(flags)
-    agg = (p.select(*by, *[f.alias(n) for n, f in flags.items()])
+    agg = (p.select(*by, "description_md", fold(F.col("description_md")).alias("_fold"))
+            .select(*by, *[f.alias(n) for n, f in flags.items()])
             .groupBy(*by)
             .agg(F.count("*").alias("n_rows"),
                  *[F.count_if(n).alias(n) for n in names]))
@@ -35,7 +37,7 @@ def _flag_counts(p: DataFrame, flags: dict, labels: list[str], by: list[str]) ->
 def skill_counts(p: DataFrame, n: int = 30) -> DataFrame:
     """Postings mentioning each skill; zero rows dropped; pct over ALL rows."""
     labels = [lbl for lbl, _ in R.SKILL_KEYWORDS]
-    long = _flag_counts(p, C.skill_flags(), labels, [])
+    long = _flag_counts(p, C.skill_flags(folded="_fold"), labels, [])
     kept = long.where(F.col("n") > 0).select(
         F.col("label").alias("skill"), "n", (F.col("n") * 100.0 / F.col("n_rows")).alias("pct"))
     return top_k(kept, [F.desc("n"), F.asc("skill")], n)
@@ -44,7 +46,7 @@ def skill_counts(p: DataFrame, n: int = 30) -> DataFrame:
 def edu_counts(p: DataFrame) -> DataFrame:
     """Postings per education requirement; zeros kept; pct over all rows."""
     labels = [lbl for lbl, _ in R.EDU_PATTERNS]
-    long = _flag_counts(p, C.edu_flags(), labels, [])
+    long = _flag_counts(p, C.edu_flags(folded="_fold"), labels, [])
     return long.select(F.col("label").alias("requirement"), "n",
                        (F.col("n") * 100.0 / F.col("n_rows")).alias("pct")).orderBy(
         F.desc("n"), "requirement")
@@ -70,12 +72,12 @@ def _dept_matrix(p: DataFrame, flags: dict, labels: list[str], top: int | None)
 
 def dept_skill_matrix(p: DataFrame, top: int = 20) -> DataFrame:
     labels = [lbl for lbl, _ in R.SKILL_KEYWORDS]
-    return _dept_matrix(p, C.skill_flags(), labels, top).withColumnRenamed("label", "skill")
+    return _dept_matrix(p, C.skill_flags(folded="_fold"), labels, top).withColumnRenamed("label", "skill")
 
 
 def dept_edu_matrix(p: DataFrame) -> DataFrame:
     labels = [lbl for lbl, _ in R.EDU_PATTERNS]
-    return _dept_matrix(p, C.edu_flags(), labels, None).withColumnRenamed("label", "requirement")
+    return _dept_matrix(p, C.edu_flags(folded="_fold"), labels, None).withColumnRenamed("label", "requirement")
 
 
 def with_yoe(p: DataFrame) -> DataFrame:

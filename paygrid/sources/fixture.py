@@ -55,7 +55,11 @@ left join documents d on d.doc_id = o.o_orderkey
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:                      # text tables feed per-row CPU work
+        from paygrid.session import spread
+        df = spread(df)
+    return df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
@@ -64,9 +68,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 15-column postings table (plus key ``k`` and history columns)."""
+    """The 15-column postings table (plus key ``k`` and history columns),
+    spread over all cores before any per-row text work."""
+    from paygrid.session import spread
     register_tables(spark, sf_dir, ["orders", "customer", "nation", "region", "documents"])
-    return spark.sql(POSTINGS_SQL)
+    return spread(spark.sql(POSTINGS_SQL))
+
+
+TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 PAGES_JOIN_SQL = ("left join pages pg on pg.page_id = "
