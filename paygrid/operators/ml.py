@@ -35,33 +35,37 @@ def tfidf_matrix(df: DataFrame, text: str = "description_md", keep: list[str] |
     """Returns (frame with ``features``, vocabulary list)."""
     keep = keep or []
     src = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
-    pipe = Pipeline(stages=[
+    tokens = Pipeline(stages=[
         RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"(?U)\b\w\w+\b", gaps=False),
         StopWordsRemover(inputCol="_tok", outputCol="_words"),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="select *, concat(_words, _pairs) as _terms from __THIS__"),
-        CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features,
-                        minDF=float(R.TFIDF_MIN_DF), maxDF=R.TFIDF_MAX_DF),
-        IDF(inputCol="_tf", outputCol="_idf_only"),
-    ])
-    model = pipe.fit(src)
-    vocab = model.stages[4].vocabulary
-    idf = model.stages[5].idf.toArray()
+    ]).fit(src)
+    # the vocabulary fit, the idf fit and the transform each read the terms:
+    # tokenize once and keep the term lists for those three passes
+    terms = tokens.transform(src).select(*keep, "_terms").persist(StorageLevel.MEMORY_AND_DISK)
+    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features,
+                         minDF=float(R.TFIDF_MIN_DF), maxDF=R.TFIDF_MAX_DF).fit(terms)
+    tf = cv.transform(terms)
+    idf = IDF(inputCol="_tf", outputCol="_idf_only").fit(tf).idf.toArray()
     scaled = ElementwiseProduct(scalingVec=DenseVector(idf + 1.0), inputCol="_tf", outputCol="_w")
     norm = Normalizer(p=2.0, inputCol="_w", outputCol="features")
-    out = norm.transform(scaled.transform(model.transform(src))).select(*keep, "features")
-    return out, vocab
+    out = norm.transform(scaled.transform(tf)).select(*keep, "features")
+    out = out.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    terms.unpersist()
+    return out, cv.vocabulary
 
 
 def kmeans_best(features: DataFrame, k: int = R.KMEANS_K, seed: int = R.KMEANS_SEED,
-                restarts: int = R.KMEANS_RESTARTS, parallel: int = 4):
+                restarts: int = R.KMEANS_RESTARTS, parallel: int = 8):
     """k-means with several seeds; keeps the model with the least cost.
 
     The restarts are independent Spark jobs, submitted from a small thread
     pool so the cluster stays busy; the feature frame is persisted once
     for all of them.
     """
-    feats = features.persist(StorageLevel.MEMORY_AND_DISK)
+    feats = features if features.is_cached else features.persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(s):
         m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(feats)
@@ -92,7 +96,6 @@ def svd_2d(df: DataFrame, text: str = "description_md", key: str = "job_id") ->
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     feats, _ = tfidf_matrix(df, text, [key])
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     idx = feats.select(key, "features").rdd.zipWithIndex().persist(StorageLevel.MEMORY_AND_DISK)
     keys = spark.createDataFrame(idx.map(lambda r: (r[1], r[0][0])), f"_i long, {key} string")

@@ -5,14 +5,14 @@ then summed, so each description is scanned once per pattern, not once per
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
 from paygrid.functions import classify as C
 from paygrid.functions import text as TX
 from paygrid.functions.regex import fold
-from paygrid.operators.common import median, top_k, top_k_per_group
+from paygrid.operators.common import SALT_BUCKETS, median, top_k
 
 
 def desc_coverage(p: DataFrame) -> DataFrame:
@@ -162,13 +162,23 @@ def word_freq(p: DataFrame, dept: str = "title_department", text: str = "descrip
     holding a third of all text is still ranked by many tasks.
     """
     d = p.where(F.col(text).isNotNull() & F.col(dept).isNotNull() & (F.col(dept) != "Other"))
-    # joined text = texts + (k-1) separating spaces
-    sizes = d.groupBy(dept).agg((F.sum(F.length(text)) + F.count("*") - 1).alias("chars"))
-    ok = sizes.where(F.col("chars") > R.DEPT_MIN_TEXT).select(dept)
-    toks = d.select(dept, F.explode(F.regexp_extract_all(F.lower(text), F.lit(R.WORD_TOKEN), F.lit(0)))
-                    .alias("word"))
-    toks = toks.where((F.length("word") >= R.WORD_MIN_LEN) & ~F.col("word").isin(R.WORD_FREQ_STOPWORDS))
-    counts = toks.groupBy(dept, "word").agg(F.count("*").alias("n"))
-    counts = counts.join(ok, dept, "left_semi")
-    ranked = top_k_per_group(counts, [dept], [F.desc("n"), F.asc("word")], n, ["word"])
+    # one pass: each text also emits a pseudo-token '' carrying its length + 1,
+    # so the department size test rides in the same aggregation as the counts
+    size_tok = F.array(F.struct(F.lit("").alias("word"), (F.length(text) + 1).alias("chars")))
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(R.WORD_TOKEN), F.lit(0)),
+                        lambda w: F.struct(w.alias("word"), F.lit(0).alias("chars")))
+    toks = d.select(dept, F.explode(F.concat(size_tok, words)).alias("t")).select(dept, "t.word", "t.chars")
+    keep = (F.col("word") == "") | ((F.length("word") >= R.WORD_MIN_LEN) & ~F.col("word").isin(R.WORD_FREQ_STOPWORDS))
+    agg = toks.where(keep).groupBy(dept, "word").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    # salted two-stage top-k; the size row sorts first in its bucket so the
+    # second stage (<= n * buckets rows per department) can test the size
+    is_size = F.col("word") == ""
+    salt = F.pmod(F.hash("word"), F.lit(SALT_BUCKETS))
+    w1 = Window.partitionBy(dept, "_salt").orderBy(F.desc(is_size), F.desc("n"), F.asc("word"))
+    s1 = (agg.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+             .where(F.col("_r1") <= n + 1))
+    size = F.max(F.when(is_size, F.col("chars"))).over(Window.partitionBy(dept))
+    s2 = s1.withColumn("_size", size).where(~is_size & (F.col("_size") - 1 > R.DEPT_MIN_TEXT))
+    w2 = Window.partitionBy(dept).orderBy(F.desc("n"), F.asc("word"))
+    ranked = s2.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
     return ranked.select(F.col(dept).alias("department"), "word", "n", "rank")

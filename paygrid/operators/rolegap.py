@@ -15,6 +15,7 @@ from paygrid import rules as R
 from paygrid.functions import classify as C
 from paygrid.functions import text as TX
 from paygrid.operators.common import median
+from paygrid.session import cut_lineage
 
 KEY = ["company", "department", "scope_score", "mid"]
 
@@ -193,6 +194,9 @@ def comparables_all(r: DataFrame) -> DataFrame:
     final join back to postings is the only row-sized step.  No pair join,
     and no window or task ever holds more than one band's distinct mids.
     """
+    # both the cell table and the final join read the role frame: checkpoint
+    # its narrow projection once (scope regexes are not re-run; lineage cut)
+    r = cut_lineage(r.select("job_id", *KEY))
     cells = r.groupBy(*KEY).agg(F.count("*").alias("cnt"))
     cells_co = cells.groupBy("company", "scope_score", "mid").agg(F.sum("cnt").alias("cnt"))
     tiers = [(["company", "department"], R.SCOPE_TOLERANCE, cells, "1"),
