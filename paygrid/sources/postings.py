@@ -43,6 +43,8 @@ HISTORY_CSV_SCHEMA = T.StructType([
 ])
 
 _CSV = dict(header=True, multiLine=True, quote='"', escape='"')
+# the CSV writer trims values by default; postings keep their text as is
+_CSV_WRITE = dict(_CSV, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def scan_postings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -71,7 +73,7 @@ def sink_postings(df: DataFrame, path: str, mode: str = "overwrite", fmt: str =
     if extra:
         w = w.partitionBy("company")
     if fmt == "csv":
-        w.options(**_CSV).csv(path)
+        w.options(**_CSV_WRITE).csv(path)
     else:
         w.parquet(path)
 
@@ -96,12 +98,12 @@ def sink_history(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Sorted within partitions (no global sort: a range shuffle buys nothing
     for a file that is read back by key)."""
     (history_frame(df).sortWithinPartitions("first_seen", "job_id")
-     .write.mode(mode).options(**_CSV).csv(path))
+     .write.mode(mode).options(**_CSV_WRITE).csv(path))
 
 
 def build_if_absent(df: DataFrame, path: str) -> None:
     """Materialise once: an existing output is left untouched."""
-    history_frame(df).write.mode("ignore").options(**_CSV).csv(path)
+    history_frame(df).write.mode("ignore").options(**_CSV_WRITE).csv(path)
 
 
 def sink_backfill(df: DataFrame, path: str) -> None:
@@ -123,3 +125,16 @@ def enrich(df: DataFrame) -> DataFrame:
                 "salary_mid": C.salary_mid(),
                 "range_usd": F.col("max_usd") - F.col("min_usd"),
             }))
+
+
+def default_columns(df: DataFrame) -> DataFrame:
+    """Classification, raw-department and USD columns, added only if absent
+    (a driver-side check of the schema, no data pass)."""
+    out = df
+    if "department" not in out.columns:
+        out = C.add_classifications(out).withColumn("department", F.col("title_department"))
+    if "department_raw" not in out.columns:
+        out = out.withColumn("department_raw", F.col("department"))
+    if "min_usd" not in out.columns:
+        out = C.add_usd_salary(out)
+    return out
