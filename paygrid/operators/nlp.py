@@ -133,8 +133,11 @@ def length_pay_trend(p: DataFrame) -> DataFrame:
 
 
 def _corr(x: str, y: str):
-    """Pearson r; null (not an ANSI error) when either side is constant."""
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    """Pearson r; null (not an ANSI error) when either side is constant.
+    Constancy is tested exactly (min = max), not by a variance that float
+    merge order can leave a hair above zero."""
+    varies = (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
+    return F.when(varies, F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y)))
 
 
 def length_pay_corr(p: DataFrame) -> DataFrame:

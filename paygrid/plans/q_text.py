@@ -117,7 +117,7 @@ register("length_pay_trend", sql(_trend_sql("desc_words", "lw", ""), LEN_CTE))(
 
 
 def _corr_sql(x: str) -> str:
-    return (f"case when stddev_samp({x}) > 0 and stddev_samp(mid_usd) > 0 then "
+    return (f"case when min({x}) <> max({x}) and min(mid_usd) <> max(mid_usd) then "
             f"covar_samp({x}, mid_usd) / (stddev_samp({x}) * stddev_samp(mid_usd)) end")
 
 
