@@ -125,35 +125,41 @@ def first_seen_wins(df: DataFrame, key: str, priority: str) -> DataFrame:
 # comparables for every posting (linear form)
 # --------------------------------------------------------------------------
 
-def _band_stats(cells: DataFrame, keys: list[str], width: int, tag: str):
-    """For every band centre c (0..10) and key group: multiset of mids with
-    scores in [c-width, c+width] as (mid, cnt, cum) rows, and per band the
-    values at the order positions a leave-one-out summary needs.
-
-    ``cells`` is (keys, scope_score, mid, cnt).  Rows are exploded to the at
-    most 2*width+1 centres they belong to, then re-aggregated, so band
-    tables hold distinct mids, not postings.
+def _band_stats(cells: DataFrame, keys: list[str], widths: dict[str, int]):
+    """For every band centre c (0..10) and key group, summarise the multiset
+    of mids with scores in [c-w, c+w] for each width w of ``widths``
+    (tag -> w) in one pass: counts, cumulative counts and the values at the
+    order positions a leave-one-out summary needs.
+
+    ``cells`` is (keys, scope_score, mid, cnt).  Rows are exploded to the
+    centres of the widest band, tagged with their distance to the centre,
+    and re-aggregated, so band tables hold distinct mids, not postings.
     """
-    centres = F.sequence(F.greatest(F.col("scope_score") - width, F.lit(0)),
-                         F.least(F.col("scope_score") + width, F.lit(10)))
-    band = (cells.select(*keys, F.explode(centres).alias("c"), "mid", "cnt")
-                 .groupBy(*keys, "c", "mid").agg(F.sum("cnt").alias("cnt")))
-    w = Window.partitionBy(*keys, "c").orderBy("mid")
-    band = band.withColumns({
-        "cum": F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "n": F.sum("cnt").over(Window.partitionBy(*keys, "c"))})
-    band = band.withColumn("prev", F.col("cum") - F.col("cnt"))
-
-    def at(pos: Column) -> Column:
-        return F.max(F.when((F.col("prev") <= pos) & (pos < F.col("cum")), F.col("mid")))
-
-    m = F.floor((F.col("n") - 2) / 2)
-    stats = band.groupBy(*keys, "c").agg(
-        F.first("n").alias(f"n{tag}"),
-        at(F.lit(0)).alias(f"v0{tag}"), at(F.lit(1)).alias(f"v1{tag}"),
-        at(F.col("n") - 2).alias(f"vl2{tag}"), at(F.col("n") - 1).alias(f"vl1{tag}"),
-        at(m).alias(f"vm0{tag}"), at(m + 1).alias(f"vm1{tag}"), at(m + 2).alias(f"vm2{tag}"))
-    lookup = band.select(*keys, "c", "mid", F.col("cum").alias(f"le{tag}"))
+    wmax = max(widths.values())
+    centres = F.sequence(F.greatest(F.col("scope_score") - wmax, F.lit(0)),
+                         F.least(F.col("scope_score") + wmax, F.lit(10)))
+    ex = cells.select(*keys, "scope_score", F.explode(centres).alias("c"), "mid", "cnt")
+    dist = F.abs(F.col("scope_score") - F.col("c"))
+    band = ex.groupBy(*keys, "c", "mid").agg(
+        *[F.sum(F.when(dist <= w, F.col("cnt")).otherwise(F.lit(0))).alias(f"cnt{t}") for t, w in widths.items()])
+    w = Window.partitionBy(*keys, "c").orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys, "c")
+    for t in widths:
+        band = band.withColumns({f"cum{t}": F.sum(f"cnt{t}").over(w), f"nn{t}": F.sum(f"cnt{t}").over(whole)})
+    aggs = []
+    for t in widths:
+        cnt, cum, n = F.col(f"cnt{t}"), F.col(f"cum{t}"), F.col(f"nn{t}")
+        prev = cum - cnt
+
+        def at(pos, cnt=cnt, cum=cum, prev=prev):
+            return F.max(F.when((cnt > 0) & (prev <= pos) & (pos < cum), F.col("mid")))
+
+        m = F.floor((n - 2) / 2)
+        aggs += [F.first(n).alias(f"n{t}"), at(F.lit(0)).alias(f"v0{t}"), at(F.lit(1)).alias(f"v1{t}"),
+                 at(n - 2).alias(f"vl2{t}"), at(n - 1).alias(f"vl1{t}"), at(m).alias(f"vm0{t}"),
+                 at(m + 1).alias(f"vm1{t}"), at(m + 2).alias(f"vm2{t}")]
+    stats = band.groupBy(*keys, "c").agg(*aggs)
+    lookup = band.select(*keys, "c", "mid", *[F.col(f"cum{t}").alias(f"le{t}") for t in widths])
     return stats, lookup
 
 
@@ -199,12 +205,12 @@ def comparables_all(r: DataFrame) -> DataFrame:
     r = cut_lineage(r.select("job_id", *KEY))
     cells = r.groupBy(*KEY).agg(F.count("*").alias("cnt"))
     cells_co = cells.groupBy("company", "scope_score", "mid").agg(F.sum("cnt").alias("cnt"))
-    tiers = [(["company", "department"], R.SCOPE_TOLERANCE, cells, "1"),
-             (["company", "department"], R.SCOPE_TOLERANCE_WIDE, cells, "2"),
-             (["company"], R.SCOPE_TOLERANCE_WIDE, cells_co, "3")]
+    # tiers 1 and 2 share their keys: one band pass serves both widths
+    tiers = [(["company", "department"], {"1": R.SCOPE_TOLERANCE, "2": R.SCOPE_TOLERANCE_WIDE}, cells),
+             (["company"], {"3": R.SCOPE_TOLERANCE_WIDE}, cells_co)]
     out = cells.select(*KEY)
-    for keys, width, src, tag in tiers:
-        stats, lookup = _band_stats(src, keys, width, tag)
+    for keys, widths, src in tiers:
+        stats, lookup = _band_stats(src, keys, widths)
         look = lookup.withColumnRenamed("c", "scope_score")
         st = stats.withColumnRenamed("c", "scope_score")
         out = (out.join(look, keys + ["scope_score", "mid"], "left")
