@@ -22,7 +22,7 @@ from paygrid.sources.postings import enrich
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-TARGET_JOB_ID = "1"      # role-gap target (present at every scale factor)
+TARGET_JOB_ID = "20"     # role-gap target: salaried, with repeated phrases, at every scale factor
 DIGITS = 2
 
 
