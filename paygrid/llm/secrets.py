@@ -10,7 +10,6 @@ only those are searched with the regex.  A rule without mandatory trigrams
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import product
 from re import _parser
@@ -22,6 +21,8 @@ from paygrid.llm.cascade import let
 from paygrid.session import write_out
 
 MAX_STRINGS = 64             # longest list of alternative literals kept in one clause
+BRANCH_TRIGRAMS = 3          # trigrams kept per branch, rarest letters first (any subset stays mandatory)
+COMMON = " etaoinsrhdlu"     # letters that make a trigram a poor key, most common first
 MARK, STAND_IN = "\ue000", "\ue001"      # private-use characters; no rule matches either
 
 
@@ -106,6 +107,8 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
         grown = {a | b for a in branches for b in sets}
         if len(grown) <= MAX_STRINGS:
             branches = [b for b in grown if not any(o < b for o in grown)]
+    rarity = lambda t: (-sum(COMMON.index(c) if c in COMMON else len(COMMON) for c in t), t)
+    branches = list({frozenset(sorted(b, key=rarity)[:BRANCH_TRIGRAMS]) for b in branches})
     return [] if frozenset() in branches else sorted(branches, key=sorted)
 
 
@@ -118,9 +121,9 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def build_index(docs: DataFrame, trigrams: list[str], id_col: str, text_col: str) -> DataFrame:
     """Postings ``(trigram, key)`` of every row, written to the shared folder."""
-    hits = let(F.lower(F.col(f"`{text_col}`")),
-               lambda low: F.array_compact(F.array(*[F.when(low.contains(t), F.lit(t)) for t in trigrams])))
-    return write_out(docs.select(row_key(id_col, text_col).alias("key"), F.explode(hits).alias("trigram")), "trigrams")
+    low = docs.select(row_key(id_col, text_col).alias("key"), F.lower(F.col(f"`{text_col}`")).alias("low"))
+    hits = F.array_compact(F.array(*[F.when(F.col("low").contains(t), F.lit(t)) for t in trigrams]))
+    return write_out(low.select("key", F.explode(hits).alias("trigram")), "trigrams")
 
 
 def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
