@@ -17,11 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paygrid.session import write_out
+
 SPACE = " \t\n\x0b\f\r"
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-SAMPLE_ROWS = 2_000          # rows timed to order the rules; results do not depend on them
+SAMPLE_ROWS = 1_000          # rows timed to order the rules; results do not depend on them
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -124,7 +126,10 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and repeated ids are passed through; other columns are ignored; an empty
     table gives no rows.  No shuffle: one row is decided by itself.
     """
-    ordered = order_rules(counts(docs.limit(sample_rows), id_col, text_col), rules(F.col("text")))
+    # one task reads the first rows and stops; a plain limit would shuffle that many rows of every partition
+    sample = write_out(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+                       .coalesce(1).limit(sample_rows), "rule-sample")
+    ordered = order_rules(counts(sample), rules(F.col("text")))
     kept = F.when(F.col("base_failed"), False)
     for r in ordered:
         kept = kept.when(F.coalesce(r.fails, F.lit(False)), False)
