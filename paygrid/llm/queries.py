@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paygrid.llm import cascade, html, jaccard, langid, packing, secrets, sharding
+from paygrid.llm import cascade, html, jaccard, langid, packing, recompression, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
+@register("op8_recompression_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.apply_rules(table(spark, sf_dir, "documents"))
