@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paygrid.llm import cascade, html, jaccard, langid, packing, recompression, secrets, sharding
+from paygrid.llm import cascade, html, jaccard, langid, packing, quality, recompression, secrets, sharding, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +37,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@register("op3_site_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source is the host, its languages are its paths."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, F.col("source"), F.col("lang")).select(
+        "doc_id", F.col("_good").alias("evidence"), F.col("_site").alias("site_log_odds"),
+        F.col("_posterior").alias("posterior"), F.col("_kept").alias("kept"))
+
+
+@register("op4_template_leaks")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "covered", "item_words", "n_slots", "exact")
+
+
 @register("op5_tree_scored_text")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
