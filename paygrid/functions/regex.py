@@ -155,9 +155,10 @@ def required_literals(pattern: str, ci: bool = True) -> list[str] | None:
 
 
 def fold(col: Column) -> Column:
-    """Lower case plus the two letters Java's case-insensitive matching folds
-    onto ASCII but ``lower`` keeps (long s, dotless i)."""
-    return F.translate(F.lower(col), "ſı", "si")
+    """Lower case, with the letters that Java's case-insensitive matching folds
+    onto ASCII letters replaced first (dotted I, long s, dotless i): ``lower``
+    keeps two of them and makes two characters of the other."""
+    return F.lower(F.translate(col, "İſı", "isi"))
 
 
 def prefilter(text: Column, folded: Column | None, pattern: str, ci: bool) -> Column | None:

@@ -58,6 +58,11 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(fixture.postings(spark, sf_dir))
 
 
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings without their text, for queries that do not read it."""
+    return enrich(fixture.postings(spark, sf_dir, text=False))
+
+
 # ---------------------------------------------------------------- oracle text
 
 def r2(expr: str) -> str:

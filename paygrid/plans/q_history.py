@@ -10,7 +10,7 @@ from paygrid import rules as R
 from paygrid.operators import history as H
 from paygrid.operators.common import slug
 from paygrid.plans import oracle_rules as O
-from paygrid.plans.catalog import postings, r2, register, sql
+from paygrid.plans.catalog import facts, r2, register, sql
 from paygrid.plans.q_pay import histogram_sql
 from paygrid.sources import fixture
 from paygrid.sources.postings import history_frame
@@ -21,7 +21,7 @@ register("history_kpis", sql(
     "select count(*) as total, count(*) filter (where salary_min is not null and salary_max is not null) "
     "as with_salary, count(*) filter (where is_active) as active, count(*) filter (where not is_active) as closed, "
     "min(first_seen) as first_date, max(last_seen) as last_date from p"))(
-    lambda spark, sf: H.history_kpis(postings(spark, sf)))
+    lambda spark, sf: H.history_kpis(facts(spark, sf)))
 
 register("monthly_new_closed", sql(
     "select coalesce(n.month, c.month) as month, coalesce(n_new, 0) as n_new, coalesce(n_closed, 0) as n_closed "
@@ -29,12 +29,12 @@ register("monthly_new_closed", sql(
     "n as (select date_trunc('month', first_seen)::date as month, count(*) as n_new from p group by 1), "
     "c as (select date_trunc('month', last_seen)::date as month, count(*) as n_closed from p "
     "where not is_active group by 1)"))(
-    lambda spark, sf: H.monthly_new_closed(postings(spark, sf)))
+    lambda spark, sf: H.monthly_new_closed(facts(spark, sf)))
 
 register("peak_month", sql(
     "select date_trunc('month', first_seen)::date as month, count(*) as n from p group by 1 "
     "order by n desc, month limit 1"))(
-    lambda spark, sf: H.peak_month(postings(spark, sf)))
+    lambda spark, sf: H.peak_month(facts(spark, sf)))
 
 _WEEKS = ("b as (select min(first_seen) as lo, max(last_seen) as hi from p), "
           "w as (select unnest(generate_series(lo + ((7 - dayofweek(lo)) % 7)::integer, hi, interval 7 day))::date "
@@ -43,27 +43,27 @@ _WEEKS = ("b as (select min(first_seen) as lo, max(last_seen) as hi from p), "
           "on p.first_seen <= w.week and p.last_seen >= w.week group by 1)")
 
 register("weekly_open_roles", sql("select week, active_roles from wk", _WEEKS))(
-    lambda spark, sf: H.weekly_open_roles(postings(spark, sf)))
+    lambda spark, sf: H.weekly_open_roles(facts(spark, sf)))
 
 register("running_open_roles", sql("select week, active_roles from wk", _WEEKS))(
-    lambda spark, sf: H.weekly_open_roles(postings(spark, sf)))
+    lambda spark, sf: H.weekly_open_roles(facts(spark, sf)))
 
 register("peak_week", sql("select week, active_roles from wk order by active_roles desc, week limit 1", _WEEKS))(
-    lambda spark, sf: H.peak_week(postings(spark, sf)))
+    lambda spark, sf: H.peak_week(facts(spark, sf)))
 
 _DEPTS = [lbl for lbl, _ in R.DEPARTMENT_RULES]
 register("dept_month_matrix", sql(
     "select date_trunc('month', first_seen)::date as month, "
     + ", ".join(f"count(*) filter (where title_department = {O.q(d)}) as {slug(d)}" for d in _DEPTS)
     + " from p where title_department <> 'Other' group by 1"))(
-    lambda spark, sf: H.dept_month_matrix(postings(spark, sf)))
+    lambda spark, sf: H.dept_month_matrix(facts(spark, sf)))
 
 register("quarterly_pay", sql(
     f"select quarter, {r2('median')} as median, {r2('mean')} as mean, n, {r2('std')} as std, "
     f"{r2('median - std')} as band_lo, {r2('median + std')} as band_hi from q",
     "q as (select date_trunc('quarter', first_seen)::date as quarter, quantile_cont(mid_usd, 0.5) as median, "
     "avg(mid_usd) as mean, count(mid_usd) as n, stddev_samp(mid_usd) as std from s group by 1)"))(
-    lambda spark, sf: H.quarterly_pay(postings(spark, sf)))
+    lambda spark, sf: H.quarterly_pay(facts(spark, sf)))
 
 register("qoq_change", sql(
     f"select quarter, {r2('median')} as median, "
@@ -71,51 +71,51 @@ register("qoq_change", sql(
     f"as pct_change from q",
     "q as (select date_trunc('quarter', first_seen)::date as quarter, quantile_cont(mid_usd, 0.5) as median "
     "from s group by 1)"))(
-    lambda spark, sf: H.qoq_change(postings(spark, sf)))
+    lambda spark, sf: H.qoq_change(facts(spark, sf)))
 
 register("dept_quarter_pay", sql(
     f"select quarter, department, {r2('median')} as median from cells where department in (select department "
     f"from cells where n >= 3 group by 1 having count(*) >= 2 and department <> 'Other')",
     "cells as (select date_trunc('quarter', first_seen)::date as quarter, title_department as department, "
     "count(*) as n, quantile_cont(mid_usd, 0.5) as median from s group by 1, 2)"))(
-    lambda spark, sf: H.dept_quarter_pay(postings(spark, sf)))
+    lambda spark, sf: H.dept_quarter_pay(facts(spark, sf)))
 
 _CV = ("cv as (select *, datediff('day', first_seen, last_seen)::integer as days_open from p "
        "where not is_active and datediff('day', first_seen, last_seen) > 0)")
 
 register("closed_valid", sql("select job_id, days_open from cv", _CV))(
-    lambda spark, sf: H.closed_valid(postings(spark, sf)).select("job_id", "days_open"))
+    lambda spark, sf: H.closed_valid(facts(spark, sf)).select("job_id", "days_open"))
 
 register("time_to_fill", sql(
     f"select count(*) as n, {r2('quantile_cont(days_open, 0.5)')} as median, {r2('avg(days_open)')} as mean, "
     f"{r2('quantile_cont(days_open, 0.25)')} as p25, {r2('quantile_cont(days_open, 0.75)')} as p75 from cv", _CV))(
-    lambda spark, sf: H.time_to_fill(postings(spark, sf)))
+    lambda spark, sf: H.time_to_fill(facts(spark, sf)))
 
 _c, _b = histogram_sql("cv", "days_open", R.BINS_DAYS_OPEN)
 register("histogram_days_open", sql(_b, _CV + ", " + _c))(
-    lambda spark, sf: H.days_open_histogram(postings(spark, sf)))
+    lambda spark, sf: H.days_open_histogram(facts(spark, sf)))
 
 register("dept_time_to_fill", sql(
     f"select title_department as department, {r2('quantile_cont(days_open, 0.5)')} as median_days, "
     f"count(*) as n from cv group by 1", _CV))(
-    lambda spark, sf: H.dept_time_to_fill(postings(spark, sf)))
+    lambda spark, sf: H.dept_time_to_fill(facts(spark, sf)))
 
 register("status_pay", sql(
     f"select case when is_active then 'Active' else 'Closed' end as status, count(*) as n, "
     f"{r2('quantile_cont(mid_usd, 0.5)')} as median, {r2('avg(mid_usd)')} as mean from s group by 1"))(
-    lambda spark, sf: H.status_pay(postings(spark, sf)))
+    lambda spark, sf: H.status_pay(facts(spark, sf)))
 
 register("dept_status_mix", sql(
     f"select department, n_closed, n_active, {r2('n_closed * 100::double / sum(n_closed) over ()')} as pct_closed, "
     f"{r2('n_active * 100::double / sum(n_active) over ()')} as pct_active from c",
     "c as (select title_department as department, count(*) filter (where not is_active) as n_closed, "
     "count(*) filter (where is_active) as n_active from p group by 1)"))(
-    lambda spark, sf: H.dept_status_mix(postings(spark, sf)))
+    lambda spark, sf: H.dept_status_mix(facts(spark, sf)))
 
 register("seniority_status_mix", sql(
     f"select seniority, count(*) filter (where not is_active) as n_closed, count(*) filter (where is_active) "
     f"as n_active, ({O.seniority_rank_sql()})::integer as level_rank from p group by 1"))(
-    lambda spark, sf: H.seniority_status_mix(postings(spark, sf)).withColumn(
+    lambda spark, sf: H.seniority_status_mix(facts(spark, sf)).withColumn(
         "level_rank", F.col("level_rank").cast("int")))
 
 _RT = (f"t as (select *, lower(regexp_replace(title, {O.q('^' + O.WS + '+|' + O.WS + '+$')}, '', 'g')) "
@@ -129,12 +129,12 @@ register("recurring_titles", sql(
     f"select title_norm, postings, min_date, max_date, {r2('earliest_mid')} as earliest_mid, "
     f"{r2('latest_mid')} as latest_mid, {r2('(latest_mid - earliest_mid) * 100 / earliest_mid')} "
     f"as salary_change_pct, title from g", _RT))(
-    lambda spark, sf: H.recurring_titles(postings(spark, sf)))
+    lambda spark, sf: H.recurring_titles(facts(spark, sf)))
 
 register("recurring_series", sql(
     f"select title_norm, job_id, first_seen, {r2('mid_usd')} as mid_usd from t where title_norm in "
     f"(select title_norm from g order by postings desc, title_norm limit 8)", _RT))(
-    lambda spark, sf: H.recurring_series(postings(spark, sf)))
+    lambda spark, sf: H.recurring_series(facts(spark, sf)))
 
 # ------------------------------------------------------------ snapshot fold
 

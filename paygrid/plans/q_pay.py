@@ -9,71 +9,71 @@ from paygrid.functions import classify as C
 from paygrid.operators import pay
 from paygrid.operators.common import slug
 from paygrid.plans import oracle_rules as O
-from paygrid.plans.catalog import TARGET_JOB_ID, postings, r2, register, sql
+from paygrid.plans.catalog import TARGET_JOB_ID, facts, r2, register, sql
 
 # ------------------------------------------------------------ row columns
 
 register("title_department", sql("select job_id, title_department from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "title_department"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "title_department"))
 
 register("normalize_department", sql("select job_id, department_raw, department from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "department_raw", "department"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "department_raw", "department"))
 
 register("seniority", sql("select job_id, seniority from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "seniority"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "seniority"))
 
 register("work_mode", sql("select job_id, work_mode from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "work_mode"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "work_mode"))
 
 register("add_classifications", sql("select job_id, title_department, seniority, work_mode from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "title_department", "seniority", "work_mode"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "title_department", "seniority", "work_mode"))
 
 register("add_usd_salary", sql(
     f"select job_id, rate, {r2('min_usd')} as min_usd, {r2('max_usd')} as max_usd, "
     f"{r2('mid_usd')} as mid_usd from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "rate", "min_usd", "max_usd", "mid_usd"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "rate", "min_usd", "max_usd", "mid_usd"))
 
 register("salary_mid", sql(
     f"select job_id, {r2('salary_mid')} as salary_mid, {r2('range_usd')} as range_usd from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "salary_mid", "range_usd"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "salary_mid", "range_usd"))
 
 register("status_label", sql(
     "select job_id, case when is_active then 'Active' when not is_active then 'Closed' end as status from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", C.status_label("is_active").alias("status")))
+    lambda spark, sf: facts(spark, sf).select("job_id", C.status_label("is_active").alias("status")))
 
 register("lookup_posting", sql(
     f"select job_id, title, company, title_department, salary_min, salary_max, location from p "
     f"where job_id = '{TARGET_JOB_ID}' limit 1"))(
-    lambda spark, sf: postings(spark, sf).where(F.col("job_id") == TARGET_JOB_ID).limit(1).select(
+    lambda spark, sf: facts(spark, sf).where(F.col("job_id") == TARGET_JOB_ID).limit(1).select(
         "job_id", "title", "company", "title_department", "salary_min", "salary_max", "location"))
 
 register("fx_lookup", sql(
     "select p.job_id, p.currency, d.rate from postings p left join (values "
     + ", ".join(f"('{k}', {v}::double)" for k, v in R.TO_USD.items())
     + ") d(currency, rate) on p.currency = d.currency"))(
-    lambda spark, sf: pay.fx_lookup(postings(spark, sf)))
+    lambda spark, sf: pay.fx_lookup(facts(spark, sf)))
 
 register("with_salary", sql(
     "select count(*) as total, count(*) filter (where salary_min is not null and salary_max is not null) "
     "as with_salary from p"))(
-    lambda spark, sf: pay.with_salary(postings(spark, sf)))
+    lambda spark, sf: pay.with_salary(facts(spark, sf)))
 
 # ------------------------------------------------------------ aggregates
 
 register("department_pay", sql(
     f"select title_department as department, {r2('quantile_cont(mid_usd, 0.5)')} as median_usd, "
     f"count(mid_usd) as n from s group by 1"))(
-    lambda spark, sf: pay.department_pay(postings(spark, sf)))
+    lambda spark, sf: pay.department_pay(facts(spark, sf)))
 
 register("department_counts", sql(
     "select title_department as department, count(*) as n from p group by 1 "
     "union all select 'TOTAL', count(*) from p"))(
-    lambda spark, sf: pay.department_counts(postings(spark, sf)))
+    lambda spark, sf: pay.department_counts(facts(spark, sf)))
 
 register("seniority_pay", sql(
     f"select seniority, count(*) as n, {r2('quantile_cont(mid_usd, 0.5)')} as median_usd, "
     f"({O.seniority_rank_sql()})::integer as level_rank from s group by seniority"))(
-    lambda spark, sf: pay.seniority_pay(postings(spark, sf)).withColumn(
+    lambda spark, sf: pay.seniority_pay(facts(spark, sf)).withColumn(
         "level_rank", F.col("level_rank").cast("int")))
 
 
@@ -85,12 +85,12 @@ def _cond_medians_sql(key: str, labels: list[str], where: str = "") -> str:
 
 
 register("dept_seniority_matrix", _cond_medians_sql("seniority", R.SENIORITY_ORDER))(
-    lambda spark, sf: pay.dept_seniority_matrix(postings(spark, sf)))
+    lambda spark, sf: pay.dept_seniority_matrix(facts(spark, sf)))
 
 register("dept_work_mode", _cond_medians_sql(
     "work_mode", ["Remote-Friendly", "Office-Only"],
     "where work_mode in ('Remote-Friendly', 'Office-Only')"))(
-    lambda spark, sf: pay.dept_work_mode(postings(spark, sf)))
+    lambda spark, sf: pay.dept_work_mode(facts(spark, sf)))
 
 register("work_mode_summary", sql(
     f"select m.work_mode, coalesce(a.total, 0) as total, coalesce(a.with_salary, 0) as with_salary, "
@@ -99,7 +99,7 @@ register("work_mode_summary", sql(
     + ", ".join(f"('{m}', {i})" for i, m in enumerate(R.WORK_MODES)) + "), "
     "a as (select work_mode, count(*) as total, count(*) filter (where has_salary) as with_salary, "
     "quantile_cont(mid_usd, 0.5) filter (where has_salary) as median_usd from p group by 1)"))(
-    lambda spark, sf: pay.work_mode_summary(postings(spark, sf)))
+    lambda spark, sf: pay.work_mode_summary(facts(spark, sf)))
 
 _CITIES = ("case when location is null or location = '' then ['Unknown'] else list_filter(list_transform("
            "regexp_split_to_array(location, '[|;]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), "
@@ -108,13 +108,13 @@ _CITIES = ("case when location is null or location = '' then ['Unknown'] else li
 register("city_counts", sql(
     "select city, n, (select count(*) from g) as distinct_cities from g order by n desc, city limit 15",
     f"e as (select unnest({_CITIES}) as city from p), g as (select city, count(*) as n from e group by 1)"))(
-    lambda spark, sf: pay.city_counts(postings(spark, sf)))
+    lambda spark, sf: pay.city_counts(facts(spark, sf)))
 
 register("city_pay", sql(
     f"select city, n, {r2('median_usd')} as median_usd from (select * from g order by n desc, city limit 10)",
     f"e as (select unnest({_CITIES}) as city, mid_usd from s), "
     "g as (select city, count(*) as n, quantile_cont(mid_usd, 0.5) as median_usd from e group by 1)"))(
-    lambda spark, sf: pay.city_pay(postings(spark, sf)))
+    lambda spark, sf: pay.city_pay(facts(spark, sf)))
 
 register("pay_kpis", sql(
     f"select count(*) as total_roles, count(*) filter (where has_salary) as with_salary, "
@@ -122,16 +122,16 @@ register("pay_kpis", sql(
     f"{r2('max(mid_usd) filter (where has_salary)')} as max_mid_usd, "
     f"{r2('min(mid_usd) filter (where has_salary)')} as min_mid_usd, "
     f"count(distinct title_department) filter (where has_salary) as departments from p"))(
-    lambda spark, sf: pay.pay_kpis(postings(spark, sf)))
+    lambda spark, sf: pay.pay_kpis(facts(spark, sf)))
 
 register("range_spread", sql(
     f"select {r2('quantile_cont(range_usd, 0.5)')} as median_range_usd, "
     f"{r2('avg(range_usd)')} as mean_range_usd from s"))(
-    lambda spark, sf: pay.range_spread(postings(spark, sf)))
+    lambda spark, sf: pay.range_spread(facts(spark, sf)))
 
 register("minmax_extent", sql(
     f"select {r2('min(min_usd)')} as lo, {r2('max(max_usd)')} as hi, count(*) as n_points from s"))(
-    lambda spark, sf: pay.minmax_extent(postings(spark, sf)))
+    lambda spark, sf: pay.minmax_extent(facts(spark, sf)))
 
 register("share_of_total", sql(
     f"select dimension, key, n, {r2('n * 100::double / sum(n) over (partition by dimension)')} as pct from u",
@@ -139,7 +139,7 @@ register("share_of_total", sql(
     "group by 2 union all select 'work_mode', work_mode, count(*) from p group by 2 union all "
     "select 'status', case when is_active then 'Active' else 'Closed' end, count(*) from p "
     "where is_active is not null group by 2)"))(
-    lambda spark, sf: pay.share_of_total(postings(spark, sf)))
+    lambda spark, sf: pay.share_of_total(facts(spark, sf)))
 
 
 def _stats_sql(keys: list[str], measures: list[str], where: str) -> str:
@@ -156,10 +156,10 @@ def _stats_sql(keys: list[str], measures: list[str], where: str) -> str:
 
 register("salary_stats_by_currency", _stats_sql(
     ["currency"], ["salary_min", "salary_max", "salary_mid"], "where currency is not null"))(
-    lambda spark, sf: pay.salary_stats_by_currency(postings(spark, sf)))
+    lambda spark, sf: pay.salary_stats_by_currency(facts(spark, sf)))
 
 register("salary_stats_usd", _stats_sql([], ["min_usd", "max_usd", "mid_usd"], ""))(
-    lambda spark, sf: pay.salary_stats_usd(postings(spark, sf)))
+    lambda spark, sf: pay.salary_stats_usd(facts(spark, sf)))
 
 
 def histogram_sql(src: str, col: str, bins: int) -> tuple[str, str]:
@@ -178,9 +178,9 @@ def histogram_sql(src: str, col: str, bins: int) -> tuple[str, str]:
 
 
 _c, _b = histogram_sql("s", "mid_usd", R.BINS_MID)
-register("histogram", sql(_b, _c))(lambda spark, sf: pay.mid_histogram(postings(spark, sf)))
+register("histogram", sql(_b, _c))(lambda spark, sf: pay.mid_histogram(facts(spark, sf)))
 _c, _b = histogram_sql("s", "range_usd", R.BINS_RANGE)
-register("histogram_range", sql(_b, _c))(lambda spark, sf: pay.range_histogram(postings(spark, sf)))
+register("histogram_range", sql(_b, _c))(lambda spark, sf: pay.range_histogram(facts(spark, sf)))
 
 
 def box_sql(src: str, group: str, value: str) -> tuple[str, str]:
@@ -198,28 +198,28 @@ def box_sql(src: str, group: str, value: str) -> tuple[str, str]:
 
 
 _c, _b = box_sql("s", "title_department", "mid_usd")
-register("box_stats", sql(_b, _c))(lambda spark, sf: pay.box_by(postings(spark, sf)))
+register("box_stats", sql(_b, _c))(lambda spark, sf: pay.box_by(facts(spark, sf)))
 _c, _b = box_sql("s", "currency", "salary_mid")
 register("box_stats_currency", sql(_b, _c))(
-    lambda spark, sf: pay.box_by(postings(spark, sf), "currency", "salary_mid"))
+    lambda spark, sf: pay.box_by(facts(spark, sf), "currency", "salary_mid"))
 
 _TOP = (f"select job_id, title, {r2('mid_usd')} as mid_usd, {r2('min_usd')} as min_usd, "
         f"{r2('max_usd')} as max_usd from s where mid_usd is not null order by mid_usd {{d}}, job_id limit 10")
-register("top_paid", sql(_TOP.format(d="desc")))(lambda spark, sf: pay.top_paid(postings(spark, sf)))
+register("top_paid", sql(_TOP.format(d="desc")))(lambda spark, sf: pay.top_paid(facts(spark, sf)))
 register("bottom_paid", sql(_TOP.format(d="asc")))(
-    lambda spark, sf: pay.top_paid(postings(spark, sf), highest=False))
+    lambda spark, sf: pay.top_paid(facts(spark, sf), highest=False))
 
 register("top_keys", sql(
     "select title_department as key, count(*) as n from p group by 1 order by n desc, key limit 12"))(
-    lambda spark, sf: pay.top_keys(postings(spark, sf)))
+    lambda spark, sf: pay.top_keys(facts(spark, sf)))
 
 register("top_n_semi", sql(
     "select job_id, title_department from p where title_department in "
     "(select title_department from p group by 1 order by count(*) desc, title_department limit 3)"))(
-    lambda spark, sf: pay.top_n_semi(postings(spark, sf)).select("job_id", "title_department"))
+    lambda spark, sf: pay.top_n_semi(facts(spark, sf)).select("job_id", "title_department"))
 
 register("top_per_group", sql(
     "select company, title_department, n, rank from (select company, title_department, count(*) as n, "
     "(row_number() over (partition by company order by count(*) desc, title_department))::integer as rank "
     "from p group by 1, 2) where rank <= 3"))(
-    lambda spark, sf: pay.top_per_group(postings(spark, sf)))
+    lambda spark, sf: pay.top_per_group(facts(spark, sf)))

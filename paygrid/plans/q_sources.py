@@ -20,11 +20,16 @@ def raw(spark, sf):
     return fixture.postings(spark, sf)
 
 
-register("payload_guard", f"select distinct company, first_seen as day from {PS} where day(first_seen) <> 1")(
-    lambda spark, sf: B.payload_guard(B.board_a_payloads(raw(spark, sf))).select("company", "day"))
+def facts_raw(spark, sf):
+    """Postings whose description is not read."""
+    return fixture.postings(spark, sf, text=False).withColumn("description_md", F.lit(None).cast("string"))
+
+
+register("payload_guard", f"select distinct company, first_seen as day, k // {B.JOBS_PER_BODY} as page from {PS}")(
+    lambda spark, sf: B.payload_guard(B.board_a_payloads(facts_raw(spark, sf))).select("company", "day", "page"))
 
 register("scan_board_nested", f"select job_id, title, location, cast(first_seen as varchar) as updated_at "
-         f"from {PS} where day(first_seen) <> 1")(
+         f"from {PS}")(
     lambda spark, sf: B.scan_board_nested(B.payload_guard(B.board_a_payloads(raw(spark, sf)))).select(
         "job_id", "title", "location", "updated_at"))
 
@@ -33,22 +38,22 @@ _WMS = ("case when coalesce(starts_with(location, 'Remote'), false) then 'Remote
 
 register("scan_board_flat", f"select job_id, title, location, cast(first_seen as varchar) as updated_at, "
          f"department_raw, 'https://jobs.example.com/' || company || '/' || job_id as url, {_WMS} as work_mode "
-         f"from {PS} where day(first_seen) <> 1")(
+         f"from {PS}")(
     lambda spark, sf: B.scan_board_flat(B.payload_guard(B.board_b_payloads(raw(spark, sf)))).select(
         "job_id", "title", "location", "updated_at", "department_raw", "url", "work_mode"))
 
-register("work_mode_structured", f"select job_id, {_WMS} as work_mode from {PS} where day(first_seen) <> 1")(
+register("work_mode_structured", f"select job_id, {_WMS} as work_mode from {PS}")(
     lambda spark, sf: B.scan_board_flat(B.payload_guard(B.board_b_payloads(raw(spark, sf)))).select(
         "job_id", "work_mode"))
 
-_IDX = ("idx as (select event_type as board, strftime(date_trunc('hour', ts), '%Y%m%d%H%M%S') as timestamp, "
+_IDX = ("idx as (select event_type as board, strftime(ts, '%Y%m%d%H%M%S') as timestamp, "
         "'boards.example.com/v1/boards/' || event_type || '/jobs' as original, "
-        "case when event_type = 'error' then '500' else '200' end as statuscode from events)")
+        "case when event_type = 'error' then '500' else '200' end as statuscode, event_id from events)")
 
 
 def index(spark, sf):
     bodies = B.archive_index_bodies(fixture.table(spark, sf, "events"))
-    return B.scan_archive_index(bodies, keep=["board"])
+    return B.scan_archive_index(bodies, keep=["board", "page"])
 
 
 register("scan_archive_index", f"with {_IDX} select timestamp, original, statuscode from idx")(
@@ -57,15 +62,15 @@ register("scan_archive_index", f"with {_IDX} select timestamp, original, statusc
 register("http_ok_only", f"with {_IDX} select timestamp, original, statuscode from idx where statuscode = '200'")(
     lambda spark, sf: B.http_ok_only(index(spark, sf)).select("timestamp", "original", "statuscode"))
 
-register("snapshot_union_anti", f"with {_IDX}, prim as (select timestamp, original from idx where board = 'view'), "
-         "alt as (select timestamp, min(original) as original from idx where board = 'click' group by 1) "
+register("snapshot_union_anti", f"with {_IDX}, prim as (select timestamp, original from idx where board = 'view' and statuscode = '200'), "
+         "alt as (select timestamp, first(original order by event_id) as original from idx where board = 'click' and statuscode = '200' group by 1) "
          "select timestamp, original, 'primary' as source from prim union all select timestamp, original, "
          "'alternate' from alt where timestamp not in (select timestamp from prim)")(
     lambda spark, sf: _union_anti(spark, sf))
 
 
 def _union_anti(spark, sf):
-    idx = index(spark, sf)
+    idx = B.http_ok_only(index(spark, sf))
     return B.snapshot_union_anti(idx.where(F.col("board") == "view"), idx.where(F.col("board") == "click"))
 
 

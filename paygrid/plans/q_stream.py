@@ -14,6 +14,6 @@ register("fold_snapshots_stream", FOLD_SQL)(
     lambda spark, sf: S.run_fold_stream(spark, fixture.table(spark, sf, "events")))
 
 register("dedup_snapshots_stream",
-         "select distinct strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as snap_ts from events")(
+         "select distinct strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as snap_ts from events")(
     lambda spark, sf: S.run_dedup_stream(spark, fixture.table(spark, sf, "events")).select(
         F.date_format("snap_ts", "yyyy-MM-dd HH:mm:ss").alias("snap_ts")))

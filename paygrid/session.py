@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -73,19 +72,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives lost executors)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame over the cluster's cores when its plan has fewer
-    partitions than cores (small inputs: one parquet row group is one task).
-
-    Row-local CPU work that follows (regexes over descriptions, HTML
-    parsing) then uses every core.  Large inputs already have more splits
-    than cores and are returned unchanged - no extra shuffle at scale.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        # the always-true filter on the (non-deterministic) partition id keeps
-        # Catalyst from pushing later predicates back into the one-task scan
-        return df.repartition(target).where(F.spark_partition_id() >= 0)
-    return df

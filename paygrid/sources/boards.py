@@ -5,8 +5,8 @@ row per fetched body).  Bodies are parsed with an explicit schema
 (``from_json``), never inferred, and exploded into one row per job.
 
 For tests and benches, ``*_payloads`` build bodies from the postings table
-with ``to_json``: one body per (company, day) board snapshot, so a body is
-bounded by one company's postings of one day, never by the whole table.
+with ``to_json``: a board snapshot of one company and day comes in pages of at
+most ``JOBS_PER_BODY`` consecutive keys, so no body grows with the table.
 """
 
 from __future__ import annotations
@@ -81,14 +81,14 @@ def http_ok_only(index: DataFrame) -> DataFrame:
 
 
 def snapshot_union_anti(primary: DataFrame, alternate: DataFrame) -> DataFrame:
-    """Primary index rows plus alternate rows whose timestamp is new (first
-    alternate row per timestamp), ordered by timestamp.  Anti join and union,
-    both keyed by timestamp: no index is ever collected."""
+    """Primary index rows plus the first alternate row (by page and position)
+    of every timestamp that the primary lacks, ordered by timestamp.  Anti
+    join and union, both keyed by timestamp: no index is ever collected."""
     seen = primary.select("timestamp").distinct()
-    alt = (alternate.groupBy("timestamp").agg(F.min("original").alias("original"))
+    alt = (alternate.groupBy("timestamp").agg(F.min_by("original", F.struct("page", "pos")).alias("original"))
                     .join(seen, "timestamp", "left_anti"))
     return (primary.select("timestamp", "original", F.lit("primary").alias("source"))
-            .unionByName(alt.select("timestamp", "original", F.lit("alternate").alias("source"))))
+            .unionByName(alt.select("timestamp", "original", F.lit("alternate").alias("source"))).orderBy("timestamp"))
 
 
 # ---------------------------------------------------------------- builders
@@ -102,18 +102,24 @@ def _content_html(p: DataFrame) -> Column:
     return inner
 
 
-def guarded(day: Column, body: Column) -> Column:
-    """Snapshots landed on the 1st of a month came back as an HTML error page."""
-    return F.when(F.dayofmonth(day) == 1, F.lit("<html><body>rate limited</body></html>")).otherwise(body)
+JOBS_PER_BODY = 500
+
+
+def _bodies(p: DataFrame, job: Column) -> DataFrame:
+    """Bodies of at most ``JOBS_PER_BODY`` jobs (a page of consecutive keys of
+    one company and day), and an HTML error page for fetches on the 1st of a month."""
+    page = F.floor(F.col("k") / JOBS_PER_BODY).alias("page")
+    g = p.groupBy("company", F.col("first_seen").alias("day"), page).agg(F.collect_list(job).alias("jobs"))
+    errors = p.where(F.dayofmonth("first_seen") == 1).select("company", F.col("first_seen").alias("day")).distinct()
+    return g.select("company", "day", "page", F.to_json(F.struct("jobs")).alias("body")).unionByName(
+        errors.select("company", "day", F.lit(-1).cast("long").alias("page"), F.lit("<html><body>rate limited</body></html>").alias("body")))
 
 
 def board_a_payloads(p: DataFrame) -> DataFrame:
     job = F.struct(F.col("k").alias("id"), F.col("title"),
                    F.when(F.col("location").isNotNull(), F.struct(F.col("location").alias("name"))).alias("location"),
                    F.col("first_seen").cast("string").alias("updated_at"), _content_html(p).alias("content"))
-    g = p.groupBy("company", "first_seen").agg(F.collect_list(job).alias("jobs"))
-    return g.select("company", F.col("first_seen").alias("day"),
-                    guarded(F.col("first_seen"), F.to_json(F.struct("jobs"))).alias("body"))
+    return _bodies(p, job)
 
 
 def board_b_payloads(p: DataFrame) -> DataFrame:
@@ -124,26 +130,26 @@ def board_b_payloads(p: DataFrame) -> DataFrame:
                    .alias("jobUrl"),
                    F.coalesce(F.col("location").startswith("Remote"), F.lit(False)).alias("isRemote"),
                    F.when(F.col("location").isNull(), F.lit("Remote")).otherwise(F.lit("Hybrid")).alias("workplaceType"))
-    g = p.groupBy("company", "first_seen").agg(F.collect_list(job).alias("jobs"))
-    return g.select("company", F.col("first_seen").alias("day"),
-                    guarded(F.col("first_seen"), F.to_json(F.struct("jobs"))).alias("body"))
+    return _bodies(p, job)
 
 
 def index_rows_from_events(events: DataFrame) -> DataFrame:
-    """Archive index rows: snapshot time cut to the hour, a board URL per
-    event type, status 500 for errors."""
+    """Archive index rows: the 14-digit snapshot time, a board URL per event
+    type, status 500 for errors."""
     return events.select(
-        F.col("event_type").alias("board"),
-        F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyyMMddHHmmss").alias("timestamp"),
+        F.col("event_id"), F.col("event_type").alias("board"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyyMMddHHmmss").alias("timestamp"),
         F.concat(F.lit("boards.example.com/v1/boards/"), F.col("event_type"), F.lit("/jobs")).alias("original"),
         F.when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200")).alias("statuscode"))
 
 
 def archive_index_bodies(events: DataFrame) -> DataFrame:
-    """One index body per (board, hour): a header row then the records."""
+    """Index bodies of at most ``JOBS_PER_BODY`` rows (a page of consecutive
+    event ids of one board and hour): a header row, then the records by id."""
     rows = index_rows_from_events(events)
     rec = F.array(F.col("timestamp"), F.col("original"), F.col("statuscode"))
-    g = rows.groupBy("board", F.substring("timestamp", 1, 10).alias("page")).agg(
-        F.collect_list(rec).alias("recs"))
+    page = F.concat_ws("-", F.substring("timestamp", 1, 10), F.floor(F.col("event_id") / JOBS_PER_BODY))
+    g = rows.groupBy("board", page.alias("page")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("rec")))), lambda x: x["rec"]).alias("recs"))
     header = F.array(*[F.array(*[F.lit(h) for h in INDEX_HEADER])])
     return g.select("board", "page", F.to_json(F.concat(header, F.col("recs"))).alias("body"))

@@ -7,7 +7,7 @@ input only: no operator logic lives here.
 
 Every order becomes one posting; a posting's description carries the whole
 text of the document whose ``doc_id`` equals the order key (no prefix, no id
-subset), followed by three bullet lines that exercise the rule tables.
+subset; a thirteenth of the postings without a document have no description), followed by three bullet lines that exercise the rule tables.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ select
   cast(o.o_orderdate as date) as first_seen,
   cast(o.o_orderdate as date) + cast(o.o_orderkey % 121 as int) as last_seen,
   o.o_orderstatus = 'O' as is_active,
-  case when o.o_orderkey % 13 = 0 then null else concat(coalesce(d.text || chr(10), ''), '* ',
+  case when o.o_orderkey % 13 = 0 and d.doc_id is null then null else concat(coalesce(d.text || chr(10), ''), '* ',
     split_part('Build it from scratch and own the roadmap|Contribute to team goals and assist the lead|5+ years of experience in Python and SQL|3-5 years with Spark on AWS|PhD in physics or a BS in computer science|Hire and manage a founding team|JavaScript, TypeScript and C++11|At least 12 years of professional experience, 2 years in Go|Stakeholder work across cross-functional groups|Bachelor''s degree; set the vision', '|', cast(o.o_orderkey % 10 + 1 as int)), chr(10), '* ',
     split_part('Java, Kotlin and Scala services|PyTorch, TensorFlow or JAX for deep learning|LLMs, RLHF and fine-tuning of transformers|Kubernetes, Docker and Terraform on Linux|Snowflake, dbt and Postgres pipelines|Redis, GraphQL and REST APIs|React and Node.js front ends|Git, CI/CD and Agile habits|GCP or Azure; R programming|Ruby or Rust; NLP and RAG|Machine learning and AI safety research|MBA or Master''s degree|Law degree, JD and bar admission|Mathematics or statistics', '|', cast(o.o_orderkey % 14 + 1 as int)), chr(10), '- ',
     split_part('Greenfield build out|Ground up redesign|First hire here|Shape the plan|Lead the effort|Build a team and define the strategy|Manage a team|Grow the team|Join a team|Report to the head|Work under guidance; support the team; cross-functional leadership', '|', cast(o.o_orderkey % 11 + 1 as int))) end as description_md
@@ -53,13 +53,13 @@ join region r on n.n_regionkey = r.r_regionkey
 left join documents d on d.doc_id = o.o_orderkey
 """
 
+# the same table without text: cut at the description column and the document join
+FACTS_SQL = (POSTINGS_SQL[:POSTINGS_SQL.index(",\n  case when o.o_orderkey % 13 = 0")]
+             + POSTINGS_SQL[POSTINGS_SQL.index("\nfrom orders o"):POSTINGS_SQL.index("left join documents")])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in SPREAD_TABLES:
-        from paygrid.session import spread
-        df = spread(df)
-    return df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
@@ -67,19 +67,13 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def postings(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     """The 15-column postings table (plus key ``k`` and history columns).
 
-    The fact table is spread over all cores right after its scan (a no-op
-    when it already has enough splits), so everything downstream - joins,
-    regex projections and the filters Catalyst pushes towards the scan - runs
-    on every core."""
-    register_tables(spark, sf_dir, ["orders", "customer", "nation", "region", "documents"])
-    return spark.sql(POSTINGS_SQL)
-
-
-# tables that feed per-row CPU work are spread over the cores after the scan
-SPREAD_TABLES = {"orders", "documents", "pages", "conversations"}
+    ``text=False`` leaves out ``description_md`` and with it the join of the
+    documents, which an engine cannot drop by itself."""
+    register_tables(spark, sf_dir, ["orders", "customer", "nation", "region", *(["documents"] if text else [])])
+    return spark.sql(POSTINGS_SQL if text else FACTS_SQL)
 
 
 PAGES_JOIN_SQL = ("left join pages pg on pg.page_id = "

@@ -8,8 +8,8 @@ writes only the ids updated by each micro-batch into a per-epoch folder
 (``update`` mode), so a batch costs its own changes, not a rewrite of the
 whole history; ``read_folded`` resolves the latest version of every id.
 
-``dedup_snapshots_stream`` drops repeats of a snapshot timestamp inside a
-watermark (``dropDuplicatesWithinWatermark``) and appends to a file sink.
+``dedup_snapshots_stream`` keeps the first snapshot of every timestamp, for
+good or within a stated watermark, and appends to a file sink.
 
 All paths live under the shared checkpoint folder of the session.
 """
@@ -36,10 +36,15 @@ def land_events(events: DataFrame, landing: str) -> None:
            .write.mode("errorifexists").partitionBy("day").parquet(landing))
 
 
+def _landed(spark: SparkSession, landing: str, schema, files_per_trigger: int | None) -> DataFrame:
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(landing)
+
+
 def fold_snapshots_stream(spark: SparkSession, landing: str, schema, out: str, checkpoint: str,
-                          files_per_trigger: int = 4):
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-                .parquet(landing))
+                          files_per_trigger: int | None = None):
+    """``files_per_trigger`` bounds a micro-batch; by default one takes all that has landed."""
+    src = _landed(spark, landing, schema, files_per_trigger)
     folded = fold_snapshots(snapshots_from_events(src))
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -60,12 +65,19 @@ def read_folded(spark: SparkSession, out: str) -> DataFrame:
 
 
 def dedup_snapshots_stream(spark: SparkSession, landing: str, schema, out: str, checkpoint: str,
-                           delay: str = "31 days", files_per_trigger: int = 4) -> None:
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-                .parquet(landing))
-    snaps = src.select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("snap_ts"),
+                           delay: str | None, files_per_trigger: int | None = None) -> None:
+    """First snapshot of every timestamp (to the second).
+
+    ``delay`` is the contract on lateness: with an interval, repeats that
+    arrive within it are dropped, state older than it is let go, and rows
+    later than it are lost; with ``None`` every timestamp is remembered and
+    the result equals a batch ``distinct`` whatever the order of arrival.
+    """
+    src = _landed(spark, landing, schema, files_per_trigger)
+    snaps = src.select(F.date_trunc("second", F.col("ts").cast("timestamp")).alias("snap_ts"),
                        F.col("event_id").alias("pos"))
-    dedup = snaps.withWatermark("snap_ts", delay).dropDuplicatesWithinWatermark(["snap_ts"])
+    dedup = (snaps.dropDuplicates(["snap_ts"]) if delay is None
+             else snaps.withWatermark("snap_ts", delay).dropDuplicatesWithinWatermark(["snap_ts"]))
     q = (dedup.writeStream.format("parquet").option("path", out)
               .option("checkpointLocation", checkpoint).outputMode("append")
               .trigger(availableNow=True).start())
@@ -80,9 +92,10 @@ def run_fold_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
     return read_folded(spark, f"{base}/out")
 
 
-def run_dedup_stream(spark: SparkSession, events: DataFrame) -> DataFrame:
+def run_dedup_stream(spark: SparkSession, events: DataFrame, delay: str | None = None,
+                     files_per_trigger: int | None = None) -> DataFrame:
     base = scratch(spark, "dedup")
     land_events(events, f"{base}/landing")
     schema = spark.read.parquet(f"{base}/landing").schema
-    dedup_snapshots_stream(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/ckpt")
+    dedup_snapshots_stream(spark, f"{base}/landing", schema, f"{base}/out", f"{base}/ckpt", delay, files_per_trigger)
     return spark.read.parquet(f"{base}/out")
