@@ -204,7 +204,8 @@ def scan(docs: DataFrame, rules=(*BASE, *EXTRA), id_col: str = "doc_id", text_co
         spans = spans_of(text, r, rank)
         parts.append(F.when(F.array_contains("_kinds", r.kind), spans).otherwise(
             F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")) if queries[r.kind] else spans)
-    return (key.join(found.withColumnRenamed("kinds", "_kinds"), "_key", "left")
+    # one plan at every size: the candidates grow with the rows, so they are never broadcast
+    return (key.join(found.withColumnRenamed("kinds", "_kinds").hint("merge"), "_key", "left")
             .withColumn("_spans", F.array_sort(F.concat(*parts))).drop("_key", "_kinds"))
 
 
