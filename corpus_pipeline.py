@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     so do rows without an id, and rows that repeat the id that stays."""
     groups = jaccard.similar_components(docs).where("n_shingles > 0 and component_id <> doc_id")
     others = write_out(groups.select(F.col("doc_id").alias("_other")).distinct(), "near-copies")
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    return docs.join(others.hint("merge"), docs["doc_id"] == others["_other"], "left_anti")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -182,7 +182,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     tokens = rows.select("node", F.explode("prefix").alias("token"))
     shared = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    multi = write_out(tokens.join(shared.select("token", "hub"), "token").distinct(), "shared-tokens")
+    # merge joins where a side grows with the documents: one plan at every size, hot keys can be split
+    multi = write_out(tokens.join(shared.select("token", "hub").hint("merge"), "token").distinct(), "shared-tokens")
 
     size = rows.select("node", "n").distinct()
     label = multi.groupBy("node").agg(F.min("hub").alias("label")).join(size, "node")
@@ -198,7 +199,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     one = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("wanted_id")).join(
         member.select("node").distinct(), "node")
-    texts = one.select(F.col("node").alias("wanted"), "wanted_id").join(
+    texts = one.select(F.col("node").alias("wanted"), "wanted_id").hint("merge").join(
         docs, F.col("wanted_id").eqNullSafe(F.col("doc_id"))).select("wanted", "text")
     held = sets_of(texts, gram)
 
@@ -209,7 +210,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         found = block_links(frame["node"].to_numpy(), sets, at == first, at == second, percent, orders)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    links = member.join(held, "node").groupBy("b1", "b2").applyInPandas(verify, "a long, b long")
+    links = member.hint("merge").join(held, "node").groupBy("b1", "b2").applyInPandas(verify, "a long, b long")
     comp = components(links, "a", "b")
 
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").withColumn(

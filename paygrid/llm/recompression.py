@@ -215,7 +215,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = write_out(read(docs, size, rounds), "anchors")
     every = base.select("key", F.explode(F.arrays_zip("sym", "span", "lo", "hi")).alias("a")).select("key", "a.*")
     often = every.groupBy("sym").agg(F.count("*").alias("times")).where("times > 1").select("sym")
-    found = write_out(every.join(often, "sym"), "shared-anchors")
+    # merge joins where both sides grow with the documents: one plan at every size, hot keys can be split
+    found = write_out(every.join(often.hint("merge"), "sym"), "shared-anchors")
 
     kinds = found.groupBy("sym", "span").agg(F.count("*").alias("times"), F.min(F.struct("key", "lo")).alias("one"))
     mixed = kinds.groupBy("sym").agg((F.count("*") > 1).alias("mixed"))
@@ -224,14 +225,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = F.when(F.col("mixed") & (F.col("one") == F.struct("key", "lo")),
                   F.struct("lo", "hi", (F.col("times") > 1).alias("known")))
     ranges = role.groupBy("key").agg(F.collect_list(whole).alias("whole"), F.collect_list(part).alias("part"))
-    texts = docs.select("key", "text").join(ranges, "key").select("key", "text", "whole", "part")
+    texts = docs.select("key", "text").join(ranges.hint("merge"), "key").select("key", "text", "whole", "part")
     held = write_out(window_hashes(texts, size), "window-hashes")
 
     place = held.select("key", F.explode(F.arrays_zip("h", "s", "known")).alias("w")).select("key", "w.*")
     twice = place.groupBy("h").agg(F.max("known").alias("known"), F.min(F.struct("key", "s")).alias("a"),
                                    F.max(F.struct("key", "s")).alias("b")).where("known or a <> b").select("h")
     at = place.join(twice, "h").groupBy("key").agg(F.collect_set("s").alias("at"))
-    done = cut(held.select("key", "text", "whole").join(at, "key", "left"), size, keep_text).dropDuplicates(["key"])
+    done = cut(held.select("key", "text", "whole").join(at.hint("merge"), "key", "left"), size, keep_text).dropDuplicates(["key"])
     return base.select("doc_id", "key", "n_words", "sha256").join(done, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *(["kept_text"] if keep_text else []))
