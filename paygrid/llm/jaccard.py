@@ -7,12 +7,13 @@ under several orders and a pair must pass all of them before its sets are
 compared.
 
 The first order (frequent tokens last, by counts over all documents) runs in
-Spark: prefix tokens that two different sets share are found by grouping.
-Sets that share one are dealt to blocks of bounded size, and each pair of
-blocks with a common token is one task group: it applies the further orders to
-its sets, verifies what is left, and returns links that connect whatever is
-linked there.  Pairs are never written out, and equal sets are one node, so
-large groups of copies cost their members, not their pairs.
+Spark: prefix tokens that two different sets share are found by grouping, and
+sets of compatible length under one token are candidates.  They are compared
+in two steps, so that a large group of near copies costs its members and not
+its pairs: first each set with its neighbour by length under every shared
+token, then all pairs that the links found so far leave apart.  The further
+orders are applied where the sets of a block of pairs lie together, before
+they are verified.  Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paygrid.llm.filters import bitmap_of, may_hold
 from paygrid.llm.graph import components
 from paygrid.llm.words import gram_hashes, mix, split
 from paygrid.session import write_out
@@ -32,7 +34,7 @@ PERCENT = 80
 ORDERS = 3                    # the first in Spark, the others on each block pair
 COMMON_TOKENS = 50_000        # most frequent tokens, put last in the first order
 COMMON_LEAST = 16             # documents that a token must be in to count as frequent
-BLOCK_SETS, BLOCK_TOKENS = 256, 400_000     # about so many sets and tokens are dealt to a block
+BLOCK_SETS, BLOCK_TOKENS = 256, 400_000     # about so many sets, or tokens, are dealt to a block
 _U = np.uint64
 
 
@@ -89,64 +91,62 @@ def first_prefix(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray, siz
     return tokens[np.argsort(mix(tokens))[:size]]
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """One bit per token in a power of two of bits, at least their number."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = np.zeros(size, bool)
+    bits[(mix(tokens) & _U(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def digest(docs: DataFrame, gram: int, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``(doc_id, n, node, prefix)`` of every row."""
+    """``(doc_id, n, node, prefix, bits)`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((common, counts))
 
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        off = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
     def run(batches):
         for batch in batches:
-            n, node, prefix = [], [], []
+            n, node, prefix, bits = [], [], [], []
             for tokens in token_sets(batch.column(1), gram):
                 n.append(len(tokens))
                 node.append(node_of(tokens) if len(tokens) else 0)
-                prefix.append(first_prefix(tokens, *shared.value, prefix_size(len(tokens), percent) if len(tokens) else 0).view(np.int64))
-            lens = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))], names=["doc_id", "n", "node", "prefix"])
-    return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>")
-
-
-def sets_of(docs: DataFrame, gram: int) -> DataFrame:
-    """``(node, tokens)`` of rows ``(wanted, text)`` whose set is the wanted one."""
-    def run(batches):
-        for batch in batches:
-            keep = [(w, t.tobytes()) for w, t in zip(batch.column(0).to_pylist(), token_sets(batch.column(1), gram), strict=True)
-                    if len(t) and node_of(t) == w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keep], pa.int64()),
-                                              pa.array([t for _, t in keep], pa.binary())], names=["node", "tokens"])
-    return docs.mapInArrow(run, "node long, tokens binary")
-
-
-def share_prefix(sets: list[np.ndarray], percent: int, seed: int) -> np.ndarray:
-    """Which sets share a prefix token under the order of a seeded hash."""
-    prefixes = [t[np.argpartition(mix(t ^ _U(seed)), k - 1)[:k]] if (k := prefix_size(len(t), percent)) < len(t) else t
-                for t in sets]
-    owner = np.repeat(np.arange(len(sets)), [len(p) for p in prefixes])
-    tokens = np.concatenate(prefixes)
-    by = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[by], owner[by]
-    edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-    out = np.zeros((len(sets), len(sets)), bool)
-    for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if hi - lo > 1:
-            out[np.ix_(owner[lo:hi], owner[lo:hi])] = True
-    return out
-
-
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int,
-                orders: int) -> list[tuple[int, int]]:
-    """Links that connect all similar pairs of a left and a right set; a pair
-    that earlier links connect already needs no comparison."""
-    n = np.array([len(t) for t in sets])
-    ok = np.outer(left, right)
-    ok |= ok.T
-    small, large = np.minimum.outer(n, n), np.maximum.outer(n, n)
-    ok &= 100 * small >= percent * large
-    for k in range(1, orders):
-        ok &= share_prefix(sets, percent, 0x51ED270B * k)
-    root = list(range(len(sets)))
+                size = prefix_size(len(tokens), percent) if len(tokens) else 0
+                prefix.append(first_prefix(tokens, *shared.value, size).view(np.int64))
+                bits.append(bitmap(tokens))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(bits)],
+                                             names=["doc_id", "n", "node", "prefix", "bits"])
+    return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, bits array<long>")
+
+
+def not_too_different(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``pairs (a, b)`` whose bitmaps allow the similarity: every bit that only
+    one set has is a token that the other lacks."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")).hint("merge")
+    d = pairs.join(side("a"), "a").join(side("b"), "b")
+    size = F.least(F.size("bits_a"), F.size("bits_b"))      # compatible lengths: at most one halving apart
+    fold = lambda x: F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size),
+                                                         lambda u, v: u.bitwiseOR(v))).otherwise(F.col(x))
+    d = d.withColumns({"f_a": fold("bits_a"), "f_b": fold("bits_b")})
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, c: t + c)
+    need = percent * (F.col("n_a") + F.col("n_b"))
+    enough = lambda n, x, y: (100 + percent) * (F.col(n) - lacks(x, y)) >= need
+    return d.where(enough("n_a", "f_a", "f_b") & enough("n_b", "f_b", "f_a")).select("a", "b")
+
+
+def prefix_at(tokens: np.ndarray, percent: int, seed: int) -> np.ndarray:
+    """The prefix under the order of a seeded hash."""
+    k = prefix_size(len(tokens), percent)
+    return np.sort(tokens[np.argpartition(mix(tokens ^ _U(seed)), k - 1)[:k]]) if k < len(tokens) else tokens
+
+
+def block_links(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray], percent: int, orders: int) -> list[tuple[int, int]]:
+    """Links among ``pairs`` that connect all similar ones; a pair that
+    earlier links connect already needs no comparison."""
+    root: dict[int, int] = {k: k for k in sets}
+    prefixes: dict[tuple[int, int], np.ndarray] = {}
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -154,18 +154,74 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], left: np.ndarray, rig
             i = root[i]
         return i
 
+    def common(x: np.ndarray, y: np.ndarray) -> int:
+        at = np.searchsorted(y, x)
+        return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+    def prefix(node: int, order: int) -> np.ndarray:
+        if (node, order) not in prefixes:
+            prefixes[node, order] = prefix_at(sets[node], percent, 0x51ED270B * order)
+        return prefixes[node, order]
+
     out = []
-    for i, j in np.argwhere(np.triu(ok, 1)).tolist():
-        a, b = find(i), find(j)
-        if a == b:
+    for a, b in pairs:
+        if find(a) == find(b) or not all(common(prefix(a, k), prefix(b, k)) for k in range(1, orders)):
             continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-            root[a] = b
-            out.append((int(nodes[i]), int(nodes[j])))
+        both = common(sets[a], sets[b])
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            root[find(a)] = find(b)
+            out.append((a, b))
     return out
 
 
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, percent: int, orders: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all similar ones of ``pairs (a, b)``.
+
+    Nodes are dealt to blocks: small components of the pairs share blocks of
+    about ``BLOCK_TOKENS`` tokens, larger ones are cut into blocks of about
+    ``BLOCK_SETS`` sets; every pair of blocks with a pair is one group, to
+    which the texts of its nodes are sent once.
+    """
+    pairs = write_out(not_too_different(pairs, nodes, percent), "candidates")
+    held = components(pairs, "a", "b").join(nodes.select("node", "n", "wanted_id"), "node")
+    group = held.select("node", "component", "n")
+    texts = texts_of(docs, write_out(held.select("node", "n", "wanted_id"), "wanted"), gram)
+    whole = group.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s")).withColumn(
+        "cuts", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_TOKENS)))
+    total = whole.agg(F.ceil(F.sum("s") / BLOCK_TOKENS).alias("blocks"))                     # one row
+    block = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("component"), F.col("blocks"))).otherwise(
+        F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("cuts"))))
+    dealt = write_out(group.join(whole, "component").crossJoin(F.broadcast(total)).select("node", block.alias("block")), "blocks")
+    listed = pairs.join(dealt.select(F.col("node").alias("a"), F.col("block").alias("x")), "a").join(
+        dealt.select(F.col("node").alias("b"), F.col("block").alias("y")), "b").select(
+        "a", "b", F.least("x", "y").alias("b1"), F.greatest("x", "y").alias("b2"))
+    listed = write_out(listed, "pairs")
+    member = listed.select(F.col("a").alias("node"), "b1", "b2").union(listed.select("b", "b1", "b2")).distinct()
+    sent = member.hint("merge").join(texts.select("node", "text"), "node").select(
+        "node", "text", F.col("b1").alias("c1"), F.col("b2").alias("c2"))
+
+    def run(p: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        m = m.drop_duplicates("node") if len(m) else m
+        sets = dict(zip(m["node"].tolist(), token_sets(pa.array(m["text"], pa.string()), gram), strict=True))
+        found = block_links(list(zip(p["a"].tolist(), p["b"].tolist(), strict=True)), sets, percent, orders)
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return write_out(listed.groupBy("b1", "b2").cogroup(sent.groupBy("c1", "c2")).applyInPandas(run, "a long, b long"), "links")
+
+
+def texts_of(docs: DataFrame, one: DataFrame, gram: int) -> DataFrame:
+    """``(node, n, text)`` for ``one (node, n, wanted_id)``: the texts of the
+    wanted ids whose set is the node's."""
+    def run(batches):
+        for batch in batches:
+            nodes = batch.column(0).to_pylist()
+            keep = [k for k, t in enumerate(token_sets(batch.column(2), gram)) if len(t) and node_of(t) == nodes[k]]
+            yield batch.take(pa.array(keep, pa.int64()))
+    some = may_hold(docs, "doc_id", bitmap_of(one, "wanted_id"))
+    held = one.hint("merge").join(some, F.col("wanted_id").eqNullSafe(F.col("doc_id"))).select("node", "n", "text")
+    return held.mapInArrow(run, "node long, n long, text string")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM,
                        percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
     """One row per input row: ``(doc_id, n_shingles, component_id)``.
@@ -180,38 +236,30 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common, counts = frequent_tokens(docs, gram, COMMON_TOKENS, COMMON_LEAST)
     rows = write_out(digest(docs, gram, percent, common, counts), "sets")
 
-    tokens = rows.select("node", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub <> top")
-    # merge joins where a side grows with the documents: one plan at every size, hot keys can be split
-    multi = write_out(tokens.join(shared.select("token", "hub").hint("merge"), "token").distinct(), "shared-tokens")
-
-    size = rows.select("node", "n").distinct()
-    label = multi.groupBy("node").agg(F.min("hub").alias("label")).join(size, "node")
-    room = label.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_TOKENS)).alias("k"))
-    block = label.join(room, "label").select(
-        "node", F.xxhash64("label", F.pmod(F.xxhash64("node"), F.col("k"))).alias("block"))
-    dealt = write_out(multi.select("token", "node").join(block, "node"), "blocks")
-    other = dealt.select("token", F.col("block").alias("other")).distinct()
-    member = dealt.join(other, "token").select(
-        "node", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")).distinct()
-    pair = member.groupBy("b1", "b2").agg(F.count("*").alias("members")).where("members > 1").select("b1", "b2")
-    member = write_out(member.join(pair, ["b1", "b2"]), "members")
-
-    one = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("wanted_id")).join(
-        member.select("node").distinct(), "node")
-    texts = one.select(F.col("node").alias("wanted"), "wanted_id").hint("merge").join(
-        docs, F.col("wanted_id").eqNullSafe(F.col("doc_id"))).select("wanted", "text")
-    held = sets_of(texts, gram)
-
-    def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("node")
-        sets = [np.frombuffer(t, np.uint64) for t in frame["tokens"]]
-        first, second, at = frame["b1"].iloc[0], frame["b2"].iloc[0], frame["block"].to_numpy()
-        found = block_links(frame["node"].to_numpy(), sets, at == first, at == second, percent, orders)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    links = member.hint("merge").join(held, "node").groupBy("b1", "b2").applyInPandas(verify, "a long, b long")
-    comp = components(links, "a", "b")
+    tokens = rows.select("node", "n", F.explode("prefix").alias("token"))
+    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    by_length = Window.partitionBy("token").orderBy("n", "node")
+    beside = tokens.withColumns({"b": F.lag("node").over(by_length), "m": F.lag("n").over(by_length), "c": F.lead("node").over(by_length)})
+    multi = write_out(beside.where("b <> node or c <> node"), "shared-tokens")     # tokens of one set only end here
+
+    near = multi.where((F.col("b") != F.col("node")) & alike(F.col("m"), F.col("n"))).select(
+        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+    near = write_out(near.distinct(), "neighbours")
+    # a set with any compatible partner under a token has a compatible neighbour there
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    nodes = write_out(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("wanted_id"), F.min("bits").alias("bits")).join(
+        ends, "node"), "nodes")
+
+    first = verify(near, nodes, docs, gram, percent, orders)
+    group = components(first, "a", "b")
+    open_ = multi.select("token", "n", "node").distinct().join(ends, "node").join(group, "node", "left").select(
+        "token", "n", "node", F.coalesce("component", "node").alias("c"))
+    open_ = write_out(open_, "open")
+    x, y = open_.alias("x"), open_.hint("merge").alias("y")
+    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+                  & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    rest = write_out(rest.join(near, ["a", "b"], "left_anti"), "rest")
+    comp = components(first.union(verify(rest, nodes, docs, gram, percent, orders)), "a", "b")
 
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
