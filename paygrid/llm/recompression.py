@@ -9,7 +9,8 @@ window of ``size`` words that holds this span has the symbol wherever the
 window occurs.  A window's anchor is the least such symbol (by hash), or the
 window's own hash if it has none.
 
-Consecutive windows with one anchor form a row ``(sym, span, lo, hi)``, about
+An anchor is named by its symbol and all words of that span.  Consecutive
+windows with one anchor form a row ``(sym, span, lo, hi)``, about
 one for 13 words; ``span`` is the hash of all words these windows cover.
 Symbols that occur once end there.  Of the others, rows with an equal span
 are repeats as a whole; where the spans of a symbol differ, the windows
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paygrid.llm.filters import bitmap_of, may_hold
 from paygrid.llm.words import _power, mix, split
 from paygrid.session import write_out
 
@@ -120,9 +122,14 @@ def anchors(h: np.ndarray, bounds: np.ndarray, size: int, rounds: int):
     at = np.flatnonzero(new)
     lo = s[at]
     hi = s[np.append(at[1:], len(s)) - 1] if len(s) else lo
-    span = Spans(h).hash(lo, hi + size)
     own = pick[at]
-    name = np.where(own >= 0, sym[np.maximum(own, 0)] if len(sym) else span, ~span)
+    spans, sure = Spans(h), np.maximum(own, 0)
+    span = spans.hash(lo, hi + size)
+    if not len(at):
+        return row[lo], span, span, lo, hi
+    # named with all words that decided the symbol: a symbol of a few common words is no sign of a repeat
+    inner = own >= 0
+    name = np.where(inner, mix(sym[sure] ^ spans.hash(np.where(inner, first[sure], 0), np.where(inner, last[sure] + 1, 0))), ~span)
     return row[lo], name, span, lo, hi
 
 
@@ -224,8 +231,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = F.when(F.col("times") > 1, F.struct("lo", "hi"))
     part = F.when(F.col("mixed") & (F.col("one") == F.struct("key", "lo")),
                   F.struct("lo", "hi", (F.col("times") > 1).alias("known")))
-    ranges = role.groupBy("key").agg(F.collect_list(whole).alias("whole"), F.collect_list(part).alias("part"))
-    texts = docs.select("key", "text").join(ranges.hint("merge"), "key").select("key", "text", "whole", "part")
+    ranges = write_out(role.groupBy("key").agg(F.collect_list(whole).alias("whole"), F.collect_list(part).alias("part")), "ranges")
+    texts = may_hold(docs.select("key", "text"), "key", bitmap_of(ranges, "key")).join(ranges.hint("merge"), "key").select("key", "text", "whole", "part")
     held = write_out(window_hashes(texts, size), "window-hashes")
 
     place = held.select("key", F.explode(F.arrays_zip("h", "s", "known")).alias("w")).select("key", "w.*")
