@@ -159,25 +159,49 @@ def read(docs: DataFrame, size: int, rounds: int) -> DataFrame:
         run, "doc_id long, key long, n_words long, sha256 string, sym array<long>, span array<long>, lo array<int>, hi array<int>")
 
 
-def window_hashes(texts: DataFrame, size: int) -> DataFrame:
-    """Adds to ``(key, text, whole, part)`` the hashes of the windows in the
-    ranges of ``part``, their places, and whether two places are known."""
+def kept(w, a: int, b: int, whole, at, size: int) -> tuple[int, bytes]:
+    """Words removed from words ``a .. b - 1`` of a slice, and the others joined."""
+    d = np.zeros(b - a + 1, np.int64)
+    for p in whole or []:
+        d[p["lo"]] += 1
+        d[p["hi"] + size] -= 1
+    s = np.array(at or [], np.int64)
+    np.add.at(d, s, 1)
+    np.add.at(d, s + size, -1)
+    keep = np.cumsum(d)[:-1] == 0
+    return int((~keep).sum()), w.joined(a, b, keep)
+
+
+def window_hashes(texts: DataFrame, size: int, keep_text: bool) -> DataFrame:
+    """``(key, text, whole, part)`` with the hashes of the windows in the
+    ranges of ``part``, their places, and whether two places are known.  If
+    all are, the result of the row stands there in place of its text."""
     def run(batches):
         for batch in batches:
-            part = batch.column(3).to_pylist()
-            hs, ss, ws = [], [], []
+            whole, part = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            hs, ss, ws, texts, results = [], [], [], batch.column(1).to_pylist(), []
             for w in split(batch.column(1)):
                 spans = Spans(w.hashes)
-                for k, a, _ in w.rows():
+                for k, a, b in w.rows():
                     s = np.concatenate([np.zeros(0, np.int64), *[np.arange(p["lo"], p["hi"] + 1) for p in part[k]]])
                     hs.append(spans.hash(s + a, s + a + size).view(np.int64))
                     ss.append(s)
                     ws.append(np.repeat([p["known"] for p in part[k]], [p["hi"] - p["lo"] + 1 for p in part[k]]).astype(bool))
+                    if all(p["known"] for p in part[k]):
+                        n, text = kept(w, a, b, whole[k], None, size)
+                        results.append((n, _sha(text), text.decode() if keep_text else None))
+                        texts[k] = None
+                    else:
+                        results.append((None, None, None))
             off = pa.array(np.cumsum([0, *map(len, hs)]).astype(np.int32))
             flat = lambda x, t: pa.ListArray.from_arrays(off, pa.array(np.concatenate(x) if x else [], t))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), flat(hs, pa.int64()),
-                                              flat(ss, pa.int32()), flat(ws, pa.bool_())], names=["key", "text", "whole", "h", "s", "known"])
-    return texts.mapInArrow(run, "key long, text string, whole array<struct<lo:int,hi:int>>, h array<long>, s array<int>, known array<boolean>")
+            done = list(zip(*results, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.string()), batch.column(2), flat(hs, pa.int64()), flat(ss, pa.int32()), flat(ws, pa.bool_()),
+                 pa.array(done[0], pa.int64()), pa.array(done[1], pa.string()), pa.array(done[2], pa.string())],
+                names=["key", "text", "whole", "h", "s", "known", "n_removed", "kept_sha256", "kept_text"])
+    return texts.mapInArrow(run, "key long, text string, whole array<struct<lo:int,hi:int>>, h array<long>, s array<int>, "
+                                 "known array<boolean>, n_removed long, kept_sha256 string, kept_text string")
 
 
 def cut(texts: DataFrame, size: int, keep_text: bool) -> DataFrame:
@@ -189,16 +213,8 @@ def cut(texts: DataFrame, size: int, keep_text: bool) -> DataFrame:
             removed, sha, left = [], [], []
             for w in split(batch.column(1)):
                 for k, a, b in w.rows():
-                    d = np.zeros(b - a + 1, np.int64)
-                    for p in whole[k] or []:
-                        d[p["lo"]] += 1
-                        d[p["hi"] + size] -= 1
-                    s = np.array(at[k] or [], np.int64)
-                    np.add.at(d, s, 1)
-                    np.add.at(d, s + size, -1)
-                    keep = np.cumsum(d)[:-1] == 0
-                    text = w.joined(a, b, keep)
-                    removed.append(int((~keep).sum()))
+                    n, text = kept(w, a, b, whole[k], at[k], size)
+                    removed.append(n)
                     sha.append(_sha(text))
                     left.append(text.decode() if keep_text else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(sha, pa.string()),
@@ -219,27 +235,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn(
         "key", F.xxhash64("doc_id", "text"))
-    base = write_out(read(docs, size, rounds), "anchors")
+    base = write_out(read(docs, size, rounds), "anchors", compression="zstd")
     every = base.select("key", F.explode(F.arrays_zip("sym", "span", "lo", "hi")).alias("a")).select("key", "a.*")
-    often = every.groupBy("sym").agg(F.count("*").alias("times")).where("times > 1").select("sym")
     # merge joins where both sides grow with the documents: one plan at every size, hot keys can be split
-    found = write_out(every.join(often.hint("merge"), "sym"), "shared-anchors")
+    often = write_out(every.groupBy("sym").agg(F.count("*").alias("times")).where("times > 1").select("sym"), "shared-symbols")
+    found = write_out(may_hold(every, "sym", bitmap_of(often, "sym")).join(often.hint("merge"), "sym"), "shared-anchors")
 
     kinds = found.groupBy("sym", "span").agg(F.count("*").alias("times"), F.min(F.struct("key", "lo")).alias("one"))
     mixed = kinds.groupBy("sym").agg((F.count("*") > 1).alias("mixed"))
-    role = found.join(kinds, ["sym", "span"]).join(mixed, "sym").where("times > 1 or mixed").distinct()
+    kinds = kinds.join(mixed, "sym").where("times > 1 or mixed")
+    role = found.join(kinds.hint("merge"), ["sym", "span"])
     whole = F.when(F.col("times") > 1, F.struct("lo", "hi"))
     part = F.when(F.col("mixed") & (F.col("one") == F.struct("key", "lo")),
                   F.struct("lo", "hi", (F.col("times") > 1).alias("known")))
-    ranges = write_out(role.groupBy("key").agg(F.collect_list(whole).alias("whole"), F.collect_list(part).alias("part")), "ranges")
-    texts = may_hold(docs.select("key", "text"), "key", bitmap_of(ranges, "key")).join(ranges.hint("merge"), "key").select("key", "text", "whole", "part")
-    held = write_out(window_hashes(texts, size), "window-hashes")
+    ranges = write_out(role.groupBy("key").agg(F.collect_set(whole).alias("whole"), F.collect_set(part).alias("part")), "ranges")
+    texts = may_hold(docs.select("key", "text"), "key", bitmap_of(ranges, "key")).join(ranges.hint("merge"), "key")
+    # a document is settled if its windows are repeats as a whole; only the others wait for the counts
+    held = write_out(window_hashes(texts.select("key", "text", "whole", "part"), size, keep_text), "window-hashes", compression="zstd")
 
     place = held.select("key", F.explode(F.arrays_zip("h", "s", "known")).alias("w")).select("key", "w.*")
-    twice = place.groupBy("h").agg(F.max("known").alias("known"), F.min(F.struct("key", "s")).alias("a"),
-                                   F.max(F.struct("key", "s")).alias("b")).where("known or a <> b").select("h")
-    at = place.join(twice, "h").groupBy("key").agg(F.collect_set("s").alias("at"))
-    done = cut(held.select("key", "text", "whole").join(at.hint("merge"), "key", "left"), size, keep_text).dropDuplicates(["key"])
+    # places known twice over count double; a repeated row only has such places
+    twice = place.groupBy("h").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("times")).where("times > 1").select("h")
+    at = place.where("not known").join(twice, "h").groupBy("key").agg(F.collect_set("s").alias("at"))
+    late = cut(held.where("text is not null").select("key", "text", "whole").join(at.hint("merge"), "key", "left"), size, keep_text)
+    done = held.where("text is null").select("key", "n_removed", "kept_sha256", "kept_text").union(late).dropDuplicates(["key"])
     return base.select("doc_id", "key", "n_words", "sha256").join(done, "key", "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), *(["kept_text"] if keep_text else []))
