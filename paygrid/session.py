@@ -57,14 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def write_out(df: DataFrame, name: str = "table") -> DataFrame:
+def write_out(df: DataFrame, name: str = "table", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts lineage durably: the files survive a lost executor, and every reader
     sees the same rows.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
