@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["department_pay", "dept_seniority_matrix", "skill_counts", "dept_skill_matrix", "box_stats",
             "weekly_open_roles", "recurring_titles", "fold_snapshots", "comparables_all", "word_freq",
-            "kmeans_8"]
+            "kmeans_8", "salary_block", "html_to_markdown", "skill_phrases", "backfill_description"]
 
 
 def main() -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paygrid import rules as R
 from paygrid.functions.regex import extract, first_match, jpat
-from paygrid.functions.text import html_unescape, normalize_ws
+from paygrid.functions.text import html_unescape, normalize_ws, strip_tags
 
 RANGE = (f"{R.CURRENCY_SYMBOL}\\s*({R.NUMBER}){R.UNIT_SUFFIX}\\s*{R.DASH}\\s*"
          f"(?:{R.CURRENCY_SYMBOL}\\s*)?({R.NUMBER}){R.UNIT_SUFFIX}")
@@ -63,11 +63,10 @@ CODE_RANGE = f"({R.NUMBER})\\s*{R.REPARSE_DASH}\\s*({R.NUMBER})\\s*(USD|EUR|GBP|
 def reparse_salary(text) -> Column:
     """The salary analysis's own parser: comma range, dotted range, coded bare range.
 
-    Input is treated as plain text (tags are not stripped; use ``html_to_text``
-    first for markup).
+    Tags are stripped and references decoded first.
     """
     raw = F.col(text) if isinstance(text, str) else text
-    plain = normalize_ws(raw)
+    plain = strip_tags(raw)
     empty = raw.isNull() | (plain == "")
     unit = first_match(plain, R.REPARSE_UNIT_RULES, None)
     code = extract(plain, R.CURRENCY_CODE, 1, ci=False)

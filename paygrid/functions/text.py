@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
 from paygrid.functions.regex import extract, fold, jpat
 
-# FIXED VALUES: the named entities decoded natively (plus decimal / hex numerics
-# of ASCII punctuation); ``&amp;`` last so that double escapes decode once.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-            ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"),
-            ("&mdash;", "—"), ("&ndash;", "–"), ("&euro;", "€"),
-            ("&pound;", "£"), ("&hellip;", "…"), ("&rsquo;", "’"),
-            ("&lsquo;", "‘"), ("&rdquo;", "”"), ("&ldquo;", "“"),
-            ("&amp;", "&")]
+# Named references come from the standard table: with a semicolon all of them,
+# without one only the old names that the table lists so.
+_NAMED = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+_BARE = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+# numbers that stand for another character: 128-159 as in Windows-1252, 0 and surrogates as U+FFFD
+_CP1252 = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
 
 
 def _c(c) -> Column:
@@ -27,22 +27,52 @@ def normalize_ws(c) -> Column:
     return F.trim(F.regexp_replace(_c(c), "(?U)\\s+", " "))
 
 
+def _map(pairs: dict) -> Column:
+    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), F.lit(v))])
+
+
+def _numeric(digits: Column, base: int) -> Column:
+    n = F.conv(F.substring(digits, 1, 12), base, 10).cast("bigint")
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.when(bad, F.lit("\ufffd")).when(n.between(128, 159), F.try_element_at(_map(_CP1252), n.cast("int"))).otherwise(char)
+
+
+def _decoded(piece: Column) -> Column:
+    """What follows an ampersand, with the reference at its start decoded."""
+    rest = lambda pattern: F.regexp_replace(piece, pattern, "")
+    dec, hexa = F.regexp_extract(piece, "^#([0-9]+)", 1), F.regexp_extract(piece, "^#[xX]([0-9a-fA-F]+)", 1)
+    full = F.regexp_extract(piece, "^([A-Za-z][A-Za-z0-9]*);", 1)
+    named = F.try_element_at(_map(_NAMED), full)
+    bare = F.regexp_extract(piece, "^(" + "|".join(_BARE) + ")", 1)
+    return (F.when(dec != "", F.concat(_numeric(dec, 10), rest("^#[0-9]+;?")))
+            .when(hexa != "", F.concat(_numeric(hexa, 16), rest("^#[xX][0-9a-fA-F]+;?")))
+            .when(named.isNotNull(), F.concat(named, rest("^[A-Za-z0-9]+;")))
+            .when(bare != "", F.concat(F.try_element_at(_map({k: html5[k] for k in _BARE}), bare),
+                                       F.substr(piece, F.length(bare) + 1)))
+            .otherwise(F.concat(F.lit("&"), piece)))
+
+
 def html_unescape(c) -> Column:
-    out = _c(c)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Decode all character references once: named, decimal, hexadecimal."""
+    parts = F.split(_c(c), "&", -1)
+    decoded = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_decoded(p)))
+    return F.when(_c(c).contains("&"), F.array_join(decoded, "")).otherwise(_c(c))
 
 
-def html_to_text(c) -> Column:
-    """Native markup stripper: drop comments, script/style bodies and tags,
-    decode entities, join text runs with single spaces."""
-    h = _c(c)
-    h = F.regexp_replace(h, "(?s)<!--.*?-->", " ")
+def strip_tags(c) -> Column:
+    """Markup to text: comments, script/style bodies and tags become spaces,
+    then references are decoded and white space is collapsed."""
+    h = F.regexp_replace(_c(c), "(?s)<!--.*?-->", " ")
     for tag in ("script", "style"):
         h = F.regexp_replace(h, f"(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>", " ")
-    h = F.regexp_replace(h, "(?s)<[^>]*>", " ")
-    return normalize_ws(html_unescape(h))
+    # a tag starts with a letter, / ! or ?: a lone < is text
+    return normalize_ws(html_unescape(F.regexp_replace(h, "(?s)<[a-zA-Z/!?][^>]*>", " ")))
+
+
+def html_to_text(c) -> Column:
+    """Text of (possibly escaped) markup: decode, strip, decode."""
+    return strip_tags(html_unescape(c))
 
 
 def extract_yoe_max(desc="description_md") -> Column:

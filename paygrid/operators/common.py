@@ -64,13 +64,15 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers (furthest datum inside) and outlier count.
 
-    Aggregate -> join back -> aggregate: no window holds a whole group, and
-    the per-group quartile table is small enough for AQE to broadcast.
+    The input is read once into (group, value, count); the weighted quartiles
+    and, joined back with them, the whiskers come from that table (both
+    branches share its exchange).  No window holds a whole group.
     """
-    v = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
+    v = (df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+           .groupBy(group, value).agg(F.count("*").alias("_c")))
     q = (v.groupBy(group)
-          .agg(F.count("*").alias("n"),
-               F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"))
+          .agg(F.sum("_c").alias("n"),
+               F.percentile(value, [0.25, 0.5, 0.75], F.col("_c")).alias("_q"))
           .select(group, "n",
                   F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
                   F.col("_q")[2].alias("q3")))
@@ -81,7 +83,7 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
           .groupBy(group, "n", "q1", "median", "q3")
           .agg(F.min(F.when(x >= lo_fence, x)).alias("whisker_lo"),
                F.max(F.when(x <= hi_fence, x)).alias("whisker_hi"),
-               F.count_if((x < lo_fence) | (x > hi_fence)).alias("n_outliers")))
+               F.coalesce(F.sum(F.when((x < lo_fence) | (x > hi_fence), F.col("_c"))), F.lit(0)).alias("n_outliers")))
     return w
 
 

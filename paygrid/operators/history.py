@@ -272,18 +272,19 @@ def needs_description(h: DataFrame | None = None) -> Column:
     return C.is_content_family("title") & blank & has_url
 
 
-def backfill_description(h: DataFrame, pages: DataFrame, extract=None) -> DataFrame:
-    """Fill blank descriptions of content-family rows from their landed page.
+def backfill_description(h: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fill blank descriptions of content-family rows from the main content
+    (as markdown) of their landed page.
 
-    The cheap row filter runs before any page is parsed (Catalyst does not
-    move filters across a Python stage), then only the pages of rows that
-    need one are joined by URL.  A missing page leaves an empty text.
+    Only the pages whose URL a blank row names are parsed: a semi join on the
+    URL stands before the Python pass.  A missing page leaves an empty text.
     """
-    from paygrid.functions.text import html_to_text
-    extract = extract or html_to_text
+    from paygrid.sources.pages import main_content
     need = needs_description(h)
-    todo = h.where(need)
-    texts = pages.select(F.col("url").alias("_url"), extract(F.col("html")).alias("_text"))
-    filled = (todo.join(texts, todo["snapshot_url"] == texts["_url"], "left")
-                  .withColumn("description_md", F.coalesce("_text", F.lit(""))).drop("_url", "_text"))
-    return h.where(~need).unionByName(filled)
+    wanted = h.where(need).select(F.col("snapshot_url").alias("url")).distinct()
+    first = pages.join(wanted, "url", "left_semi").groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p"))
+    texts = main_content(first.select("p.page_id", "p.html")).select("page_id", F.col("markdown").alias("_text")).join(
+        first.select(F.col("p.page_id").alias("page_id"), F.col("url").alias("_url")), "page_id").drop("page_id")
+    out = h.withColumn("_key", F.when(need, F.col("snapshot_url"))).join(texts, F.col("_key") == F.col("_url"), "left")
+    return out.withColumn("description_md", F.when(F.col("_key").isNotNull(), F.coalesce("_text", F.lit(""))).otherwise(
+        F.col("description_md"))).drop("_key", "_url", "_text")

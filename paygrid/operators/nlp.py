@@ -61,9 +61,10 @@ def _dept_matrix(p: DataFrame, flags: dict, labels: list[str], top: int | None)
     """
     long = _flag_counts(p, flags, labels, ["title_department"])
     if top is not None:
-        totals = long.groupBy("label").agg(F.sum("n").alias("total")).where(F.col("total") > 0)
-        keep = top_k(totals, [F.desc("total"), F.asc("label")], top).select("label")
-        long = long.join(F.broadcast(keep), "label", "left_semi")
+        # windows over the (departments x labels)-row aggregate: the texts are searched once
+        total = F.sum("n").over(Window.partitionBy("label"))
+        place = F.dense_rank().over(Window.orderBy(F.desc("total"), F.asc("label")))
+        long = long.withColumn("total", total).where("total > 0").withColumn("place", place).where(F.col("place") <= top)
     return (long.where(F.col("title_department") != "Other")
             .select(F.col("title_department").alias("department"), "label",
                     F.col("n_rows").alias("n_dept"),

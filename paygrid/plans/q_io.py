@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paygrid.functions.text import html_to_text
 from paygrid.operators import history as H
 from paygrid.operators import nlp, pay
 from paygrid.plans.catalog import postings, r2, register, sql
 from paygrid.plans.q_history import _RT
+from paygrid.plans.q_sources import BACKFILL_SQL
 from paygrid.plans.q_text import word_freq_sql
 from paygrid.sources import fixture
 from paygrid.sources import postings as SP
@@ -73,20 +73,20 @@ register("build_if_absent", f"select job_id from {PS}")(_build_if_absent)
 def _sink_backfill(spark, sf):
     path = scratch(spark, "backfill")
     h = fixture.postings_with_snapshots(spark, sf)
-    out = H.backfill_description(h, fixture.table(spark, sf, "pages"), html_to_text)
+    out = H.backfill_description(h, fixture.table(spark, sf, "pages"))
     SP.sink_backfill(out.select("job_id", "description_md"), path)
     return spark.read.parquet(path).select("job_id", F.length("description_md").alias("n_chars"))
 
 
-register("sink_backfill")(_sink_backfill)
+register("sink_backfill", f"{BACKFILL_SQL} select job_id, length(description_md) as n_chars from filled")(_sink_backfill)
 
 register("range_usd", sql(f"select job_id, {r2('range_usd')} as range_usd from p"))(
     lambda spark, sf: postings(spark, sf).select("job_id", "range_usd"))
 
 register("default_columns", sql(
-    f"select job_id, department, department_raw, {r2('mid_usd')} as mid_usd from p"))(
-    lambda spark, sf: SP.default_columns(postings(spark, sf)).select("job_id", "department", "department_raw",
-                                                                     "mid_usd"))
+    f"select job_id, title_department as department, title_department as department_raw, {r2('mid_usd')} as mid_usd from p"))(
+    lambda spark, sf: SP.default_columns(postings(spark, sf).drop(
+        "department", "department_raw", "min_usd", "max_usd", "mid_usd", "range_usd")).select("job_id", "department", "department_raw", "mid_usd"))
 
 register("exclude_other", sql("select job_id from p where title_department <> 'Other'"))(
     lambda spark, sf: postings(spark, sf).where(F.col("title_department") != "Other").select("job_id"))

@@ -199,6 +199,19 @@ def box_sql(src: str, group: str, value: str) -> tuple[str, str]:
 
 _c, _b = box_sql("s", "title_department", "mid_usd")
 register("box_stats", sql(_b, _c))(lambda spark, sf: pay.box_by(facts(spark, sf)))
+for _name, _grp in (("seniority", "seniority"), ("work_mode", "work_mode")):
+    _c, _b = box_sql("s", _grp, "mid_usd")
+    register(f"box_stats_{_name}", sql(_b, _c))(lambda spark, sf, g=_grp: pay.box_by(facts(spark, sf), g))
+_c, _b = box_sql("sa", "status", "mid_usd")
+register("box_stats_status", sql(_b, "sa as (select *, case when is_active then 'Active' else 'Closed' end as status from s), " + _c))(
+    lambda spark, sf: pay.box_by(facts(spark, sf).withColumn("status", C.status_label("is_active")), "status"))
+_c, _b = box_sql("e", "city", "mid_usd")
+register("box_stats_city", sql(_b, f"e as (select unnest({_CITIES}) as city, mid_usd from s), " + _c))(
+    lambda spark, sf: pay.box_by(pay.cities(facts(spark, sf)), "city"))
+for _name, _bins in (("dashboard", R.BINS_DASHBOARD), ("role_gap", R.BINS_ROLE_GAP)):
+    _c, _b = histogram_sql("s", "mid_usd", _bins)
+    register(f"histogram_{_name}", sql(_b, _c))(lambda spark, sf, b=_bins: pay.mid_histogram(facts(spark, sf), b))
+
 _c, _b = box_sql("s", "currency", "salary_mid")
 register("box_stats_currency", sql(_b, _c))(
     lambda spark, sf: pay.box_by(facts(spark, sf), "currency", "salary_mid"))

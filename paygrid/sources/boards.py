@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paygrid.functions import classify as C
+from paygrid.functions import urls as U
+from paygrid.functions.salary import parse_salary
 
 BOARD_A_SCHEMA = T.StructType([T.StructField("jobs", T.ArrayType(T.StructType([
     T.StructField("id", T.LongType()),
@@ -91,6 +93,20 @@ def snapshot_union_anti(primary: DataFrame, alternate: DataFrame) -> DataFrame:
             .unionByName(alt.select("timestamp", "original", F.lit("alternate").alias("source"))).orderBy("timestamp"))
 
 
+def postings_from_boards(jobs: DataFrame) -> DataFrame:
+    """The 15-column postings table of parsed board jobs (``company, job_id,
+    title, location, updated_at, salary_block, description_md``): salary from
+    the block, department, seniority and work mode from title and location."""
+    s = parse_salary("salary_block")
+    return (jobs.withColumn("_s", s)
+            .withColumn("url", U.posting_url())
+            .withColumn("department_raw", C.title_department("title"))
+            .select("company", "job_id", "title", "location", "url", "updated_at", "_s.salary_text", "_s.currency",
+                    "_s.salary_min", "_s.salary_max", "_s.salary_unit", "department_raw",
+                    C.normalize_department("department_raw").alias("department"), C.seniority("title").alias("seniority"),
+                    C.work_mode("location").alias("work_mode"), "description_md"))
+
+
 # ---------------------------------------------------------------- builders
 
 def _content_html(p: DataFrame) -> Column:

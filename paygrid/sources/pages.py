@@ -1,12 +1,11 @@
-"""Landed HTML pages: one Python pass builds the element table, the rest is
-relational.
-
-``page_blocks`` is the only Python stage: a ``mapInPandas`` pass (Arrow
-batches, one page at a time inside a task) that tokenizes each page with the
-standard-library HTML parser and emits one row per element with its parent,
-sibling position, attributes, normalized subtree text and source span.
-``main_content`` and ``salary_block`` are then plain joins, windows and
-aggregations over that table, partitioned by page.
+"""Landed HTML pages, parsed once each.
+
+Every operator here is one ``mapInPandas`` pass over the pages (Arrow batches,
+one page at a time inside a task) and no shuffle: a page is one row, so the
+element tree of a page, its main content, its markdown and its salary text are
+found where the page is read.  ``page_blocks`` gives the element table itself
+(own text and source span of each element, so it grows with the page, not with
+its depth).
 """
 
 from __future__ import annotations
@@ -16,28 +15,12 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paygrid import rules as R
 from paygrid.functions import salary as SAL
-from paygrid.functions.regex import jpat
-
-BLOCK_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("node_id", T.IntegerType()),
-    T.StructField("parent_id", T.IntegerType()),
-    T.StructField("pos", T.IntegerType()),
-    T.StructField("depth", T.IntegerType()),
-    T.StructField("tag", T.StringType()),
-    T.StructField("attr_id", T.StringType()),
-    T.StructField("attr_class", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("text_main", T.StringType()),
-    T.StructField("src_start", T.IntegerType()),
-    T.StructField("src_end", T.IntegerType()),
-])
 
 # FIXED VALUES: elements without content, text-free elements, page chrome
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -46,33 +29,50 @@ CHROME = {"script", "style", "nav", "header", "footer", "noscript"}
 _WS = re.compile(r"\s+")
 
 
-class _Tree(HTMLParser):
-    """Element tree with per-element text chunks (get_text(" ", strip=True))."""
+class Node:
+    """An element: place in the tree, source span, and its range of the page's text chunks."""
+
+    __slots__ = ("id", "parent", "pos", "depth", "tag", "attrs", "start", "end", "first", "last", "own", "kids", "chrome", "silent")
+
+    def __init__(self, id_, parent, tag, attrs, start, first):
+        self.id, self.parent, self.tag, self.attrs, self.start, self.first = id_, parent, tag, attrs, start, first
+        self.end = self.last = None
+        self.own, self.kids = [], []
+        self.pos = len(parent.kids) if parent else 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.chrome = bool(parent and parent.chrome) or tag in CHROME
+        self.silent = bool(parent and parent.silent) or tag in SILENT
+
+
+class Tree(HTMLParser):
+    """Elements of a page and its stripped text chunks in order."""
 
     def __init__(self, src: str):
         super().__init__(convert_charrefs=True)
         self.src = src
         self.line_starts = [0] + [m.end() for m in re.finditer("\n", src)]
-        root = dict(node_id=0, parent_id=-1, pos=0, depth=0, tag="[document]", attr_id=None,
-                    attr_class=None, chunks=[], main=[], src_start=0, src_end=len(src), kids=0, chrome=False)
-        self.nodes = [root]
-        self.stack = [root]
+        self.chunks: list[tuple[str, bool]] = []
+        self.nodes = [Node(0, None, "[document]", {}, 0, 0)]
+        self.stack = [self.nodes[0]]
+        self.feed(src)
+        self.close()
+        for n in self.stack:
+            self._end(n, len(src))
 
     def _offset(self) -> int:
         line, col = self.getpos()
         return self.line_starts[line - 1] + col
 
+    def _end(self, node: Node, at: int) -> None:
+        node.end, node.last = at, len(self.chunks)
+
     def handle_starttag(self, tag, attrs):
         parent = self.stack[-1]
-        a = dict(attrs)
-        node = dict(node_id=len(self.nodes), parent_id=parent["node_id"], pos=parent["kids"],
-                    depth=len(self.stack), tag=tag, attr_id=a.get("id"), attr_class=a.get("class"),
-                    chunks=[], main=[], src_start=self._offset(), src_end=None, kids=0,
-                    chrome=parent["chrome"] or tag in CHROME)
-        parent["kids"] += 1
+        node = Node(len(self.nodes), parent, tag, dict(attrs), self._offset(), len(self.chunks))
+        parent.kids.append(node)
         self.nodes.append(node)
         if tag in VOID:
-            node["src_end"] = node["src_start"] + len(self.get_starttag_text() or "")
+            self._end(node, node.start + len(self.get_starttag_text() or ""))
         else:
             self.stack.append(node)
 
@@ -80,105 +80,91 @@ class _Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
             node = self.stack.pop()
-            node["src_end"] = node["src_start"] + len(self.get_starttag_text() or "")
+            self._end(node, node.start + len(self.get_starttag_text() or ""))
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i]["tag"] == tag:
+            if self.stack[i].tag == tag:
                 end = self.src.find(">", self._offset())
-                end = len(self.src) if end < 0 else end + 1
                 for node in self.stack[i:]:
-                    node["src_end"] = end
+                    self._end(node, len(self.src) if end < 0 else end + 1)
                 del self.stack[i:]
                 return
 
     def handle_data(self, data):
-        if any(n["tag"] in SILENT for n in self.stack):
-            return
-        piece = data.strip()
-        if not piece:
-            return
-        chrome = False
-        for n in self.stack:
-            chrome = chrome or n["tag"] in CHROME
-            n["chunks"].append(piece)
-            if not chrome:
-                n["main"].append(piece)
-
-    def rows(self, page_id):
-        for n in self.stack[1:]:
-            n["src_end"] = len(self.src)
-        for n in self.nodes:
-            yield (page_id, n["node_id"], n["parent_id"], n["pos"], n["depth"], n["tag"], n["attr_id"],
-                   n["attr_class"], _WS.sub(" ", " ".join(n["chunks"])).strip(),
-                   _WS.sub(" ", " ".join(n["main"])).strip(), n["src_start"], n["src_end"])
-
-
-def parse_blocks(page_id, src: str | None, unescape: bool = False) -> list[tuple]:
-    if src is None:
-        return []
-    if unescape:
-        src = _html.unescape(src)
-    t = _Tree(src)
-    t.feed(src)
-    t.close()
-    return list(t.rows(page_id))
-
-
-def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
-                unescape: bool = False) -> DataFrame:
-    """One row per element of every page (plus a ``[document]`` root, node 0)."""
-    cols = [f.name for f in BLOCK_SCHEMA.fields]
+        piece, top = data.strip(), self.stack[-1]
+        if piece and not top.silent:
+            top.own.append(piece)
+            self.chunks.append((piece, top.chrome))
+
+    def text(self, node: Node, chrome: bool = True) -> str:
+        """Text of an element and all below it, with or without page chrome."""
+        got = self.chunks[node.first:node.last]
+        return _WS.sub(" ", " ".join(t for t, c in got if chrome or not c)).strip()
+
+
+def parse(src: str | None, unescape: bool = False) -> Tree | None:
+    return None if src is None else Tree(_html.unescape(src) if unescape else src)
+
+
+def _map_pages(pages: DataFrame, html_col: str, keep: list[str], schema: str, rows) -> DataFrame:
+    """``rows(html)`` yields tuples of ``schema``; the ``keep`` columns of the page stand before them."""
+    src = pages.select(*keep, F.col(html_col).alias("_html"))
+    new = T._parse_datatype_string(schema)
+    out = T.StructType([f for f in src.schema.fields if f.name != "_html"] + new.fields)
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for pid, src in zip(pdf["_id"], pdf["_html"]):
-                out.extend(parse_blocks(int(pid), src, unescape))
-            yield pd.DataFrame(out, columns=cols)
+            got = [(*kept, *r) for *kept, h in pdf.itertuples(index=False, name=None) for r in rows(h)]
+            yield pd.DataFrame(got, columns=out.fieldNames())
 
-    src = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(html_col).alias("_html"))
-    return src.mapInPandas(run, BLOCK_SCHEMA)
+    return src.mapInPandas(run, out)
+
+
+def page_blocks(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", unescape: bool = False) -> DataFrame:
+    """One row per element of every page (plus a ``[document]`` root, node 0);
+    ``text`` is the element's own text, without that of its children."""
+    def rows(src):
+        t = parse(src, unescape)
+        for n in t.nodes if t else []:
+            yield (n.id, n.parent.id if n.parent else -1, n.pos, n.depth, n.tag, n.attrs.get("id"), n.attrs.get("class"),
+                   _WS.sub(" ", " ".join(n.own)).strip(), n.start, n.end)
+    p = pages.withColumn("page_id", F.col(id_col).cast("long"))
+    return _map_pages(p, html_col, ["page_id"], "node_id int, parent_id int, pos int, depth int, tag string, attr_id string, "
+                      "attr_class string, text string, src_start int, src_end int", rows)
 
 
 # ---------------------------------------------------------------- main content
 
-def _priority() -> Column:
-    tag, cls, aid = F.col("tag"), F.coalesce(F.col("attr_class"), F.lit("")), F.col("attr_id")
-    return (F.when((tag == "div") & (aid == "content"), F.lit(1))
-            .when((tag == "div") & cls.rlike("(?i)job[-_]?description"), F.lit(2))
-            .when((tag == "div") & cls.rlike("(?i)body"), F.lit(3))
-            .when((tag == "div") & (aid == "app_body"), F.lit(4))
-            .when(tag == "main", F.lit(5))
-            .when(tag == "article", F.lit(6))
-            .when(tag == "body", F.lit(7)))
+def _tier(node: Node) -> int | None:
+    cls = node.attrs.get("class") or ""
+    if node.tag == "div":
+        return (1 if node.attrs.get("id") == "content" else 2 if re.search(R.DESCRIPTION_CLASS, cls, re.I)
+                else 3 if re.search(R.BODY_CLASS, cls, re.I) else 4 if node.attrs.get("id") == "app_body" else None)
+    return {"main": 5, "article": 6, "body": 7}.get(node.tag)
 
 
-def main_content(blocks: DataFrame) -> DataFrame:
+def main_node(tree: Tree) -> tuple[int, Node] | None:
     """First hit wins: div#content, div.job-description, div.*body*,
-    div#app_body, main, article, body without chrome; else ''.  One
-    aggregation per page over its element rows."""
-    b = blocks.withColumn("prio", _priority())
-    chosen = F.struct("prio", "node_id", "src_start", "src_end",
-                      F.when(F.col("prio") == 7, F.col("text_main")).otherwise(F.col("text")).alias("text"))
-    per_page = (b.groupBy("page_id")
-                 .agg(F.min_by(chosen, F.when(F.col("prio").isNotNull(), F.struct("prio", "node_id")))
-                      .alias("c")))
-    return per_page.select("page_id", F.col("c.prio").alias("tier"), F.col("c.node_id").alias("node_id"),
-                           F.coalesce(F.col("c.text"), F.lit("")).alias("text"),
-                           F.col("c.src_start").alias("src_start"), F.col("c.src_end").alias("src_end"))
+    div#app_body, main, article, body (without chrome)."""
+    return min(((t, n) for n in tree.nodes if (t := _tier(n))), key=lambda x: (x[0], x[1].id), default=None)
+
+
+def main_content(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``(page_id, tier, node_id, text, src_start, src_end, markdown)`` of each page; texts are '' without a hit."""
+    def rows(src):
+        t = parse(src)
+        hit = main_node(t) if t else None
+        if not hit:
+            return [(None, None, "", None, None, "")]
+        tier, n = hit
+        return [(tier, n.id, t.text(n, chrome=tier != 7), n.start, n.end, to_markdown(src[n.start:n.end], tier == 7))]
+    p = pages.withColumn("page_id", F.col(id_col).cast("long"))
+    return _map_pages(p, html_col, ["page_id"], "tier int, node_id int, text string, src_start int, src_end int, markdown string", rows)
 
 
 def main_content_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Markdown of each page's main content: span chosen relationally, then
-    the small Python converter on that span only."""
-    mc = main_content(page_blocks(pages, id_col, html_col))
-    span = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("_h")).join(
-        mc, "page_id")
-    cut = F.when(F.col("tier") == 7, F.col("_h")).otherwise(
-        F.substring("_h", F.col("src_start") + 1, F.col("src_end") - F.col("src_start")))
-    return html_to_markdown(span.select("page_id", "tier", cut.alias("html")), "html", keep=["page_id", "tier"],
-                            drop_chrome=True)
+    return main_content(pages, id_col, html_col).select("page_id", "tier", "markdown")
 
 
 # ---------------------------------------------------------------- markdown
@@ -194,7 +180,7 @@ class _Markdown(HTMLParser):
         self.out: list[str] = []
         self.skip = 0
         self.drop = CHROME if drop_chrome else SILENT
-        self.lists = 0
+        self.lists: list[int | None] = []        # next number of each open list; None: bullets
 
     def _nl(self, n: int):
         self.out.append("\n" * n)
@@ -210,9 +196,12 @@ class _Markdown(HTMLParser):
             self.out.append("#" * int(tag[1]) + " ")
         elif tag == "li":
             self._nl(1)
-            self.out.append("  " * max(self.lists - 1, 0) + "* ")
+            number = self.lists[-1] if self.lists else None
+            self.out.append("  " * max(len(self.lists) - 1, 0) + ("* " if number is None else f"{number}. "))
+            if number is not None:
+                self.lists[-1] += 1
         elif tag in ("ul", "ol"):
-            self.lists += 1
+            self.lists.append(1 if tag == "ol" else None)
             self._nl(1)
         elif tag in ("b", "strong"):
             self.out.append("**")
@@ -229,11 +218,12 @@ class _Markdown(HTMLParser):
             return
         if self.skip:
             return
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") or tag in self.BLOCK:
-            self._nl(2)
-        elif tag in ("ul", "ol"):
-            self.lists = max(self.lists - 1, 0)
+        if tag in ("ul", "ol"):
+            if self.lists:
+                self.lists.pop()
             self._nl(1)
+        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6") or tag in self.BLOCK:
+            self._nl(2)
         elif tag in ("b", "strong"):
             self.out.append("**")
         elif tag in ("i", "em"):
@@ -260,71 +250,71 @@ def to_markdown(src: str | None, drop_chrome: bool = False) -> str:
 
 def html_to_markdown(df: DataFrame, html_col: str = "html", keep: list[str] | None = None,
                      drop_chrome: bool = False) -> DataFrame:
-    """``mapInPandas`` pass: unescape, convert, collapse 3+ newlines to 2."""
-    keep = keep or []
-    src = df.select(*keep, F.col(html_col).alias("_html"))
-    schema = T.StructType([f for f in src.schema.fields if f.name != "_html"]
-                          + [T.StructField("markdown", T.StringType())])
+    """One pass: unescape, convert, collapse 3+ newlines to 2."""
+    return _map_pages(df, html_col, keep or [], "markdown string", lambda h: [(to_markdown(h, drop_chrome),)])
 
-    def run(batches):
-        for pdf in batches:
-            md = [to_markdown(h, drop_chrome) for h in pdf["_html"]]
-            yield pdf.drop(columns=["_html"]).assign(markdown=md)
 
-    return src.mapInPandas(run, schema)
+# ---------------------------------------------------------------- salary block
+
+_SENTENCE = re.compile(R.COMPENSATION_SENTENCE, re.I)
+_HEADING = re.compile("|".join(f"(?:{p})" for p in R.SALARY_HEADINGS), re.I)
+_MENTION = re.compile(R.SALARY_MENTION, re.I)
+_RANGE = re.compile(SAL.RANGE)
+_CODE = re.compile(R.CURRENCY_CODE)
 
 
-# ---------------------------------------------------------------- salary block
+def _looks(text: str) -> bool:
+    return bool(text) and bool(_RANGE.search(text) or _CODE.search(text))
+
 
-def salary_block(blocks: DataFrame) -> DataFrame:
-    """Salary text of each page, first stage that yields wins:
+def salary_text(tree: Tree) -> str | None:
+    """Salary text of a page, first stage that yields wins:
 
     1. the sentence ``Compensation will be ... $... .`` in the page text;
     2. for salary-heading elements in document order: the parent's text if it
-       looks like salary, else the parent's next <= 8 element siblings,
-       accumulated until they do;
-    3. 500 characters from the first salary mention, if they look like salary;
-    4. +-80 characters around the first salary range.
+       looks like salary, 3. else the parent's next <= 8 element siblings,
+       joined until they do;
+    4. 500 characters from the first salary mention, if they look like salary;
+    5. +-80 characters around the first salary range.
     """
-    b = blocks
-    plain = b.where(F.col("node_id") == 0).select("page_id", F.col("text").alias("plain"))
-    s1 = F.nullif(F.regexp_extract("plain", jpat(R.COMPENSATION_SENTENCE), 0), F.lit(""))
-
-    heading = None
-    for p in R.SALARY_HEADINGS:
-        h = F.col("text").rlike(jpat(p))
-        heading = h if heading is None else heading | h
-    cands = b.where(F.col("tag").isin(R.SALARY_BLOCK_TAGS) & (F.col("text") != "") & heading).select(
-        "page_id", F.col("node_id").alias("cand"), F.col("parent_id").alias("par"))
-    parents = b.select("page_id", F.col("node_id").alias("par"), F.col("parent_id").alias("gpar"),
-                       F.col("pos").alias("ppos"), F.col("text").alias("ptext"))
-    cp = cands.join(parents, ["page_id", "par"], "left")
-    r2 = F.when(SAL.looks_like_salary("ptext"), F.col("ptext"))
-
-    sibs = b.select("page_id", F.col("parent_id").alias("gpar"), F.col("pos").alias("spos"),
-                    F.col("text").alias("stext"))
-    near = (cp.where(F.col("gpar") >= 0)
-              .join(sibs, ["page_id", "gpar"])
-              .where((F.col("spos") > F.col("ppos")) & (F.col("spos") <= F.col("ppos") + R.SALARY_SIBLINGS)))
-    w = Window.partitionBy("page_id", "cand").orderBy("spos").rowsBetween(Window.unboundedPreceding, 0)
-    acc = near.withColumn("joined", F.concat_ws(" ", F.collect_list(F.nullif("stext", F.lit(""))).over(w)))
-    acc = acc.where((F.col("stext") != "") & SAL.looks_like_salary("joined"))
-    r3 = acc.groupBy("page_id", "cand").agg(F.min_by("joined", "spos").alias("r3"))
-
-    per_cand = (cp.select("page_id", "cand", r2.alias("r2"))
-                  .join(r3, ["page_id", "cand"], "left")
-                  .select("page_id", "cand", F.coalesce("r2", "r3").alias("hit")))
-    s23 = per_cand.where(F.col("hit").isNotNull()).groupBy("page_id").agg(F.min_by("hit", "cand").alias("s23"))
-
-    mention = F.regexp_instr(F.col("plain"), F.lit(jpat(R.SALARY_MENTION)))
-    window = F.substring("plain", mention, R.SALARY_WINDOW)
-    s4 = F.when((mention > 0) & SAL.looks_like_salary(window), window)
-    rng = F.regexp_instr(F.col("plain"), F.lit(jpat(SAL.RANGE, ci=False)))
-    rng_len = F.length(F.regexp_extract("plain", jpat(SAL.RANGE, ci=False), 0))
-    start = F.greatest(rng - R.SALARY_CONTEXT, F.lit(1))
-    s5 = F.when(rng > 0, F.substring("plain", start, rng + rng_len + R.SALARY_CONTEXT - start))
-    return (plain.join(s23, "page_id", "left")
-                 .select("page_id", F.coalesce(s1, "s23", s4, s5).alias("salary_block")))
+    plain = tree.text(tree.nodes[0])
+    if m := _SENTENCE.search(plain):
+        return m[0]
+    for n in tree.nodes:
+        if n.tag not in R.SALARY_BLOCK_TAGS or not _HEADING.search(tree.text(n)):
+            continue
+        text = tree.text(n.parent)
+        if _looks(text):
+            return text
+        joined: list[str] = []
+        for sibling in n.parent.parent.kids[n.parent.pos + 1:n.parent.pos + 1 + R.SALARY_SIBLINGS] if n.parent.parent else []:
+            if text := tree.text(sibling):
+                joined.append(text)
+                if _looks(" ".join(joined)):
+                    return " ".join(joined)
+    if (m := _MENTION.search(plain)) and _looks(near := plain[m.start():m.start() + R.SALARY_WINDOW]):
+        return near
+    if m := _RANGE.search(plain):
+        return plain[max(0, m.start() - R.SALARY_CONTEXT):m.end() + R.SALARY_CONTEXT]
+    return None
+
+
+def salary_block(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", unescape: bool = False) -> DataFrame:
+    """``(page_id, salary_block)`` of each page."""
+    def rows(src):
+        t = parse(src, unescape)
+        return [(salary_text(t) if t else None,)]
+    p = pages.withColumn("page_id", F.col(id_col).cast("long"))
+    return _map_pages(p, html_col, ["page_id"], "salary_block string", rows)
+
+
+def board_content(jobs: DataFrame, html_col: str = "content_html") -> DataFrame:
+    """All columns of ``jobs`` but the HTML, plus ``salary_block`` and
+    ``description_md`` found in one parse of each body."""
+    def rows(src):
+        t = parse(src, unescape=True)
+        return [(salary_text(t) if t else None, to_markdown(src))]
+    return _map_pages(jobs, html_col, [c for c in jobs.columns if c != html_col], "salary_block string, description_md string", rows)
 
 
 def salary_pages(postings: DataFrame) -> DataFrame:
