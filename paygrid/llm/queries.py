@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paygrid.llm import cascade, html, jaccard, langid, packing, quality, recompression, secrets, sharding, templates
+from paygrid.llm import cascade, html, jaccard, langid, oracles, packing, quality, recompression, secrets, sharding, templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,7 +32,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
-@register("op2_secret_scan")
+@register("op2_secret_scan", oracles.SECRETS)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -52,7 +52,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "item_id", "covered", "item_words", "n_slots", "exact")
 
 
-@register("op5_tree_scored_text")
+@register("op5_tree_scored_text", oracles.PAGES)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -62,17 +62,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-@register("op7_jaccard_components")
+@register("op7_jaccard_components", oracles.JACCARD)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
-@register("op8_recompression_dedup")
+@register("op8_recompression_dedup", oracles.REPEATS)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-@register("op9_quality_rules")
+@register("op9_quality_rules", oracles.RULES)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cascade.apply_rules(table(spark, sf_dir, "documents"))
 

@@ -20,7 +20,7 @@ from paygrid.session import write_out
 
 WINDOW = 8
 LITERALS = 5                  # plain words that a window of 8 needs (in proportion for shorter items, 3 at least)
-COVERED, SHARE = 13, 0.6      # item words covered along one alignment: this many, or this share of a short item
+COVERED, SHARE = 13, 0.5      # item words covered along one alignment: this many, or this share of a short item
 BITS = 23                     # size of the filter that spares most windows the join (2^23 bits, 1 MB)
 FLAGGED_BROADCAST = 500_000   # rows of (key) that may be broadcast when documents are dropped
 # Unit words.
