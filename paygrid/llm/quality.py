@@ -29,6 +29,7 @@ SITES_BROADCAST = 200_000     # sites that may be broadcast; more are joined by
 SALTS = 16
 KEEP_AT = 0.5
 SHAPE = ["f_symbols", "f_upper", "f_marks", "f_kinds", "f_chars", "f_lines", "f_short"]
+OWN = ("_good", "_site", "_posterior", "_kept", "_host", "_path", "_salt", "_text", "_all", "_words", "_has", "_x", "_id", *SHAPE)
 NEVER = 1e-4                  # evidence is kept this far from 0 and 1
 
 
@@ -132,12 +133,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     """All rows and columns of ``docs`` plus ``_good`` (evidence), ``_site``
     (log odds of the site), ``_posterior`` and ``_kept``.
 
-    Null host, path or text count as empty; repeated rows and null ids are
+    Columns of ``docs`` that have these names, or those of the features, are
+    replaced.  Null host, path or text count as empty; repeated rows and null ids are
     judged like any other; without labels every row is kept; an empty table
     gives no rows.  Evidence is computed once for the sums and once for the
     verdict, so that no document is moved; sites are broadcast while they are
     few and joined by shuffle, salted for large sites, beyond that.
     """
+    docs = docs.drop(*OWN)
     model = fit(docs, labels, id_col, text_col, train_rows)
     if model.shape is None:
         return docs.withColumns({"_good": F.lit(1.0), "_site": F.lit(0.0), "_posterior": F.lit(1.0), "_kept": F.lit(True)})

@@ -191,7 +191,8 @@ def scan(docs: DataFrame, rules=(*BASE, *EXTRA), id_col: str = "doc_id", text_co
     """All rows and columns of ``docs`` plus ``_spans``: an array of
     ``(start, rank, kind, end)`` by start, then kind in the order of ``rules``.
 
-    Null and empty texts have no spans; rows are never dropped or merged; a
+    Columns named ``_key``, ``_kinds`` or ``_spans`` are replaced.  Null and
+    empty texts have no spans; rows are never dropped or merged; a
     repeated row gets the same spans each time.
     """
     queries = {r.kind: trigram_query(r.regex) for r in rules}
