@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _toward_min(both, "v > u").where("a <> b").distinct()                       # larger neighbours to the least
+        large = _toward_min(both, "v > u").where("a <> b")                                  # larger neighbours to the least
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(

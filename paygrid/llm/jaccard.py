@@ -174,18 +174,27 @@ def block_links(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray], perce
     return out
 
 
+def neighbourhoods(pairs: DataFrame) -> DataFrame:
+    """``(node, component)``: the least node within two steps.  It only says
+    which sets are best sent together, so it need not be a whole component."""
+    both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+    near = both.groupBy("node").agg(F.min("other").alias("least")).withColumn("least", F.least("node", "least"))
+    return both.join(near.select(F.col("node").alias("other"), "least"), "other").groupBy("node").agg(F.min("least").alias("far")).join(
+        near, "node").select("node", F.least("least", "far").alias("component"))
+
+
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, percent: int, orders: int) -> DataFrame:
     """Links ``(a, b)`` that connect all similar ones of ``pairs (a, b)``.
 
-    Nodes are dealt to blocks: small components of the pairs share blocks of
-    about ``BLOCK_TOKENS`` tokens, larger ones are cut into blocks of about
+    Nodes are dealt to blocks: small neighbourhoods share blocks of about
+    ``BLOCK_TOKENS`` tokens, larger ones are cut into blocks of about
     ``BLOCK_SETS`` sets; every pair of blocks with a pair is one group, to
     which the texts of its nodes are sent once.
     """
     pairs = write_out(not_too_different(pairs, nodes, percent), "candidates")
-    held = components(pairs, "a", "b").join(nodes.select("node", "n", "wanted_id"), "node")
+    held = write_out(neighbourhoods(pairs).join(nodes.select("node", "n", "wanted_id"), "node"), "wanted")
     group = held.select("node", "component", "n")
-    texts = texts_of(docs, write_out(held.select("node", "n", "wanted_id"), "wanted"), gram)
+    texts = texts_of(docs, held.select("node", "n", "wanted_id"), gram)
     whole = group.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s")).withColumn(
         "cuts", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_TOKENS)))
     total = whole.agg(F.ceil(F.sum("s") / BLOCK_TOKENS).alias("blocks"))                     # one row
