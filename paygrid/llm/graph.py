@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from paygrid.session import write_out
 
+EDGES_PER_FILE = 250_000
+
 
 def _toward_min(e: DataFrame, keep: str) -> DataFrame:
     """Link the neighbours ``v`` of every ``u`` that satisfy ``keep`` to the
@@ -25,8 +27,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     path.  Self loops and repeated edges are fine; no edges give no rows.
     """
     cur = write_out(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    mark = None
-    while True:
+    mark, n = None, cur.count()
+    while n:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _toward_min(both, "v > u").where("a <> b")                                  # larger neighbours to the least
@@ -34,11 +36,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(
             least.select(F.col("u").alias("a"), F.col("m").alias("b")))                     # smaller neighbours and u
-        cur = write_out(small.where("a <> b").distinct(), "edges")
+        files = max(8, n // EDGES_PER_FILE)                     # a round never makes more than two edges of one
+        cur = write_out(small.where("a <> b").distinct().coalesce(files), "edges")
         now = cur.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).groupBy("node").agg(
         F.min("component").alias("component")).union(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,8 +10,9 @@ The first order (frequent tokens last, by counts over all documents) runs in
 Spark: prefix tokens that two different sets share are found by grouping, and
 sets of compatible length under one token are candidates.  They are compared
 in two steps, so that a large group of near copies costs its members and not
-its pairs: first each set with its neighbour by length under every shared
-token, then all pairs that the links found so far leave apart.  The further
+its pairs: first each set with two neighbours under every shared token (by
+length, and in an order of that token), then all pairs that the links found so
+far leave apart.  The further
 orders are applied where the sets of a block of pairs lie together, before
 they are verified.  Equal sets are one node.
 """
@@ -175,12 +176,10 @@ def block_links(pairs: list[tuple[int, int]], sets: dict[int, np.ndarray], perce
 
 
 def neighbourhoods(pairs: DataFrame) -> DataFrame:
-    """``(node, component)``: the least node within two steps.  It only says
-    which sets are best sent together, so it need not be a whole component."""
+    """``(node, component)``: the least of a node and its partners.  It only
+    says which sets are best sent together, so it need not be a component."""
     both = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    near = both.groupBy("node").agg(F.min("other").alias("least")).withColumn("least", F.least("node", "least"))
-    return both.join(near.select(F.col("node").alias("other"), "least"), "other").groupBy("node").agg(F.min("least").alias("far")).join(
-        near, "node").select("node", F.least("least", "far").alias("component"))
+    return both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component"))
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, percent: int, orders: int) -> DataFrame:
@@ -253,7 +252,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     near = multi.where((F.col("b") != F.col("node")) & alike(F.col("m"), F.col("n"))).select(
         F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    near = write_out(near.distinct(), "neighbours")
+    # and with the neighbour in an order that differs from token to token, so that a group of near copies joins up
+    shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
+    other = multi.withColumns({"o": F.lag("node").over(shuffled), "q": F.lag("n").over(shuffled)}).where(
+        (F.col("o") != F.col("node")) & alike(F.col("q"), F.col("n"))).select(
+        F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
+    near = write_out(near.union(other).distinct(), "neighbours")
     # a set with any compatible partner under a token has a compatible neighbour there
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
     nodes = write_out(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("wanted_id"), F.min("bits").alias("bits")).join(
