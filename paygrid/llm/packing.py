@@ -13,6 +13,8 @@ length and looks up the bin of every rank.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from functools import lru_cache
 
@@ -37,11 +39,24 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # ------------------------------------------------------------ tokens
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of the tokenizer's JSON beside the rank file: found inside
+    texts before anything else."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        tokens = json.load(f).get("added_tokens") or []
+    if odd := [t["content"] for t in tokens if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"added tokens that also take in what stands around them: {odd}")
+    return {t["content"]: t["id"] for t in tokens}
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     import tiktoken
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,7 +74,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, id_col: str, text_col
             for i, j in slices(off):
                 ids, rows = batch.column(0).slice(i, j - i), []
                 for k, text in enumerate(texts.slice(i, j - i).to_pylist()):
-                    tokens = np.array([*encoder(path).encode_ordinary(text or ""), 0], "<u4")
+                    tokens = np.array([*encoder(path).encode(text or "", allowed_special="all"), 0], "<u4")
                     rows += [(k, p, s, n, zlib.crc32(tokens[s:s + n].tobytes()))
                              for p, (s, n) in enumerate(piece_bounds(len(tokens), capacity))]
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]
@@ -215,8 +230,9 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabul
     ``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``.
 
     Null text counts as empty (one piece: the closing id 0).  Rows are packed
-    one by one, so repeated rows and null ids each keep their place.  Special
-    token strings in a text are ordinary text.  An empty table gives no rows.
+    one by one, so repeated rows and null ids each keep their place.  Added
+    tokens of the vocabulary (``<|endoftext|>``) are one id wherever a text
+    holds them, as in ``tokenizers``.  An empty table gives no rows.
 
     Plan: pieces are written once; their histogram (``capacity`` rows) is
     solved on the driver; ranks come from row numbers inside (length, salt)

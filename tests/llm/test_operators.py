@@ -120,6 +120,21 @@ def test_tokens_pieces_and_sequences(spark, odd, odd_rows):
     assert got["sequence_id"].nunique() <= packing.least_bins(np.bincount(got["length"], minlength=cap + 1), cap) + 1
 
 
+def test_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"see {end} here", end, f"{end}{end}", f"{end} start", f"stop {end}", f"a  {end}  b", f"a{end}b\n\n{end}\n", f" {end} ",
+             f"x \t{end}\u00a0y", "<|endoftext|", f"<{end}>", "<|ENDOFTEXT|>", "<| endoftext |>", f"it's{end}'s", "é" * 9 + end + "ß" * 9]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [3826, 220, 50256, 994]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack(spark, docs, capacity=2048)
+    assert rows_of(got, "doc_id", "length", "ids_crc32") == by_repr(
+        (i, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want))
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bin_completion(seed):
     r = np.random.default_rng(seed)
