@@ -31,13 +31,20 @@ ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
          "option": ("select",)}
 SIBLING_SHARE, LEAST_CHARS = 0.2, 25
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adsense|adslot|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menus?|"
-    r"breadcrumbs?|side-?bar|widgets?|footer|foot|site-header|page-header|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|"
-    r"popup|modal|overlay|newsletter|subscri(?:be|ption)|sign-?up|login|share|sharing|social|related|recommend(?:ed|ations)?|"
-    r"comments?|respond|replies|disqus|pagination|pager|toc|skip(?:-link)?|search|form|alert|paywall)(?:$|[\s_-]|\d)", re.I)
-_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|ads?|related|promo)(?:$|[\s_-])", re.I)
+_ATTR = re.compile(r"\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|$)|'[^']*(?:'|$)|[^\s>]+))?")
+# Names of page furniture, and words that go with them in a class or id (``sidebar-left``, ``site_footer``).
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense adslot banner sponsor sponsored promo promos promotion promotions nav navbar "
+    "navigation menu menus breadcrumb breadcrumbs sidebar widget widgets footer foot masthead topbar toolbar cookie cookies consent gdpr "
+    "notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended "
+    "recommendations comment comments respond replies disqus pagination pager toc skip search form alert paywall".split())
+_BESIDE = frozenset(
+    "area bar block bottom box btn button buttons column container content fixed global group header icons inner item items left link links "
+    "list main module outer page panel post posts primary right row secondary section site slot sticky top unit wrap wrapper".split())
+_OF_ARTICLES = frozenset("comment comments ad ads related promo".split())
+_CONTAINERS = frozenset("address article center details div dl fieldset figure ol section table ul".split())   # judged by name inside an article
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_WHOLE = re.compile(r"side[-_]bar|sign[-_]up|(?:site|page)[-_]header|skip[-_]link", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 _SPACE = re.compile(r"\s+")
 
@@ -47,23 +54,49 @@ class Node:
     tag: str
     parent: Node | None
     chrome: bool
+    marked: bool = False                            # an article or main, or inside one
     score: float = 0.0
     chars: int = 0
     linked: int = 0
     blocks: list[int] = field(default_factory=list)
 
 
-def is_chrome(tag: str, attrs: str) -> bool:
-    """Whether an element holds page furniture, by tag, role, class or id."""
+def names_chrome(token: str, names: frozenset[str] = _NAMES) -> bool:
+    """Whether a whole class token or id names page furniture: such a name,
+    alone or only with numbers and words like ``box`` or ``left``."""
+    if names is _NAMES and _WHOLE.fullmatch(token):
+        return True
+    parts = [p.rstrip("0123456789") for p in re.split("[-_]+", token.lower())]
+    return any(p in names for p in parts) and all(not p or p in _NAMES or p in _BESIDE for p in parts)
+
+
+def is_chrome(tag: str, attrs: str, marked: bool = False) -> bool:
+    """Whether an element holds page furniture, by tag, role, class or id;
+    ``marked``: it stands inside an article or main.
+
+    Headings are never judged by name.  Inside an article only containers
+    are, by a class token, or by an id that is one name and nothing else; ids
+    of sections there are slugs of their titles and say nothing.
+    """
     if tag in CHROME:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTR.findall(attrs)}
-    return ("hidden" in found or found.get("aria-hidden", "").lower() == "true"
-            or "display:none" in found.get("style", "").replace(" ", "").lower()
-            or found.get("role", "").lower() in _ROLES
-            or any((_COMMENT if tag == "article" else _BAD).search(found.get(k, "")) for k in ("class", "id")))
+    found: dict[str, str] = {}
+    for k, v in _ATTR.findall(attrs):
+        if k:
+            found.setdefault(k.lower(), v.strip("\"'"))
+    if ("hidden" in found or found.get("aria-hidden", "").lower() == "true"
+            or "display:none" in found.get("style", "").replace(" ", "").lower() or found.get("role", "").lower() in _ROLES):
+        return True
+    if tag in _HEADINGS or marked and tag not in _CONTAINERS:
+        return False
+    classes, own, names = found.get("class", "").split(), found.get("id", "").strip(), _OF_ARTICLES if tag == "article" else _NAMES
+    if any(names_chrome(c, names) for c in classes):
+        return True
+    if marked or tag == "p":
+        return tag not in ("p", "section") and "section" not in classes and own.lower() in names
+    return names_chrome(own, names)
 
 
 def read(page: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
@@ -135,7 +168,7 @@ def read(page: str) -> tuple[list[tuple[str, Node, int]], list[Node]]:
             flush()
             if tag not in VOID:
                 top = stack[-1]
-                stack.append(Node(tag, top, top.chrome or is_chrome(tag, m[3])))
+                stack.append(Node(tag, top, top.chrome or is_chrome(tag, m[3], top.marked), top.marked or tag in ("article", "main")))
                 nodes.append(stack[-1])
     flush()
     return blocks, nodes

@@ -272,6 +272,28 @@ def test_html(spark, empty):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", [
+    'section id="related-work"', 'h2 id="search-algorithms"', 'h2 id="login-flow"', 'p id="notices-2"', 'section title="The hidden cost of rent"',
+    'div data-hidden="false"', 'div data-state="hidden"', 'section id="search"', 'h2 id="comments"', 'h3 class="alert"', 'li id="share"', 'div class="has-sidebar"',
+    'div title="x" data-class="ad"', "div title='class=ad hidden'", 'div data-id=ads', 'td id=form', 'div class="section" id="notices"', 'pre class="toc"'])
+@pytest.mark.parametrize("home", ["article", "main", "div id=content"])
+def test_article_parts_stay(tag, home):
+    if home.startswith("div") and tag in ('section id="search"', 'li id="share"', 'td id=form', 'div class="section" id="notices"', 'pre class="toc"'):
+        return                                      # by name outside an article
+    plain = "<p>Long text, with commas, that is the body of the page, and goes on.</p>"
+    page = f"<body><nav>menu</nav><{home}>{plain}<{tag}>Kept words, of the part, which are long enough, really.</{tag.split()[0]}>{plain}</{home.split()[0]}></body>"
+    assert "Kept words" in html.main_text(page) and "menu" not in html.main_text(page)
+
+
+@pytest.mark.parametrize("tag", [
+    'div class="x ad"', 'div class="share-buttons"', 'ul class="related_posts"', 'div id="comments"', "div hidden", "p HIDDEN=''", 'div aria-hidden=true',
+    'div class="sidebar2"', 'div style="color:red; display : none"', 'section role="search"', 'div class="cookie-notice"', "div title='a'hidden"])
+def test_chrome_inside_article_goes(tag):
+    plain = "<p>Long text, with commas, that is the body of the page, and goes on.</p>"
+    page = f"<article>{plain}<{tag}>Lost words, of the part, which are long enough, really.</{tag.split()[0]}>{plain}</article>"
+    assert "Lost" not in html.main_text(page) and "body of the page" in html.main_text(page)
+
+
 # ---------------------------------------------------------------- empty tables, entry, pipeline
 
 @pytest.mark.parametrize("op", [
