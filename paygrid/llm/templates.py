@@ -5,11 +5,16 @@ and units turn into typed placeholders, everything else into its lower-case
 form without outer punctuation.  Windows of template symbols of benchmark
 items and documents meet in a hash join, so a question with other numbers,
 names or units still matches.  Along one alignment of a document with an item
-every benchmark value must then stand for one document value.
+every benchmark value must then stand for one document value.  Windows of the
+literal words are joined beside them, whatever the words are, so copies of
+items that are mostly numbers or names count too, and so do the equal parts of
+alignments whose values disagree.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +34,7 @@ UNITS = ("mm cm m km in ft yd mi inch inches foot feet yard yards mile miles met
          "ton tons ml l litre litres liter liters gallon gallons cup cups s sec second seconds min minute minutes h hr hour hours "
          "day days week weeks month months year years km/h mph percent % $ € £ dollar dollars cent cents euro euros degree degrees "
          "°c °f watt watts kwh volt volts joule joules newton newtons").split()
-NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
+NUMBER, NAME, UNIT, LITERAL = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974, 0x6C6974 << 32))
 _U = np.uint64
 _BYTES = np.arange(256)
 _INNER = ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65) & (_BYTES <= 90)) | ((_BYTES >= 97) & (_BYTES <= 122)) | (_BYTES >= 128)
@@ -87,41 +92,44 @@ def least_literals(n: int) -> int:
 
 
 def windows(column: pa.Array, sizes: list[int], only: np.ndarray | None = None, whole: bool = False):
-    """Per slice ``(row, size, pos, hash, slots)`` of template windows with
-    enough plain words; ``only``: bits of the hashes to keep; ``whole``: a row
-    shorter than ``WINDOW`` gives one window of all its words."""
+    """Per slice ``(row, size, literal, pos, hash, slots, length)`` of template
+    windows with enough plain words and of all literal windows; ``only``: bits
+    of the hashes to keep; ``whole``: a row shorter than ``WINDOW`` gives one
+    window of all its words."""
     for w in split(column):
         bounds, template, value, slot = symbols(w)
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         plain = np.concatenate([[0], np.cumsum(~slot)])
         length = np.diff(bounds)
-        for size in sizes:
-            h = mix(gram_hashes(template, size) + _U(size))
+        for size, literal in product(sizes, (False, True)):
+            h = mix(gram_hashes(value if literal else template, size) + _U(size) + (LITERAL if literal else _U(0)))
             p = np.arange(len(h))
-            ok = (p + size <= bounds[row[:len(h)] + 1]) & (plain[p + size] - plain[p] >= least_literals(size))
+            ok = p + size <= bounds[row[:len(h)] + 1]
+            if not literal:
+                ok &= plain[p + size] - plain[p] >= least_literals(size)
             if whole and size < WINDOW:
                 ok &= length[row[:len(h)]] == size
             if only is not None:
                 bit = (h >> _U(64 - BITS)).astype(np.int64)
                 ok &= (only[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
             p = p[ok]
-            yield (w.first + row[p], size, p - bounds[row[p]], h[p].view(np.int64),
+            yield (w.first + row[p], size, literal, p - bounds[row[p]], h[p].view(np.int64),
                    [value[i:i + size][slot[i:i + size]].view(np.int64).tolist() for i in p.tolist()], length[row[p]])
 
 
 def window_rows(texts: DataFrame, sizes: list[int], only: np.ndarray | None, whole: bool) -> DataFrame:
-    """``(id, key, size, pos, hash, slots, tokens)`` of ``(id, key, text)``."""
+    """``(id, key, size, literal, pos, hash, slots, tokens)`` of ``(id, key, text)``."""
     shared = texts.sparkSession.sparkContext.broadcast(only)
 
     def run(batches):
         for batch in batches:
-            for row, size, pos, h, slots, length in windows(batch.column(2), sizes, shared.value, whole):
+            for row, size, literal, pos, h, slots, length in windows(batch.column(2), sizes, shared.value, whole):
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.full(len(row), size, np.int32)),
-                     pa.array(pos.astype(np.int32)), pa.array(h), pa.array(slots, pa.list_(pa.int64())), pa.array(length.astype(np.int32))],
-                    names=["id", "key", "size", "pos", "hash", "slots", "tokens"])
-    return texts.mapInArrow(run, "id long, key long, size int, pos int, hash long, slots array<long>, tokens int")
+                     pa.array(np.full(len(row), literal)), pa.array(pos.astype(np.int32)), pa.array(h), pa.array(slots, pa.list_(pa.int64())), pa.array(length.astype(np.int32))],
+                    names=["id", "key", "size", "literal", "pos", "hash", "slots", "tokens"])
+    return texts.mapInArrow(run, "id long, key long, size int, literal boolean, pos int, hash long, slots array<long>, tokens int")
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -134,11 +142,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per document and benchmark item found in it:
     ``(doc_id, key, item_id, covered, item_words, n_slots, exact)``.
 
-    ``covered`` counts item words along the best alignment; ``exact`` says
-    that the slots hold the same values too; ``key`` names the row by content.
-    Items of fewer than 3 plain words are not searched.  Null and empty texts
-    match nothing; repeated rows give one row; other columns are ignored;
-    empty tables give no rows.
+    ``covered`` counts item words along the best alignment: those of all
+    windows where every item value stands for one document value, else those
+    of the template windows if they agree among themselves, else those of the
+    literal windows.  ``exact`` says that the covered words hold the same
+    values too; ``key`` names the row by content.  Items of fewer than 3 words
+    are not searched; items of fewer than 3 plain words only literally.  Null
+    and empty texts match nothing; repeated rows give one row; other columns
+    are ignored; empty tables give no rows.
     """
     items = write_out(window_rows(_rows(benchmark, item_col, item_text), list(range(3, WINDOW + 1)), None, True), "item-windows")
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]
@@ -146,19 +157,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for r in items.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct().toLocalIterator():
         bits[r[0] >> 3] |= 1 << (r[0] & 7)                 # at most 2^BITS bits, whatever the benchmark
     hits = window_rows(_rows(docs, id_col, text_col), sizes, bits, False)
-    item = items.select("hash", "size", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("pos").alias("item_pos"),
+    item = items.select("hash", "size", "literal", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("pos").alias("item_pos"),
                         F.col("slots").alias("item_slots"), F.col("tokens").alias("item_words"))
-    met = hits.drop("tokens").join(item, ["hash", "size"]).where(F.size("slots") == F.size("item_slots"))
+    met = hits.drop("tokens").join(item, ["hash", "size", "literal"]).where(
+        F.col("literal") | (F.size("slots") == F.size("item_slots")))
+    mine = F.when(F.col("literal"), F.col("item_slots")).otherwise(F.col("slots"))     # case and place decide what a slot is: equal words may differ
+    met = met.withColumn("slots", mine)
     value = F.transform(F.arrays_zip("item_slots", "slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["slots"].alias("b")))
-    along = met.groupBy("id", "key", "item_id", "item_key", "item_words", "size", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.sort_array(F.collect_set("item_pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set(value))).alias("pairs"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
-    covered = F.aggregate("at", start, lambda s, p: F.struct(
-        (s["n"] + F.least(F.col("size"), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda z: z["a"]))) == F.size("pairs")
-    good = along.where(consistent).withColumn("covered", covered).where(
-        F.col("covered") >= F.least(F.lit(COVERED), F.ceil(SHARE * F.col("item_words"))))
-    best = F.max(F.struct("covered", F.size("pairs").alias("n_slots"), F.forall("pairs", lambda z: z["a"] == z["b"]).alias("exact"), "item_words"))
+    aligned = []
+    for name, which in (("all", F.lit(True)), ("template", ~F.col("literal")), ("literal", F.col("literal"))):
+        aligned += [F.sort_array(F.collect_set(F.when(which, F.col("item_pos")))).alias(f"{name}_at"),
+                    F.array_distinct(F.flatten(F.collect_set(F.when(which, value)))).alias(f"{name}_pairs")]
+    along = met.groupBy("id", "key", "item_id", "item_key", "item_words", "size", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(*aligned)
+
+    def count(name: str):
+        start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
+        return F.aggregate(f"{name}_at", start, lambda s, p: F.struct(
+            (s["n"] + F.least(F.col("size"), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
+
+    def part(name: str):
+        """Covered words and slot values of the windows of a kind, if they agree."""
+        pairs = f"{name}_pairs"
+        agree = F.size(F.array_distinct(F.transform(pairs, lambda z: z["a"]))) == F.size(pairs)
+        return F.when(agree, F.struct(count(name).alias("covered"), F.size(pairs).alias("n_slots")))
+
+    along = along.withColumn("part", F.greatest(part("all"), part("template"), part("literal"))).withColumn("equal", count("literal"))
+    good = along.where(F.col("part.covered") >= F.least(F.lit(COVERED), F.ceil(SHARE * F.col("item_words"))))
+    exact = F.col("part.covered") == F.col("equal")        # a word with another value is in no literal window
+    best = F.max(F.struct("part.covered", "part.n_slots", exact.alias("exact"), "item_words"))
     return good.groupBy("id", "key", "item_id").agg(best.alias("x")).select(
         F.col("id").alias("doc_id"), "key", "item_id", F.col("x.covered").cast("long").alias("covered"),
         F.col("x.item_words").cast("long").alias("item_words"), F.col("x.n_slots").cast("long").alias("n_slots"), F.col("x.exact").alias("exact"))

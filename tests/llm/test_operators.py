@@ -212,6 +212,22 @@ def test_template_leaks(spark):
     assert templates.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_literal_leaks(spark):
+    words_ = [f"plain{i}" for i in range(60)]
+    words_[5] = words_[50] = "77"
+    items = [(1, "What is 23 plus 45?"), (2, "1914 1918 1939 1945 1950 1953 1955 1975 1979 1989"),
+             (3, "Paris London Rome Madrid Vienna Berlin Oslo Lisbon Dublin Prague Warsaw Athens Helsinki Sofia"), (4, " ".join(words_)), (5, "12 13")]
+    changed = words_[:50] + ["78"] + words_[51:]
+    docs = [(1, "so, What is 23 plus 45? it asks"), (2, "years: " + items[1][1] + " and more"), (3, "we saw " + items[2][1] + " there"),
+            (4, "well " + " ".join(changed)), (5, "What is 24 plus 45?"), (6, "1914 1918 1940 1945 1950 1954 1955 1975 1980 1989"), (7, "12 13"),
+            (8, items[2][1].lower()), (9, "Rome Oslo Paris Madrid Vienna London Berlin Dublin Lisbon Prague")]
+    got = {(r.doc_id, r.item_id): r for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                                                            spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (8, 3)}
+    assert all(r.exact for r in got.values())
+    assert got[1, 1].covered == 5 and got[2, 2].covered == 10 and got[3, 3].covered == 14 and got[4, 4].covered == 59
+
+
 def test_quality_classifier(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     judged = quality.classify(docs, labels.where("doc_id % 2 = 0"), F.col("source"), F.col("lang")).select("doc_id", "_kept", "_site")
