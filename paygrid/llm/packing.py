@@ -16,6 +16,7 @@ import base64
 import json
 import os
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,8 +32,8 @@ from paygrid.session import write_out
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"    # the ids of byte_bpe_50k.json, as ranks
 NODES = 4_000                           # branch-and-bound nodes; beyond them the best incumbent stands
-REOPENED = 64                           # kinds of wasteless bins that the search may pack anew
-HEADS = 8                               # longest pieces tried as first of three beside the bin's longest
+REOPENED = 64                           # kinds of wasteless bins that the search packs anew before it packs all
+LOOKED_AT = 64                          # fillings generated per node, dominated ones among them, before the search ends
 ROWS_PER_RUN = 1_000_000                # rows ranked by one sort
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -126,82 +127,139 @@ def take(left: np.ndarray, fill, times: int) -> None:
     np.subtract.at(left, np.array(fill), times)
 
 
-def completions(left: np.ndarray, top: int, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of up to three pieces beside ``top``, fullest
-    first.  Of fillings with the same total, the one with fewest and longest
-    pieces dominates; of single pieces, the longest that fits dominates."""
-    room = capacity - top
-    size = np.flatnonzero(left[:room + 1])[::-1]
-    if not size.size:
-        return [()]
-    rows = [np.array([[size[0], size[0], 0, 0]])]
-    floor = size[::-1]
-    for head in [0, *size[:HEADS].tolist()]:
-        rest = room - head
-        a = size[(size <= rest) & ((size <= head) | (head == 0))]
-        at = np.searchsorted(floor, np.minimum(rest - a, a), "right") - 1
-        a, b = a[at >= 0], floor[at[at >= 0]]                  # the longest second piece beside a
-        rows.append(np.stack([head + a + b, a, b, np.full(len(a), head)], 1))
-    table = np.concatenate(rows)
-    table = table[np.argsort(-table[:, 0], kind="stable")]
-    out: dict[int, tuple[int, ...]] = {}
-    for total, *fill in table[:64 * most].tolist():
-        fill = tuple(sorted((f for f in fill if f), reverse=True))
-        if total not in out and all(left[f] - (f == top) >= fill.count(f) for f in fill):
-            out[total] = fill
-            if len(out) == most:
-                break
-    return list(out.values()) or [()]
+def dominated(left: np.ndarray, free: int, fill: tuple[int, ...], room: int) -> bool:
+    """Whether a longer piece left over can stand for some pieces of ``fill``
+    (or one of their length for several) and still fit; ``free``: bits of the
+    lengths that ``left`` has."""
+    slack = room - sum(fill)
+    for size in set(fill):
+        if fill.count(size) == left[size]:
+            free &= ~(1 << size)
+    if free & ((2 << slack) - 2):
+        return True                                 # one more piece fits
+    one, more = 0, 0                                # bits of the sums of one piece, of several
+    for size in fill:
+        more |= (one | more) << size
+        one |= 1 << size
+    reach = more
+    for k in range(1, slack + 1):
+        reach |= (one | more) << k
+    return bool(free & reach)
+
+
+def completions(left: np.ndarray, room: int) -> Iterator[tuple[int, ...] | None]:
+    """All fillings of ``room`` that no other dominates piecewise, fullest
+    first, with the longest pieces first among equally full ones, generated
+    one by one; None stands for a filling that is dominated."""
+    size = np.flatnonzero(left[:room + 1])[::-1].tolist()
+    mask, free = (2 << room) - 1, sum(1 << x for x in size)
+    reach = [1] * (len(size) + 1)                   # bits of the sums that sizes k and on can make
+    for k in range(len(size) - 1, -1, -1):
+        sums, n, step = reach[k + 1], min(int(left[size[k]]), room // size[k]), 1
+        while n:
+            step = min(step, n)
+            sums |= sums << (step * size[k]) & mask
+            n, step = n - step, 2 * step
+        reach[k] = sums
+
+    def fillings(k: int, total: int) -> Iterator[tuple[int, ...]]:
+        if not total:
+            yield ()
+            return
+        for j in range(k, len(size)):
+            if not reach[j] >> total & 1:
+                return
+            for n in range(min(int(left[size[j]]), total // size[j]), 0, -1):
+                if reach[j + 1] >> (total - n * size[j]) & 1:
+                    for more in fillings(j + 1, total - n * size[j]):
+                        yield (size[j],) * n + more
+
+    for total in range(room, -1, -1):
+        if reach[0] >> total & 1:
+            for fill in fillings(0, total):
+                yield None if dominated(left, free, fill, room) else fill
+
+
+def branches(left: np.ndarray, capacity: int, single: bool) -> Iterator[tuple[tuple[int, ...], int] | None]:
+    """Fillings of the bin of the longest piece: each as often as the counts
+    allow, then, if ``single``, each once."""
+    top = int(np.flatnonzero(left)[-1])
+    others = left.copy()
+    others[top] -= 1
+    for once in (False, True)[:1 + single]:
+        for more in completions(others, capacity - top):
+            times = repeat(left, (top, *more)) if more is not None else 0
+            yield ((top, *more), 1 if once else times) if times > once else None
 
 
 def pack_histogram(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[tuple[tuple[int, ...], int]]:
     """Fillings with multiplicities that hold every piece, in as few bins as
-    the search finds; optimal when it meets ``least_bins``.
+    the search finds; optimal when it meets ``least_bins`` or ends before its
+    ``nodes``.
 
     Best fit is the first incumbent.  Where it misses the bound, its bins
     without waste are kept (but for the last ``REOPENED`` kinds) and the
-    others are packed again by branch and bound over the fillings of the bin
-    of the longest piece left, a depth-first search of ``nodes`` nodes.
+    others are packed again by a depth-first branch and bound over the
+    fillings of the bin of the longest piece left; if that leaves nodes, all
+    bins are packed again.  A quarter of the nodes goes to plans that meet the
+    bound, fillings repeated as often as the counts allow; then any better
+    plan counts, and in the end fillings are repeated any number of times.
     """
     counts = counts.astype(np.int64)
-    bound, incumbent = least_bins(counts, capacity), best_fit(counts, capacity)
-    n_bins = lambda plan: sum(t for _, t in plan)
-    if n_bins(incumbent) <= bound:
-        return incumbent
-    full = [k for k, (f, _) in enumerate(incumbent) if sum(f) == capacity]
-    fixed = set(full[:-REOPENED])
-    kept = [incumbent[k] for k in sorted(fixed)]
-    best = [x for k, x in enumerate(incumbent) if k not in fixed]
-    rest, size = np.zeros_like(counts), np.arange(len(counts))
+    bound, best = least_bins(counts, capacity), best_fit(counts, capacity)
+    looked = LOOKED_AT * nodes
+    for reopened in (REOPENED, len(best)):
+        full = [k for k, (f, _) in enumerate(best) if sum(f) == capacity]
+        fixed = set(full[:max(0, len(full) - reopened)])
+        if reopened != REOPENED and len(full) <= REOPENED or nodes <= 0 or looked <= 0:
+            break
+        kept = [best[k] for k in sorted(fixed)]
+        best, goal = [x for k, x in enumerate(best) if k not in fixed], bound - sum(t for _, t in kept)
+        for share, strict, single in ((4, True, False), (1, False, False), (1, False, True)):
+            some, seen = nodes // share, looked // share
+            best, n, m = search(best, capacity, goal, some, seen, strict, single)
+            nodes, looked = nodes - some + n, looked - seen + m
+        best = kept + best
+    return best
+
+
+def search(best: list[tuple[tuple[int, ...], int]], capacity: int, goal: int, nodes: int, looked: int,
+           strict: bool, single: bool) -> tuple[list[tuple[tuple[int, ...], int]], int, int]:
+    """``(plan, nodes, looked)``: the pieces of ``best`` in fewer bins
+    (``strict``: in ``goal`` bins) if the search finds any, and what is left
+    of its bounds."""
+    left = np.zeros(capacity + 1, np.int64)
     for fill, times in best:
-        take(rest, fill, -times)
-    goal, total, least = bound - n_bins(kept), int((rest * size).sum()), n_bins(best)
-    stack = [(rest, (), 0, 0)]          # pieces left, plan as linked pairs, bins, tokens placed
-    while stack and nodes > 0 and least > goal:
+        take(left, fill, -times)
+    total, least = int((left * np.arange(capacity + 1)).sum()), sum(t for _, t in best)
+    if least <= goal:
+        return best, nodes, looked
+    least = goal + 1 if strict else least
+    path, stack = [], [(left, branches(left, capacity, single), 0, 0)]      # pieces left, fillings to try, bins, tokens placed
+    while stack and nodes > 0 and looked > 0 and least > goal:
+        left, tries, used, placed = stack[-1]
+        looked -= 1
+        step = next(tries, ())
+        if step == ():
+            stack.pop()
+            if path:
+                path.pop()
+            continue
+        if step is None:
+            continue
         nodes -= 1
-        left, plan, used, placed = stack.pop()
-        waste = used * capacity - placed
-        if -(-(total + waste) // capacity) >= least:           # waste bound
+        fill, times = step
+        used, placed = used + times, placed + times * sum(fill)
+        if -(-(total + used * capacity - placed) // capacity) >= least:           # waste bound
             continue
         if placed == total:
-            least, best = used, []
-            while plan:
-                plan, step = plan
-                best.append(step)
+            least, best = used, [*path, step]
             continue
-        top = int(np.flatnonzero(left)[-1])
-        for more in reversed(completions(left, top, capacity, 3)):      # the fullest is searched first
-            fill, nxt = (top, *more), left.copy()
-            take(nxt, fill, 1)
-            room = capacity - sum(fill)
-            while room and (fits := np.flatnonzero(nxt[:room + 1] > 0)).size:
-                fill = (*fill, int(fits[-1]))
-                nxt[fits[-1]] -= 1
-                room -= int(fits[-1])
-            times, nxt = repeat(left, fill), left.copy()
-            take(nxt, fill, times)
-            stack.append((nxt, (plan, (fill, times)), used + times, placed + times * sum(fill)))
-    return kept + best
+        nxt = left.copy()
+        take(nxt, fill, times)
+        path.append(step)
+        stack.append((nxt, branches(nxt, capacity, single), used, placed))
+    return best, nodes, looked
 
 
 def slot_table(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:

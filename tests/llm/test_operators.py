@@ -149,6 +149,35 @@ def test_bin_completion(seed):
     assert packing.least_bins(counts, 100) <= n <= sum(t for _, t in packing.best_fit(counts, 100))
 
 
+@pytest.mark.parametrize("copies", [1, 2, 7, 1000])
+def test_bin_completion_tries_equal_totals(copies):
+    counts = np.bincount([60, 52, 51, 39, 30, 25, 18, 15, 10], minlength=101) * copies
+    assert sum(t for _, t in packing.best_fit(counts, 100)) > 3 * copies
+    plan = packing.pack_histogram(counts, 100)
+    used = np.zeros(101, int)
+    for fill, times in plan:
+        assert sum(fill) <= 100
+        np.add.at(used, list(fill), times)
+    assert (used == counts).all() and sum(t for _, t in plan) == 3 * copies
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bin_completion_is_optimal(seed):
+    r = random.Random(seed)
+    pieces = tuple(sorted((r.randint(1, 18) for _ in range(r.randint(5, 10))), reverse=True))
+
+    def least(k, bins):
+        if k == len(pieces):
+            return len(bins)
+        tries = [least(k + 1, [*bins[:i], b + pieces[k], *bins[i + 1:]]) for i, b in enumerate(bins)
+                 if b + pieces[k] <= 20 and b not in bins[:i]]
+        return min([*tries, least(k + 1, [*bins, pieces[k]])])
+
+    plan = packing.pack_histogram(np.bincount(pieces, minlength=21), 20)
+    assert sorted((x for f, t in plan for x in f * t), reverse=True) == list(pieces)
+    assert sum(t for _, t in plan) == least(0, [])
+
+
 # ---------------------------------------------------------------- near copies and repeats
 
 @pytest.mark.parametrize("table", ["odd", "documents"])
