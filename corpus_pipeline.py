@@ -31,12 +31,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents: the one with the
-    component's id.  Documents without words stay, as they link with nothing;
-    so do rows without an id, and rows that repeat the id that stays."""
-    groups = jaccard.similar_components(docs).where("n_shingles > 0 and component_id <> doc_id")
-    others = write_out(groups.select(F.col("doc_id").alias("_other")).distinct(), "near-copies")
-    return docs.join(others.hint("merge"), docs["doc_id"] == others["_other"], "left_anti")
+    """One row of each component of similar documents: the one with the
+    smallest id (null ids last), whatever other rows share that id.  Documents
+    without words stay, as they link with nothing."""
+    keyed = write_out(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    groups = jaccard.similar_components(keyed, id_col="_row").where("n_shingles > 0").select(
+        F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    groups = write_out(groups, "groups")
+    many = groups.groupBy("_group").agg(F.count("*").alias("_n")).where("_n > 1").select("_group")
+    rows = groups.join(many.hint("merge"), "_group").join(
+        keyed.select("_row", F.col("doc_id").alias("_id")).hint("merge"), "_row")
+    first = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"].alias("_first"))
+    others = rows.join(first.hint("merge"), "_group").where("_row <> _first").select("_row")
+    others = write_out(others, "near-copies")
+    return keyed.join(others.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

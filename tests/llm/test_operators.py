@@ -376,3 +376,15 @@ def test_pipeline(spark):
     assert all(any(squeeze(x) in squeeze(t) for x in items) is False for d, t in rows if d in clean)
     out = cp.run(spark, SF).toPandas()
     assert 0 < out["doc_id"].nunique() <= lone.count() and (out.groupby("sequence_id")["length"].sum() <= 2048).all()
+
+
+def test_near_copies_by_row(spark):
+    import corpus_pipeline as cp
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, say(1)), (1, say(1)), (None, say(2)), (None, say(2)), (3, say(3)), (4, say(3)), (4, say(4)), (5, say(5)), (None, say(5)),
+            (6, None), (6, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = cp.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert rows_of(kept, "doc_id", "text") == by_repr(
+        [(1, say(1)), (None, say(2)), (3, say(3)), (4, say(4)), (5, say(5)), (6, None), (6, None), (None, "")])
