@@ -3,6 +3,8 @@ forms (all windows, all pairs that share a shingle), no code shared."""
 
 from __future__ import annotations
 
+from paygrid.llm import licenses
+
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
 
 
@@ -76,3 +78,35 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or 2 * length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) > length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g'))
     or 2 * (length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) > n_words
     or 100 * len(list_distinct(w)) < 12 * n_words - 6 * least(n_words, 4000)) as kept from f"""
+
+
+def _folded(text: str) -> str:
+    return (f"list_filter(string_split_regex(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+            "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')")
+
+
+def _template(k: int, t: licenses.Template) -> str:
+    text = t.text.replace("'", "''")
+    return f"({k}, '{t.label}', {str(t.phrase).lower()}, '{text}')"
+
+
+_RUNS = "select {0}, k, i, array_to_string(w[i + 1:i + k], ' ') as g from (select *, unnest(range(0, greatest(len(w) - k + 1, 0))) as i from {1})"
+LICENSES = f"""with t as (select template, label, phrase, {_folded("text")} as w, if(phrase, {licenses.SHORT}, {licenses.LONG}) as k
+  from (values {", ".join(_template(k, t) for k, t in enumerate((*licenses.PHRASES, *licenses.TEXTS)))}) as v(template, label, phrase, text)),
+tr as ({_RUNS.format("template, label, phrase, len(w) as words, len(w) - k + 1 as runs", "t")}),
+d as (select row_number() over () as key, doc_id, {_folded("text")} as w from documents),
+dr as ({_RUNS.format("key", f"(select *, unnest([{licenses.SHORT}, {licenses.LONG}]) as k from d)")}),
+v as (select dr.key, template, label, phrase, words, runs, dr.i - tr.i as diagonal, count(*) as votes, min(dr.i) as i0, max(dr.i) as i1,
+  min(tr.i) as j0 from dr join tr on dr.k = tr.k and dr.g = tr.g group by all),
+n as (select *, case when abs(diagonal - lag(diagonal) over o) <= {licenses.DRIFT} and i0 - lag(i1) over o <= {licenses.GAP}
+  and j0 > lag(j0) over o then 0 else 1 end as fresh from v where not phrase window o as (partition by key, template order by i0, j0, diagonal)),
+m as (select key, label, words, runs, sum(votes) as votes, min(i0) as i0, max(i1) as i1 from (select *,
+  sum(fresh) over (partition by key, template order by i0, j0, diagonal) as part from n) group by key, template, label, words, runs, part),
+f as (select key, label, true as phrase, diagonal as lo, 1.0::double as score from v where phrase and votes = runs
+  union all select key, label, false, i0, least(1.0, round(votes / runs, 6))::double from m
+  where votes >= {licenses.SHARE} * runs and i1 + {licenses.LONG} - i0 <= {licenses.STRETCH} * words),
+s as (select key, count(*) filter (where phrase) as n_base, min(lo) filter (where phrase) as first_word, max(lo) filter (where phrase) as last_word,
+  string_agg(distinct label, ',' order by label) filter (where phrase) as base_labels, string_agg(distinct label, ',' order by label) as labels,
+  max(score) as score from f group by key)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0)::double as score from d left join s using (key)"""

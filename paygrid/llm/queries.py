@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paygrid.llm import cascade, html, jaccard, langid, oracles, packing, quality, recompression, secrets, sharding, templates
+from paygrid.llm import (cascade, html, jaccard, langid, licenses, oracles, packing, periodic, quality, recompression, resampling, secrets,
+                         sharding, templates)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -80,3 +81,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_minimax_shards")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@register("op11_diagonal_licenses", oracles.LICENSES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents is rewritten to repeat its words first."""
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), places=periodic.planted)
+
+
+@register("op13_ngram_resampling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

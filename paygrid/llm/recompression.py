@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paygrid.llm.filters import bitmap_of, may_hold
-from paygrid.llm.words import _power, mix, split
+from paygrid.llm.words import mix, split
 from paygrid.session import write_out
 
 WINDOW = 35
 ROUNDS = 2
 _U = np.uint64
+PRIME = _U((1 << 31) - 1)
+BASES = (1_103_515_245, 48_271)
 
 
 def parse(h: np.ndarray, bounds: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,14 +81,31 @@ def parse(h: np.ndarray, bounds: np.ndarray, rounds: int) -> tuple[np.ndarray, n
 
 
 class Spans:
-    """Hashes of arbitrary word ranges from prefix sums."""
+    """Hashes of arbitrary word ranges from prefix sums: polynomials modulo the
+    prime 2^31 - 1 at two bases (62 bits), whose sums and products fit 64 bits.
+    A power of two as modulus would make patterns of long range collide."""
 
     def __init__(self, h: np.ndarray):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _power("up", len(h) + 1)[:len(h)])])
-        self.down = _power("down", len(h) + 1)
+        self.sums, self.down = [], []
+        for k, base in enumerate(BASES):
+            part = (h >> _U(32 * k) & _U(0xFFFFFFFF)) % PRIME
+            self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * powers(base, len(h)) % PRIME)]))
+            self.down.append(powers(pow(base, -1, int(PRIME)), len(h) + 1))
 
     def hash(self, lo: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[lo]) * self.down[lo] + (end - lo).astype(np.uint64) * _U(0xA24BAED4963EE407))
+        x, y = ((s[end] - s[lo]) % PRIME * d[lo] % PRIME for s, d in zip(self.sums, self.down, strict=True))
+        return mix((x << _U(31) | y) ^ mix((end - lo).astype(np.uint64) * _U(0xA24BAED4963EE407)))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** 0 .. base ** (n - 1)`` modulo ``PRIME``."""
+    out, size = np.ones(max(n, 1), np.uint64), 1
+    while size < n:
+        step = _U(pow(base, size, int(PRIME)))
+        more = min(size, n - size)
+        out[size:size + more] = out[:more] * step % PRIME
+        size += more
+    return out[:n]
 
 
 def least_in(keys: np.ndarray, lo: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -1,14 +1,16 @@
 """Words of Arrow string batches as numpy arrays.
 
 A word is a maximal run of bytes other than space and ``\\t \\n \\v \\f \\r``.
-Word hashes are 64-bit polynomials over the bytes, mixed with the length:
-deterministic across tasks and runs, so equal words get equal names on every
-executor without an exchange.  Work is cut into slices of whole documents of
-about ``SLICE_BYTES`` to keep temporary arrays small.
+Word hashes are 64 bits, mixed anew after every 8 bytes (words of more than
+``LONG`` bytes take a cryptographic hash): deterministic across tasks and runs,
+so equal words get equal names on every executor without an exchange.  Work is
+cut into slices of whole documents of about ``SLICE_BYTES`` to keep temporary
+arrays small.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
+LONG = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _U = np.uint64
@@ -35,6 +38,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -96,10 +101,31 @@ def slices(off: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def split(column: pa.Array, lower: bool = False) -> Iterator[Words]:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit name per byte range."""
+    left = ends - starts
+    h = mix(left.astype(np.uint64) * _U(_BASE) + _U(1))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    long = np.flatnonzero(left > LONG)
+    for k in long.tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k]:ends[k]].tobytes(), digest_size=8).digest(), "little")
+    some, at = np.arange(len(h)), starts
+    if len(long):
+        some = np.flatnonzero(left <= LONG)
+        at, left = starts[some], left[some]
+    while len(some):
+        part = eight[at].view("<u8")[:, 0]
+        part = np.where(left < 8, part & ((_U(1) << (_U(8) * np.minimum(left, 7).astype(np.uint64))) - _U(1)), part)
+        h[some] = mix(h[some] ^ part)
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def split(column: pa.Array, lower: bool = False, size: int = SLICE_BYTES) -> Iterator[Words]:
     """Words of a string column; ``lower`` folds A-Z in the hashes only."""
     raw, offsets = text_bytes(column)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, size):
         off = offsets[i:j + 1] - offsets[i]
         data = raw[offsets[i]:offsets[j]]
         n = len(data)
@@ -111,10 +137,7 @@ def split(column: pa.Array, lower: bool = False) -> Iterator[Words]:
             begin[1:] &= ~solid[:-1] | edge[1:n]
             end[:-1] &= ~solid[1:] | edge[1:n]
         starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[data] * _power("up", n + 1)[:n], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _power("down", n + 1)[starts]
-        h = mix(h ^ ((ends - starts).astype(np.uint64) << _U(48)))
+        h = word_hashes(_FOLD[data] if lower else data, starts, ends)
         yield Words(i, data, np.searchsorted(starts, off), starts, ends, h)
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import collections
+import fractions
 import hashlib
+import math
 import re
+import zlib
 
 SPACES = "[ \t\n\x0b\f\r]+"
 WORD = re.compile("[^ \t\n\x0b\f\r]+")
@@ -73,3 +76,97 @@ def removed(rows, size=35):
         hit = {j for i in range(len(w) - size + 1) if seen[tuple(w[i:i + size])] > 1 for j in range(i, i + size)}
         out.append((d, len(w), len(hit), sha(" ".join(x for j, x in enumerate(w) if j not in hit))))
     return out
+
+
+ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def plain_words(text):
+    return ALNUM.findall((text or "").translate(FOLD))
+
+
+def periodic(words, least=24, times=3):
+    """All runs by comparing every word with that one period on."""
+    n, out = len(words), []
+    for q in range(1, n // times + 1):
+        i = 0
+        while i + q < n:
+            if words[i] != words[i + q]:
+                i += 1
+                continue
+            s = i
+            while i + q < n and words[i] == words[i + q]:
+                i += 1
+            length = i - s + q
+            if length >= max(least, times * q) and not any(
+                    all(words[k] == words[k + p] for k in range(s, s + length - p)) for p in range(1, q)):
+                out.append((s, length, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def periodic_row(doc_id, text, plant):
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode())
+    if plant and doc_id is not None and h % 10 == 0 and w:
+        g = h // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+    found = periodic(w)
+    best = min(found, key=lambda r: (-fractions.Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return (doc_id, len(found), *(best or (None,) * 3), best and 1000 * best[1] // best[2],
+            sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def license_row(doc_id, text, phrases, texts, share, drift, gap, stretch):
+    w = plain_words(text)
+    base, labels, best = [], set(), 0.0
+    for t in phrases:
+        p = plain_words(t.text)
+        here = [i for i in range(len(w)) if w[i:i + len(p)] == p]
+        base += [(i, t.label) for i in here]
+    for t in texts:
+        p = plain_words(t.text)
+        diagonals = {}
+        for i in range(len(w) - 2):
+            for j in range(len(p) - 2):
+                if w[i:i + 3] == p[j:j + 3]:
+                    diagonals.setdefault(i - j, []).append((i, j))
+        spans = []
+        for i0, j0, d, votes in sorted((v[0][0], v[0][1], d, v) for d, v in diagonals.items()):
+            if spans and abs(d - spans[-1][1]) <= drift and i0 - spans[-1][2] <= gap and j0 > spans[-1][3]:
+                spans[-1] = (spans[-1][0], d, votes[-1][0], j0, spans[-1][4] + votes)
+            else:
+                spans.append((i0, d, votes[-1][0], j0, votes))
+        for *_, votes in spans:
+            length = max(i for i, _ in votes) + 3 - min(i for i, _ in votes)
+            if len(votes) >= share * (len(p) - 2) and length <= stretch * len(p):
+                labels.add(t.label)
+                best = max(best, min(1.0, round(len(votes) / (len(p) - 2), 6)))
+    kinds = {x for _, x in base}
+    return (doc_id, len(w), len(base), min((i for i, _ in base), default=None), max((i for i, _ in base), default=None),
+            ",".join(sorted(kinds)), ",".join(sorted(kinds | labels)), 1.0 if base else best)
+
+
+def resampled(rows, target, grams=1, buckets=10_000, least=20, percent=10, seed=2024):
+    def feats(text):
+        w = plain_words(text)
+        return [zlib.crc32(" ".join(w[i:i + n]).encode()) % buckets for n in range(1, grams + 1) for i in range(len(w) - n + 1)]
+    s, t = collections.Counter(), collections.Counter()
+    for _, x in rows:
+        s.update(feats(x))
+    for x in target:
+        t.update(feats(x))
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (all_s + buckets) / ((s[b] + 1) * (all_t + buckets)))) for b in range(buckets)]
+    out = []
+    for d, x in rows:
+        f = feats(x)
+        weight = sum(gain[b] for b in f)
+        h = int(sha(f"{seed}:{'' if d is None else d}")[:8], 16)
+        out.append([d, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(plain_words(x))])
+    able = sorted((r for r in out if r[5] >= least), key=lambda r: (-r[3], r[0] is None, r[0]))
+    for k, r in enumerate(able[:percent * len(able) // 100], 1):
+        r[4] = k
+    return [tuple(r[:5]) for r in out]

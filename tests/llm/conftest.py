@@ -1,11 +1,7 @@
-import os
 import random
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, node long, row long, _site double, words string"
 
 
