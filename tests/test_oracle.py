@@ -6,7 +6,7 @@ import pytest
 from paygrid.plans import load_all
 from paygrid.plans.verify import compare, duck
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 QUERIES, ORACLE = load_all()
 SLOW = {"svd_2d", "kmeans_8", "kmeans_8_documents", "cluster_profiles", "tfidf_matrix"}
