@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paygrid import rules as R
 from paygrid.functions.regex import extract, first_match, jpat
-from paygrid.functions.text import html_unescape, normalize_ws, strip_tags
+from paygrid.functions.text import html_unescape, let, normalize_ws, strip_tags
 
 RANGE = (f"{R.CURRENCY_SYMBOL}\\s*({R.NUMBER}){R.UNIT_SUFFIX}\\s*{R.DASH}\\s*"
          f"(?:{R.CURRENCY_SYMBOL}\\s*)?({R.NUMBER}){R.UNIT_SUFFIX}")
@@ -34,7 +34,10 @@ def looks_like_salary(text) -> Column:
 def parse_salary(text) -> Column:
     """struct(salary_text, currency, salary_min, salary_max, salary_unit)."""
     raw = F.col(text) if isinstance(text, str) else text
-    block = normalize_ws(html_unescape(raw))
+    return let(normalize_ws(html_unescape(raw)), _parsed)
+
+
+def _parsed(block: Column) -> Column:
     unit = F.when(block.isNotNull(), first_match(block, R.UNIT_RULES, None))
     code = extract(block, R.CURRENCY_CODE, 1, ci=False)
     r_sym = extract(block, RANGE, 1, ci=False)
@@ -66,8 +69,11 @@ def reparse_salary(text) -> Column:
     Tags are stripped and references decoded first.
     """
     raw = F.col(text) if isinstance(text, str) else text
-    plain = strip_tags(raw)
-    empty = raw.isNull() | (plain == "")
+    return let(strip_tags(raw), _reparsed)
+
+
+def _reparsed(plain: Column) -> Column:
+    empty = plain.isNull() | (plain == "")
     unit = first_match(plain, R.REPARSE_UNIT_RULES, None)
     code = extract(plain, R.CURRENCY_CODE, 1, ci=False)
     first_sym = _symbol_currency(extract(plain, "[$£€]", 0, ci=False))

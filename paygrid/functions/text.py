@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -22,20 +24,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` written once in the plan and computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalize_ws(c) -> Column:
     """Collapse every whitespace run (incl. U+00A0) to one space, strip."""
     return F.trim(F.regexp_replace(_c(c), "(?U)\\s+", " "))
 
 
 def _map(pairs: dict) -> Column:
-    return F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), F.lit(v))])
+    """A constant map, as one literal of the plan."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
 
 def _numeric(digits: Column, base: int) -> Column:
     n = F.conv(F.substring(digits, 1, 12), base, 10).cast("bigint")
     char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
-    return F.when(bad, F.lit("\ufffd")).when(n.between(128, 159), F.try_element_at(_map(_CP1252), n.cast("int"))).otherwise(char)
+    return F.when(bad, F.lit("\ufffd")).when(n.between(128, 159), F.try_element_at(_map(_CP1252), n.cast("string"))).otherwise(char)
 
 
 def _decoded(piece: Column) -> Column:

@@ -210,39 +210,36 @@ def recurring_series(h: DataFrame, top: int = 8) -> DataFrame:
 # snapshot fold
 # --------------------------------------------------------------------------
 
-def snapshots_from_events(events: DataFrame) -> DataFrame:
-    """Map driver ``events`` onto snapshot records: one record per
-    (job id, snapshot); ``event_id`` is the position inside the snapshot."""
-    return events.select(
-        F.col("user_id").alias("job_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.col("event_id").alias("pos"),
-        F.col("event_type").alias("title"),
-        F.when(F.col("event_type") == "purchase", F.col("value")).alias("salary"))
-
-
-def fold_snapshots(snaps: DataFrame) -> DataFrame:
-    """Fold snapshot records into one history row per id.
-
-    Order inside an id is (ts, pos).  Fields come from the first snapshot;
-    the salary from the first snapshot with a non-zero salary, else from the
-    first snapshot.  All aggregates are order-free (min/max/min_by), so the
-    fold is one hash aggregation with map-side partial merge - the same plan
-    works for a stream.
+FIRST = ["title", "location", "department", "snapshot_url"]
+SALARY = ["salary_text", "currency", "salary_min", "salary_max", "salary_unit"]
+
+
+def non_empty_id(records: DataFrame) -> DataFrame:
+    """Records with an id: blank and missing ones cannot be followed."""
+    return records.where(F.col("job_id").isNotNull() & (F.col("job_id") != ""))
+
+
+def fold_snapshots(records: DataFrame) -> DataFrame:
+    """Fold snapshot records (``boards.snapshot_records``) into one history row per id.
+
+    Order inside an id is (ts, pos).  Title, location, department and snapshot
+    URL come from the first record; the whole salary group from the first
+    record with a non-zero minimum, else from the first record.  Two structs
+    are folded by ``min_by``, beside the dates and the number of records; all
+    of it is order-free and merges map-side, so one exchange of partial rows
+    by id is the only one.  Structs have no hash buffer and an object-hash
+    buffer gives up after a few hundred ids, so Spark sorts before both steps
+    (it spills, an id with many records is merged before the exchange).
     """
     order = F.struct("ts", "pos")
-    truthy = F.col("salary").isNotNull() & (F.col("salary") != 0)
-    g = (snaps.where(F.col("job_id").isNotNull())
-              .groupBy("job_id")
-              .agg(F.min_by("title", order).alias("title"),
-                   F.min(F.to_date("ts")).alias("first_seen"),
-                   F.max(F.to_date("ts")).alias("last_seen"),
-                   F.min_by("salary", F.when(truthy, order)).alias("_s_truthy"),
-                   F.min_by("salary", order).alias("_s_first"),
-                   F.count("*").alias("n_snapshots")))
-    sal = F.coalesce("_s_truthy", "_s_first")
-    return g.select("job_id", "title", "first_seen", "last_seen",
-                    sal.alias("salary_min"), sal.alias("salary_max"), "n_snapshots")
+    salary = F.struct(*SALARY)
+    truthy = F.col("salary_min").isNotNull() & (F.col("salary_min") != 0)
+    g = non_empty_id(records).groupBy("job_id").agg(
+        F.min_by(F.struct(*FIRST, salary.alias("salary")), order).alias("_first"),
+        F.min_by(salary, F.when(truthy, order)).alias("_salary"),
+        F.min(F.to_date("ts")).alias("first_seen"), F.max(F.to_date("ts")).alias("last_seen"), F.count("*").alias("n_snapshots"))
+    return g.withColumn("_salary", F.coalesce("_salary", "_first.salary")).select(
+        "job_id", *[f"_first.{c}" for c in FIRST], *[f"_salary.{c}" for c in SALARY], "first_seen", "last_seen", "n_snapshots")
 
 
 def mark_active(folded: DataFrame, current_ids: DataFrame | None) -> DataFrame:

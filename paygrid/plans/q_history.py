@@ -1,6 +1,6 @@
 """Registered queries: hiring history over the postings table, and the
-snapshot fold over ``events`` (id=user_id, snapshot time=ts, position=event_id,
-title=event_type, salary=value of purchases)."""
+snapshot fold over archived board bodies made of ``events`` (a record per event,
+a snapshot per hour)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from paygrid.operators.common import slug
 from paygrid.plans import oracle_rules as O
 from paygrid.plans.catalog import facts, r2, register, sql
 from paygrid.plans.q_pay import histogram_sql
+from paygrid.sources import boards as B
 from paygrid.sources import fixture
 from paygrid.sources.postings import history_frame
 
@@ -138,43 +139,54 @@ register("recurring_series", sql(
 
 # ------------------------------------------------------------ snapshot fold
 
-_EV = ("e as (select user_id as job_id, ts, event_id as pos, event_type as title, "
-       "case when event_type = 'purchase' then value end as salary from events where user_id is not null), "
-       "f as (select job_id, arg_min(title, (ts, pos)) as title, min(ts::date) as first_seen, "
-       "max(ts::date) as last_seen, coalesce(arg_min(salary, (ts, pos)) filter "
-       "(where salary is not null and salary <> 0), arg_min_null(salary, (ts, pos))) as sal, "
-       "count(*) as n_snapshots from e group by 1), "
-       f"cur as (select distinct user_id from events where ts >= timestamp '{CURRENT_SINCE}'), "
-       "m as (select f.*, cur.user_id is not null as is_active from f left join cur on f.job_id = cur.user_id)")
-FOLD_SQL = ("with " + _EV + " select job_id, title, first_seen, last_seen, " + r2("sal") + " as salary_min, "
-            + r2("sal") + " as salary_max, n_snapshots from f")
+_PAY = "case when event_type in ('purchase', 'click', 'signup') then 'About the ' || title || ' ' || pay end"
+_EV = (f"e as (select *, row(ts, event_id) as o, split_part(title, ' ', 1) as event_type from ({fixture.SNAPSHOTS_SQL}) where job_id <> ''), "
+       "r as (select job_id, o, ts, title, location, department, 'https://web.archive.org/web/' || strftime(ts, '%Y%m%d%H%M%S') || "
+       f"'id_/boards.example.com/jobs' as snapshot_url, {_PAY} as salary_text, "
+       "case event_type when 'purchase' then 'USD' when 'click' then 'EUR' when 'signup' then 'CAD' end as currency, "
+       "case event_type when 'purchase' then regexp_extract(pay, '(\\d+),000 -', 1)::bigint * 1000 when 'click' then "
+       "regexp_extract(pay, '\\d+')::bigint when 'signup' then 0 end as salary_min, "
+       "case event_type when 'purchase' then regexp_extract(pay, '(\\d+),000 USD', 1)::bigint * 1000 when 'click' then "
+       "regexp_extract(pay, '\\d+')::bigint when 'signup' then 0 end as salary_max, "
+       "case event_type when 'purchase' then 'annual' when 'click' then 'hourly' when 'signup' then 'annual' end as salary_unit from e), "
+       "w as (select job_id, min(o) as o1, min(o) filter (where salary_min <> 0) as o2, min(ts::date) as first_seen, "
+       "max(ts::date) as last_seen, count(*) as n_snapshots from r group by 1), "
+       "f as (select w.job_id, a.title, a.location, a.department, a.snapshot_url, s.salary_text, s.currency, s.salary_min, s.salary_max, "
+       "s.salary_unit, first_seen, last_seen, n_snapshots from w join r a on a.job_id = w.job_id and a.o = w.o1 "
+       "join r s on s.job_id = w.job_id and s.o = coalesce(w.o2, w.o1)), "
+       f"cur as (select distinct cast(user_id as varchar) as id from events where ts >= timestamp '{CURRENT_SINCE}'), "
+       "m as (select f.*, cur.id is not null as is_active from f left join cur on f.job_id = cur.id)")
+FOLD_SQL = "with " + _EV + " select * from f"
+
+
+def records(spark, sf):
+    return B.snapshot_records(B.snapshot_bodies(fixture.snapshot_jobs(fixture.table(spark, sf, "events"))))
 
 
 def folded(spark, sf):
-    return H.fold_snapshots(H.snapshots_from_events(fixture.table(spark, sf, "events")))
+    return H.fold_snapshots(records(spark, sf))
 
 
 def marked(spark, sf):
     ev = fixture.table(spark, sf, "events")
     cur = ev.where(F.col("ts") >= F.lit(CURRENT_SINCE).cast("timestamp_ntz")).select(
-        F.col("user_id").alias("job_id"))
+        F.col("user_id").cast("string").alias("job_id"))
     return H.mark_active(folded(spark, sf), cur)
 
 
 register("fold_snapshots", FOLD_SQL)(folded)
-register("non_empty_id", FOLD_SQL)(folded)
+
+register("non_empty_id", "with " + _EV + " select job_id, title, snapshot_url, salary_min from r")(
+    lambda spark, sf: H.non_empty_id(records(spark, sf)).select("job_id", "title", "snapshot_url", "salary_min"))
 
 register("mark_active", "with " + _EV + " select job_id, is_active from m")(
     lambda spark, sf: marked(spark, sf).select("job_id", "is_active"))
 
-register("fold_summary", "with " + _EV + " select count(*) as total, count(*) filter (where sal is not null and "
-         "sal <> 0) as with_salary, count(*) filter (where is_active) as active, count(*) filter (where not "
-         "is_active) as closed from m")(
+register("fold_summary", "with " + _EV + " select count(*) as total, count(*) filter (where salary_min <> 0) as with_salary, "
+         "count(*) filter (where is_active) as active, count(*) filter (where not is_active) as closed from m")(
     lambda spark, sf: H.fold_summary(marked(spark, sf)))
 
-register("sink_history", "with " + _EV + " select job_id::varchar as job_id, title, null::varchar as location, "
-         "null::varchar as department, " + r2("nullif(sal, 0)") + " as salary_min, " + r2("nullif(sal, 0)")
-         + " as salary_max, null::varchar as currency, null::varchar as salary_unit, "
-         "strftime(first_seen, '%Y%m%d') as first_seen, strftime(last_seen, '%Y%m%d') as last_seen, "
-         "case when is_active then 'True' else 'False' end as is_active, null::varchar as snapshot_url from m")(
+register("sink_history", "with " + _EV + " select job_id, title, location, department, nullif(salary_min, 0) as salary_min, "
+         "nullif(salary_max, 0) as salary_max, currency, salary_unit, strftime(first_seen, '%Y%m%d') as first_seen, "
+         "strftime(last_seen, '%Y%m%d') as last_seen, case when is_active then 'True' else 'False' end as is_active, snapshot_url from m")(
     lambda spark, sf: history_frame(marked(spark, sf)))

@@ -11,7 +11,7 @@ from paygrid.sources import fixture
 from paygrid.streaming import fold as S
 
 register("fold_snapshots_stream", FOLD_SQL)(
-    lambda spark, sf: S.run_fold_stream(spark, fixture.table(spark, sf, "events")))
+    lambda spark, sf: S.run_fold_stream(spark, fixture.snapshot_jobs(fixture.table(spark, sf, "events"))))
 
 register("dedup_snapshots_stream",
          "select distinct strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as snap_ts from events")(

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from paygrid.functions import classify as C
 from paygrid.functions import urls as U
-from paygrid.functions.salary import parse_salary
+from paygrid.functions.salary import looks_like_salary, parse_salary
+from paygrid.functions.text import html_to_text, let
 
 BOARD_A_SCHEMA = T.StructType([T.StructField("jobs", T.ArrayType(T.StructType([
     T.StructField("id", T.LongType()),
@@ -107,6 +108,23 @@ def postings_from_boards(jobs: DataFrame) -> DataFrame:
                     C.work_mode("location").alias("work_mode"), "description_md"))
 
 
+def snapshot_records(bodies: DataFrame) -> DataFrame:
+    """Job records of landed archive bodies ``(ts, page, url, body)``, ready for
+    the fold: ``(job_id, ts, pos, title, location, department, snapshot_url,
+    salary_text, currency, salary_min, salary_max, salary_unit)``.
+
+    Bodies that are no JSON object give nothing; ``pos`` is the place inside
+    the snapshot, page by page.  Salary is read from the text of the
+    description if it states one.  Row by row, for tables and streams alike.
+    """
+    jobs = scan_board_flat(payload_guard(bodies).withColumnRenamed("url", "snapshot_url"), keep=["ts", "page", "snapshot_url"])
+    salary = let(html_to_text("content_html"), lambda text: parse_salary(F.when(looks_like_salary(text), text)))
+    return jobs.withColumn("_s", salary).select(
+        "job_id", "ts", (F.shiftleft("page", 32) + F.col("pos")).alias("pos"), "title", "location",
+        F.col("department_raw").alias("department"), "snapshot_url", "_s.salary_text", "_s.currency", "_s.salary_min", "_s.salary_max",
+        "_s.salary_unit")
+
+
 # ---------------------------------------------------------------- builders
 
 def _content_html(p: DataFrame) -> Column:
@@ -169,3 +187,21 @@ def archive_index_bodies(events: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("event_id", rec.alias("rec")))), lambda x: x["rec"]).alias("recs"))
     header = F.array(*[F.array(*[F.lit(h) for h in INDEX_HEADER])])
     return g.select("board", "page", F.to_json(F.concat(header, F.col("recs"))).alias("body"))
+
+
+def snapshot_bodies(jobs: DataFrame) -> DataFrame:
+    """Landed archive bodies ``(ts, page, url, body)`` of job records: a
+    snapshot comes in pages of at most ``JOBS_PER_BODY`` consecutive event
+    ids, beside an HTML error page for every midnight."""
+    html = F.concat(F.lit("<div><p>About the "), "title", F.lit("</p><p>"), F.coalesce("pay", F.lit("")), F.lit("</p></div>"))
+    job = F.struct("event_id", F.struct(
+        F.col("job_id").alias("id"), "title", "location", F.col("ts").cast("string").alias("publishedAt"), html.alias("descriptionHtml"),
+        "department", F.lit(None).cast("string").alias("jobUrl"), F.lit(None).cast("boolean").alias("isRemote"),
+        F.lit(None).cast("string").alias("workplaceType")).alias("job"))
+    listed = F.transform(F.array_sort(F.collect_list(job)), lambda x: x["job"])
+    page = F.floor(F.col("event_id") / JOBS_PER_BODY).alias("page")
+    url = F.concat(F.lit("https://web.archive.org/web/"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("id_/boards.example.com/jobs")).alias("url")
+    good = jobs.groupBy("ts", page).agg(listed.alias("jobs")).select("ts", "page", url, F.to_json(F.struct("jobs")).alias("body"))
+    errors = jobs.where(F.hour("ts") == 0).select("ts").distinct().select(
+        "ts", F.lit(-1).cast("long").alias("page"), url, F.lit("  <html><body>try later</body></html>").alias("body"))
+    return good.unionByName(errors)

@@ -57,6 +57,25 @@ left join documents d on d.doc_id = o.o_orderkey
 FACTS_SQL = (POSTINGS_SQL[:POSTINGS_SQL.index(",\n  case when o.o_orderkey % 13 = 0")]
              + POSTINGS_SQL[POSTINGS_SQL.index("\nfrom orders o"):POSTINGS_SQL.index("left join documents")])
 
+# one job record of an archived board snapshot per event: the snapshot of an
+# hour lists its jobs by event id; some ids are blank or missing, some records
+# state no pay, a pay of zero, or one amount
+SNAPSHOTS_SQL = """
+select
+  e.event_id,
+  date_trunc('hour', e.ts) as ts,
+  case when e.user_id % 10 = 7 then '' when e.user_id % 10 = 8 then null else cast(e.user_id as varchar(20)) end as job_id,
+  concat(e.event_type, ' role ', cast(e.event_id % 7 as varchar(20))) as title,
+  case e.event_id % 4 when 0 then null when 1 then '' else concat('City ', cast(e.event_id % 9 as varchar(20))) end as location,
+  case when e.event_type = 'view' then null else concat('Team ', e.event_type) end as department,
+  case e.event_type
+    when 'purchase' then concat('Annual Salary: $', cast(cast(floor(e.value) as bigint) + 1 as varchar(20)), ',000 - $', cast(cast(floor(e.value) as bigint) + 21 as varchar(20)), ',000 USD')
+    when 'click' then concat('Pays €', cast(cast(floor(e.value) as bigint) + 1 as varchar(20)), ' EUR per hour')
+    when 'signup' then '$0 - $0 CAD per year'
+    when 'view' then 'Competitive pay' else null end as pay
+from events e
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -76,6 +95,11 @@ def postings(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
     return spark.sql(POSTINGS_SQL if text else FACTS_SQL)
 
 
+def snapshot_jobs(events: DataFrame) -> DataFrame:
+    """Job records of archived snapshots, one per event (input only)."""
+    return events.sparkSession.sql(SNAPSHOTS_SQL.replace("from events e", "from {events} e"), events=events)
+
+
 PAGES_JOIN_SQL = ("left join pages pg on pg.page_id = "
                   "postings.k % (select count(*) from pages)")
 
