@@ -29,6 +29,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def neighbour_groups(values: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
+    """``array<struct<first, n>>`` of a sorted array: the first element of each
+    group of neighbours with equal ``key``, and how many they are.  In-row, so
+    that counting inside a row needs no shuffle."""
+    def group(v: Column) -> Column:
+        places = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (key(F.get(v, i)) != key(F.get(v, i - 1))))
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(v, i).alias("first"), (F.coalesce(F.get(s, k + 1), F.size(v)) - i).alias("n"))))
+    return let(values, group)
+
+
 def normalize_ws(c) -> Column:
     """Collapse every whitespace run (incl. U+00A0) to one space, strip."""
     return F.trim(F.regexp_replace(_c(c), "(?U)\\s+", " "))

@@ -1,143 +1,335 @@
-"""Description clustering with Spark ML: TF-IDF, rank-2 SVD, k-means.
+"""Description clustering: TF-IDF as a relation, rank-2 SVD, k-means.
 
 TF-IDF follows the common "smooth idf" convention: terms are ``\\w\\w+``
 tokens of the lower-cased text minus English stop words, plus adjacent
 pairs of the remaining tokens; the 3,000 most frequent terms with document
 frequency >= 3 and <= 85 %; weight = count * (ln((1+n)/(1+df)) + 1); rows
-L2-normalised.  Spark's ``IDF`` gives ln((1+n)/(1+df)), so the ``+1`` is an
-``ElementwiseProduct`` with (idf + 1).
+L2-normalised.
 
-Everything that grows with the corpus stays distributed; the driver holds
-only the vocabulary (3,000 terms), the idf vector, 8 cluster centres and a
-3,000 x 2 loading matrix.
+Terms are counted inside their row and written once; one aggregation gives the
+vocabulary, and the weights of a row are looked up without a shuffle.  Rows
+``(keys, idx, w)`` are written in as many partitions as asked for, and every
+iteration of the fits is one pass over that table: a task returns partial
+sums, which Spark adds up per cell.  The driver holds the vocabulary, the
+centres of all restarts (10 x 8 x 3,000 numbers) or a 3,000 x 12 block, never
+rows; nothing is cached, so nothing has to be released.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, NGram, Normalizer,
-                                RegexTokenizer, SQLTransformer, StopWordsRemover)
-from pyspark.ml.linalg import DenseVector
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
+from paygrid.functions.text import let, neighbour_groups
 from paygrid.operators.common import median
+from paygrid.session import write_out
 
+CHUNK = 16_384                 # stored weights that a task works on at a time
+KMEANS_ITERATIONS, KMEANS_MOVE = 20, 1e-4
+KMEANS_START_ROWS = 2_048      # rows (least hashes) on which the starting centres are chosen; all passes cover all rows
+SVD_BLOCK, SVD_ITERATIONS, SVD_RESIDUAL = 12, 80, 1e-8
 
-def tfidf_matrix(df: DataFrame, text: str = "description_md", keep: list[str] | None = None,
-                 max_features: int = R.TFIDF_MAX_FEATURES):
-    """Returns (frame with ``features``, vocabulary list)."""
+
+# --------------------------------------------------------------------------
+# TF-IDF
+# --------------------------------------------------------------------------
+
+@dataclass
+class Matrix:
+    """``rows``: written table of key columns, ``idx array<int>`` (rising) and
+    ``w array<double>``; ``vocab``: the term of each column; ``n`` rows."""
+    rows: DataFrame
+    vocab: list[str]
+    n: int
+
+    @property
+    def keys(self) -> list[str]:
+        return [c for c in self.rows.columns if c not in ("idx", "w")]
+
+
+def terms_of(text: Column) -> Column:
+    """Words that are no stop words, and pairs of those that are next to each
+    other without them; as ``array<struct<first, n>>`` by term."""
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(R.SPARK_ENGLISH_STOPWORDS))
+    places = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
+    every = let(words, lambda w: F.concat(w, F.transform(places(w), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))))
+    return neighbour_groups(F.sort_array(every))
+
+
+def vocabulary(terms: DataFrame, n: int, max_features: int) -> DataFrame:
+    """``(term, total, df)`` of the most frequent terms, ties by term."""
+    each = terms.select(F.explode("_terms").alias("t")).select(F.col("t.first").alias("term"), F.col("t.n").alias("n"))
+    return each.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df")).where(
+        (F.col("df") >= R.TFIDF_MIN_DF) & (F.col("df") <= R.TFIDF_MAX_DF * n)).orderBy(F.desc("total"), "term").limit(max_features)
+
+
+def tfidf(df: DataFrame, text: str = "description_md", keep: list[str] | None = None,
+          max_features: int = R.TFIDF_MAX_FEATURES, partitions: int | None = None) -> Matrix:
+    """TF-IDF rows of all texts that are not null (a text without known terms
+    is a row without weights).  ``partitions``: how many the row table has, by
+    default as many as shuffles."""
     keep = keep or []
-    src = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
-    tokens = Pipeline(stages=[
-        RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=r"(?U)\b\w\w+\b", gaps=False),
-        StopWordsRemover(inputCol="_tok", outputCol="_words"),
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        SQLTransformer(statement="select *, concat(_words, _pairs) as _terms from __THIS__"),
-    ]).fit(src)
-    # the vocabulary fit, the idf fit and the transform each read the terms:
-    # tokenize once and keep the term lists for those three passes
-    terms = tokens.transform(src).select(*keep, "_terms").persist(StorageLevel.MEMORY_AND_DISK)
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features,
-                         minDF=float(R.TFIDF_MIN_DF), maxDF=R.TFIDF_MAX_DF).fit(terms)
-    tf = cv.transform(terms)
-    idf = IDF(inputCol="_tf", outputCol="_idf_only").fit(tf).idf.toArray()
-    scaled = ElementwiseProduct(scalingVec=DenseVector(idf + 1.0), inputCol="_tf", outputCol="_w")
-    norm = Normalizer(p=2.0, inputCol="_w", outputCol="features")
-    out = norm.transform(scaled.transform(tf)).select(*keep, "features")
-    out = out.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    terms.unpersist()
-    return out, cv.vocabulary
-
-
-def kmeans_best(features: DataFrame, k: int = R.KMEANS_K, seed: int = R.KMEANS_SEED,
-                restarts: int = R.KMEANS_RESTARTS, parallel: int = 4):
-    """k-means with several seeds; keeps the model with the least cost.
-
-    The restarts are independent Spark jobs, submitted from a small thread
-    pool so the cluster stays busy.  The feature frame is persisted once;
-    each fit gets an uncached projection of it, so KMeans keeps its own
-    decoded vector RDD across iterations instead of re-decoding the columnar
-    cache every pass (2-3x faster).  ``parallel`` bounds how many such
-    copies exist at once.
-    """
-    feats = features if features.is_cached else features.persist(StorageLevel.MEMORY_AND_DISK)
-    vectors = feats.select("features")
-
-    def fit(s):
-        m = KMeans(k=k, seed=s, featuresCol="features", predictionCol="cluster").fit(vectors)
-        return m.summary.trainingCost, s, m
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, restarts))) as ex:
-        results = list(ex.map(fit, [seed + i for i in range(restarts)]))
-    best = min(results, key=lambda r: (r[0], r[1]))
-    return best[2], feats, [(s, c) for c, s, _ in results]
+    spark = df.sparkSession
+    terms = write_out(df.where(F.col(text).isNotNull()).select(*keep, terms_of(F.col(text)).alias("_terms")), "terms", compression="zstd")
+    n = terms.count()
+    known = vocabulary(terms, n, max_features).collect()
+    vocab = [r.term for r in known]
+    shared = spark.sparkContext.broadcast((vocab, np.log((1 + n) / (1 + np.array([r.df for r in known], float))) + 1))
 
+    def run(batches):
+        names, idf = shared.value
+        names = pa.array(names, pa.string())
+        for batch in batches:
+            lists = batch.column(len(keep))
+            flat = lists.flatten()
+            at = pc.index_in(flat.field("first"), value_set=names)
+            count = flat.field("n").to_numpy(zero_copy_only=False).astype(float)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            has = at.is_valid().to_numpy(zero_copy_only=False)
+            col, row = at.drop_null().to_numpy(), row[has]
+            w = count[has] * idf[col] if len(col) else np.zeros(0)
+            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lists)))
+            order = np.lexsort((col, row))
+            off = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(keep)], pa.ListArray.from_arrays(off, pa.array(col[order].astype(np.int32))),
+                 pa.ListArray.from_arrays(off, pa.array((w / norm[row])[order] if len(w) else w))], names=[*keep, "idx", "w"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "idx array<int>, w array<double>"])
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return Matrix(write_out(terms.mapInArrow(run, schema).repartition(parts), "tfidf"), vocab, n)
+
+
+def tfidf_matrix(df: DataFrame, text: str = "description_md", key: str = "job_id",
+                 max_features: int = R.TFIDF_MAX_FEATURES) -> DataFrame:
+    """The matrix as a relation: ``(key, term, weight)``, one row per weight."""
+    m = tfidf(df, text, [key], max_features)
+    names = df.sparkSession.createDataFrame(list(enumerate(m.vocab)), "idx int, term string")       # at most max_features rows
+    cells = m.rows.select(key, F.explode(F.arrays_zip("idx", "w")).alias("c")).select(key, F.col("c.idx").alias("idx"), F.col("c.w").alias("weight"))
+    return cells.join(F.broadcast(names), "idx").select(key, "term", "weight")
+
+
+# --------------------------------------------------------------------------
+# passes over the row table
+# --------------------------------------------------------------------------
+
+def chunks(batch: pa.RecordBatch, idx: int, w: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(first row, row after the last, row of each weight, idx, w)``."""
+    lists = batch.column(idx)
+    off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    col, val = lists.flatten().to_numpy(), batch.column(w).flatten().to_numpy()
+    i, n = 0, len(lists)
+    while i < n:
+        j = min(n, i + CHUNK, max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1))
+        yield i, j, np.repeat(np.arange(j - i), np.diff(off[i:j + 1])), col[off[i]:off[j]], val[off[i]:off[j]]
+        i = j
+
+
+def times(rows: int, row: np.ndarray, col: np.ndarray, val: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Product of the rows of a chunk with a dense block."""
+    out = np.zeros((rows, block.shape[1]))
+    if len(row):
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        out[row[first]] = np.add.reduceat(val[:, None] * block[col], first, axis=0)
+    return out
+
+
+def each_row(m: Matrix, block: np.ndarray, columns: str, make: Callable[[np.ndarray], list]) -> DataFrame:
+    """Key columns and ``make(rows x block)`` of every row."""
+    shared, k = m.rows.sparkSession.sparkContext.broadcast(block), len(m.keys)
+    names = [*m.keys, *[c.split(" ")[0] for c in columns.split(", ")]]
+
+    def run(batches):
+        for batch in batches:
+            parts = [times(j - i, row, col, val, shared.value) for i, j, row, col, val in chunks(batch, k, k + 1)]
+            got = make(np.concatenate([np.zeros((0, shared.value.shape[1])), *parts]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], *map(pa.array, got)], names=names)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in m.rows.select(*m.keys).schema), columns])
+    return m.rows.select(*m.keys, "idx", "w").mapInArrow(run, schema)
 
-def kmeans_8(df: DataFrame, text: str = "description_md", key: str = "job_id",
-             extra: list[str] | None = None):
-    feats, vocab = tfidf_matrix(df, text, [key] + (extra or []))
-    model, cached, costs = kmeans_best(feats)
-    assigned = model.transform(cached).drop("features")
-    return assigned, model, vocab, costs
+
+# --------------------------------------------------------------------------
+# SVD
+# --------------------------------------------------------------------------
+
+def gram_times(m: Matrix, block: np.ndarray) -> np.ndarray:
+    """``A' A block``: one pass, partial products per task, summed per term."""
+    shared, size = m.rows.sparkSession.sparkContext.broadcast(block), len(m.vocab)
+    names = [f"z{k}" for k in range(block.shape[1])]
+
+    def run(batches):
+        v = shared.value
+        z = np.zeros((size, v.shape[1]))
+        for batch in batches:
+            for i, j, row, col, val in chunks(batch, 0, 1):
+                y = times(j - i, row, col, val, v)
+                for k in range(v.shape[1]):
+                    z[:, k] += np.bincount(col, weights=val * y[row, k], minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), *[pa.array(z[:, k]) for k in range(v.shape[1])]],
+                                         names=["term", *names])
+    parts = m.rows.select("idx", "w").mapInArrow(run, ", ".join(["term int", *[f"{c} double" for c in names]]))
+    got = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    out = np.zeros_like(block)
+    out[got["term"].to_numpy()] = np.column_stack([got[c].to_numpy() for c in names])
+    return out
+
+
+def right_vectors(m: Matrix, rank: int = 2, seed: int = R.KMEANS_SEED) -> np.ndarray:
+    """The first right singular vectors (terms x rank) by block power
+    iteration, until the residuals of the wanted pairs are small."""
+    size = len(m.vocab)
+    width = min(size, max(SVD_BLOCK, rank))
+    v = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0]
+    for _ in range(SVD_ITERATIONS):
+        z = gram_times(m, v)
+        values, turn = np.linalg.eigh(v.T @ z)
+        turn = turn[:, ::-1]
+        z, v, values = z @ turn, v @ turn, values[::-1]
+        gap = np.linalg.norm(z[:, :rank] - v[:, :rank] * values[:rank], axis=0)
+        if (gap <= SVD_RESIDUAL * max(values[0], 1e-300)).all():
+            break
+        v = np.linalg.qr(z)[0]
+    out = np.zeros((size, rank))
+    out[:, :min(rank, width)] = v[:, :rank]
+    sign = np.sign(out[np.abs(out).argmax(axis=0), np.arange(rank)]) if size else np.ones(rank)
+    return out * np.where(sign == 0, 1.0, sign)
 
 
 def svd_2d(df: DataFrame, text: str = "description_md", key: str = "job_id") -> DataFrame:
-    """Rank-2 projection U*S (not centred) with the explained-variance share.
+    """Rank-2 projection (not centred) ``(key, x, y, explained_ratio)``; signs
+    are fixed so that the largest loading of each component is positive.
+    Without terms all coordinates are 0."""
+    m = tfidf(df, text, [key])
+    v = right_vectors(m) if m.vocab else np.zeros((1, 2))
+    out = each_row(m, v, "x double, y double", lambda y: [y[:, 0], y[:, 1]])
+    cells = m.rows.select(F.explode(F.arrays_zip("idx", "w")).alias("c"))
+    means = cells.groupBy("c.idx").agg(F.sum("c.w").alias("s")).agg(F.coalesce(F.sum(F.pow(F.col("s") / F.lit(max(m.n, 1)), 2)), F.lit(0.0)).alias("m2"))
+    square = m.rows.agg(F.avg(F.when(F.size("idx") > 0, 1.0).otherwise(0.0)).alias("sq"))          # rows have norm 1 or 0
+    share = out.agg((F.var_pop("x") + F.var_pop("y")).alias("v")).crossJoin(means).crossJoin(square).select(
+        F.coalesce(F.try_divide("v", F.col("sq") - F.col("m2")), F.lit(0.0)).alias("explained_ratio"))
+    return out.crossJoin(F.broadcast(share))                     # one row
 
-    Uses the distributed ``IndexedRowMatrix.computeSVD`` (Gramian of the
-    3,000 features on the driver); signs are fixed so each component's
-    largest-magnitude loading is positive.
-    """
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
-    feats, _ = tfidf_matrix(df, text, [key])
-    spark = df.sparkSession
-    idx = feats.select(key, "features").rdd.zipWithIndex().persist(StorageLevel.MEMORY_AND_DISK)
-    keys = spark.createDataFrame(idx.map(lambda r: (r[1], r[0][0])), f"_i long, {key} string")
-    mat = IndexedRowMatrix(idx.map(lambda r: IndexedRow(
-        r[1], MV.sparse(r[0][1].size, r[0][1].indices, r[0][1].values))))
-    svd = mat.computeSVD(2, computeU=True)
-    s = svd.s.toArray()
-    v = svd.V.toArray()
-    signs = np.sign(v[np.abs(v).argmax(axis=0), range(v.shape[1])])
-    signs[signs == 0] = 1.0
-    u = svd.U.rows.map(lambda r: (r.index, float(r.vector[0] * s[0] * signs[0]),
-                                  float(r.vector[1] * s[1] * signs[1])))
-    coords = spark.createDataFrame(u, "_i long, x double, y double")
-    out = coords.join(keys, "_i").drop("_i")
-    var = out.agg(F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    total = _total_variance(feats)
-    return out.withColumn("explained_ratio", (var.select((F.col("vx") + F.col("vy")) / F.lit(total)).scalar()))
-
-
-def _total_variance(feats: DataFrame) -> float:
-    """Sum of column variances: mean squared norm minus squared norm of the mean."""
-    from pyspark.ml.stat import Summarizer
-    row = feats.select(Summarizer.metrics("mean", "normL2", "count").summary(F.col("features")).alias("m")).first()["m"]
-    n = row["count"]
-    mean = row["mean"].toArray()
-    sq = float(np.sum(row["normL2"].toArray() ** 2)) / n
-    return max(sq - float(mean @ mean), 1e-300)
+# --------------------------------------------------------------------------
+# k-means
+# --------------------------------------------------------------------------
+
+@dataclass
+class Clusters:
+    """Centres (k x terms) of the best restart, its cost, and the cost of each ``(seed, cost)``."""
+    centers: np.ndarray
+    cost: float
+    costs: list[tuple[int, float]]
+
+
+def distances(x2: np.ndarray, dots: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    return np.maximum(x2[:, None] - 2 * dots + c2, 0)
+
+
+def starting_centers(m: Matrix, k: int, seeds: list[int]) -> np.ndarray:
+    """``len(seeds) x k x terms`` centres: spread-out rows of a sample of
+    ``KMEANS_START_ROWS`` rows, settled on that sample."""
+    sample = m.rows.select("idx", "w").orderBy(F.xxhash64("idx", "w")).limit(KMEANS_START_ROWS).collect()
+    x = np.zeros((max(len(sample), 1), len(m.vocab)))
+    for r, (idx, w) in enumerate(sample):
+        x[r, idx] = w
+    x2, out = (x * x).sum(axis=1), []
+    for seed in seeds:
+        r = np.random.default_rng(seed)
+        c = x[[r.integers(len(x))]]
+        while len(c) < k:
+            d = distances(x2, x @ c.T, (c * c).sum(axis=1)).min(axis=1)
+            c = np.vstack([c, x[r.choice(len(x), p=d / d.sum() if d.sum() > 0 else None)]])
+        for _ in range(KMEANS_ITERATIONS):
+            label = distances(x2, x @ c.T, (c * c).sum(axis=1)).argmin(axis=1)
+            c = np.array([x[label == j].mean(axis=0) if (label == j).any() else c[j] for j in range(k)])
+        out.append(c)
+    return np.array(out)
+
+
+def one_pass(m: Matrix, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(sums, counts, costs)`` of all rows under all restarts at once."""
+    runs, k, size = centers.shape
+    shared = m.rows.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches):
+        c = shared.value
+        flat, c2 = np.ascontiguousarray(c.reshape(runs * k, size).T), (c * c).sum(axis=2).ravel()
+        sums, counts, costs = np.zeros((runs, k * size)), np.zeros((runs, k)), np.zeros(runs)
+        for batch in batches:
+            for i, j, row, col, val in chunks(batch, 0, 1):
+                x2 = np.bincount(row, weights=val * val, minlength=j - i)
+                d = distances(x2, times(j - i, row, col, val, flat), c2).reshape(j - i, runs, k)
+                label = d.argmin(axis=2)
+                costs += d.min(axis=2).sum(axis=0)
+                for r in range(runs):
+                    counts[r] += np.bincount(label[:, r], minlength=k)
+                    sums[r] += np.bincount(label[row, r] * size + col, weights=val, minlength=k * size)
+        at = np.flatnonzero(sums.ravel())
+        cell = np.concatenate([at // size, np.arange(runs * k), np.arange(runs)])
+        term = np.concatenate([at % size, np.full(runs * k, -1), np.full(runs, -2)])
+        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(term.astype(np.int32)),
+                                          pa.array(np.concatenate([sums.ravel()[at], counts.ravel(), costs]))], names=["cell", "term", "s"])
+
+    got = m.rows.select("idx", "w").mapInArrow(run, "cell int, term int, s double").groupBy("cell", "term").agg(F.sum("s").alias("s")).toArrow()
+    cell, term, s = (got[c].to_numpy() for c in ("cell", "term", "s"))
+    sums, counts, costs = np.zeros((runs * k, size)), np.zeros(runs * k), np.zeros(runs)
+    for kind, out in ((-1, counts), (-2, costs)):
+        out[cell[term == kind]] = s[term == kind]
+    inside = term >= 0
+    sums[cell[inside], term[inside]] = s[inside]
+    return sums.reshape(runs, k, size), counts.reshape(runs, k), costs
+
+
+def kmeans_best(m: Matrix, k: int = R.KMEANS_K, seed: int = R.KMEANS_SEED, restarts: int = R.KMEANS_RESTARTS) -> Clusters:
+    """k-means from several starts, advanced together: one pass over the rows
+    an iteration, for the restarts whose centres still move; the model of least
+    cost stays."""
+    seeds = [seed + i for i in range(restarts)]
+    centers = starting_centers(m, k, seeds)
+    moving = np.arange(restarts)
+    for _ in range(KMEANS_ITERATIONS):
+        sums, counts, _ = one_pass(m, centers[moving])
+        new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centers[moving])
+        step = np.linalg.norm(new - centers[moving], axis=2).max(axis=1)
+        centers[moving] = new
+        moving = moving[step > KMEANS_MOVE]
+        if not len(moving):
+            break
+    costs = one_pass(m, centers)[2]
+    best = int(costs.argmin())
+    return Clusters(centers[best], float(costs[best]), list(zip(seeds, costs.tolist(), strict=True)))
+
+
+def assign(m: Matrix, centers: np.ndarray) -> DataFrame:
+    """Key columns and ``cluster``, the nearest centre of every row."""
+    c2 = (centers * centers).sum(axis=1)
+    return each_row(m, np.ascontiguousarray(centers.T), "cluster int", lambda dots: [(c2 - 2 * dots).argmin(axis=1).astype(np.int32)])
+
+
+def kmeans_8(df: DataFrame, text: str = "description_md", key: str = "job_id",
+             extra: list[str] | None = None) -> tuple[DataFrame, Clusters, list[str]]:
+    m = tfidf(df, text, [key] + (extra or []))
+    best = kmeans_best(m)
+    return assign(m, best.centers), best, m.vocab
 
 
 def cluster_profiles(df: DataFrame, text: str = "description_md", key: str = "job_id",
                      dept: str = "title_department", pay: str = "mid_usd") -> DataFrame:
     """Per cluster: size, median pay, top centre terms, top departments."""
-    assigned, model, vocab, _ = kmeans_8(df, text, key, [dept, pay])
+    assigned, best, vocab = kmeans_8(df, text, key, [dept, pay])
     spark = df.sparkSession
-    centres = model.clusterCenters()
     terms = [(i, ", ".join(vocab[j] for j in np.argsort(-c, kind="stable")[:R.CLUSTER_TOP_TERMS]))
-             for i, c in enumerate(centres)]
+             for i, c in enumerate(best.centers)]
     terms_df = spark.createDataFrame(terms, "cluster int, top_terms string")
+    assigned = write_out(assigned, "clusters")
     size = assigned.groupBy("cluster").agg(F.count("*").alias("n"), median(pay).alias("median_pay"))
     d = assigned.groupBy("cluster", dept).agg(F.count("*").alias("dn"))
     w = Window.partitionBy("cluster").orderBy(F.desc("dn"), F.asc(dept))

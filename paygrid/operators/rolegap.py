@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from paygrid import rules as R
 from paygrid.functions import classify as C
 from paygrid.functions import text as TX
+from paygrid.functions.text import let, neighbour_groups
 from paygrid.operators.common import median
 from paygrid.session import cut_lineage
 
@@ -251,25 +252,25 @@ def pay_percentile(r: DataFrame) -> DataFrame:
 def _clean_words(desc: Column) -> Column:
     cleaned = F.regexp_replace(F.lower(desc), r"(?U)[^a-z\s-]", " ")
     words = F.filter(F.split(cleaned, r"(?U)\s+"), lambda w: w != "")
-    stops = F.array(*[F.lit(s) for s in R.PHRASE_STOPWORDS])
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stops, w))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(R.PHRASE_STOPWORDS))
 
 
 def skill_phrases(r: DataFrame, top: int = R.PHRASE_TOP_N) -> DataFrame:
     """Per posting: adjacent word pairs (after cleaning and stop-word removal)
-    seen at least twice, the 12 most frequent, ties by first position."""
-    w = r.where(F.col("description_md").isNotNull()).select(
-        "job_id", _clean_words(F.col("description_md")).alias("w"))
-    idx = F.when(F.size("w") >= 2, F.sequence(F.lit(0), F.size("w") - 2)).otherwise(
-        F.array().cast("array<int>"))
-    pairs = w.select("job_id", F.posexplode(F.transform(
-        idx,
-        lambda i: F.concat(F.element_at("w", i + 1), F.lit(" "), F.element_at("w", i + 2)))
-        ).alias("pos", "phrase")).where(F.col("phrase").isNotNull())
-    c = (pairs.groupBy("job_id", "phrase").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
-              .where(F.col("n") >= R.PHRASE_MIN_COUNT))
-    rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("n"), "first_pos"))
-    return c.withColumn("rank", rank).where(F.col("rank") <= top)
+    seen at least twice, the 12 most frequent, ties by first position.
+
+    Pairs are sorted, counted and ranked inside their row: no exchange."""
+    def pairs(w: Column) -> Column:
+        places = F.when(F.size(w) > 1, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.sort_array(F.transform(places, lambda i: F.struct(F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)).alias("phrase"), i.alias("pos"))))
+
+    found = F.filter(neighbour_groups(let(_clean_words(F.col("description_md")), pairs), lambda x: x["phrase"]),
+                     lambda g: g["n"] >= R.PHRASE_MIN_COUNT)
+    best = F.slice(F.sort_array(F.transform(found, lambda g: F.struct(
+        (-g["n"]).alias("less"), g["first"]["pos"].alias("pos"), g["first"]["phrase"].alias("phrase")))), 1, top)
+    return r.where(F.col("description_md").isNotNull()).select("job_id", F.posexplode(best).alias("at", "g")).select(
+        "job_id", F.col("g.phrase").alias("phrase"), (-F.col("g.less")).cast("long").alias("n"), F.col("g.pos").alias("first_pos"),
+        (F.col("at") + 1).alias("rank"))
 
 
 def phrase_overlap(r: DataFrame, job_id: str, roles: int = R.OVERLAP_ROLES) -> DataFrame:

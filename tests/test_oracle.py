@@ -9,7 +9,7 @@ from paygrid.plans.verify import compare, duck
 from fixture_paths import SF_SMALL
 
 QUERIES, ORACLE = load_all()
-SLOW = {"svd_2d", "kmeans_8", "kmeans_8_documents", "cluster_profiles", "tfidf_matrix"}
+SLOW = {"svd_2d", "kmeans_8", "kmeans_8_documents", "cluster_profiles"}      # see test_ml.py
 
 
 @pytest.fixture(scope="module")
@@ -33,25 +33,6 @@ def test_rows_only(spark, name):
     assert n == ROWS[name] if name in ROWS else n > 0
 
 
-def test_kmeans_invariants(spark):
-    from pyspark.sql import functions as F
-    from paygrid.operators import ml
-    from paygrid.plans.catalog import postings
-    p = postings(spark, SF_SMALL)
-    assigned, model, vocab, costs = ml.kmeans_8(p)
-    rows = assigned.agg(F.min("cluster"), F.max("cluster"), F.count("*")).first()
-    assert rows[0] >= 0 and rows[1] <= 7
-    assert rows[2] == p.where(F.col("description_md").isNotNull()).count()
-    best = model.summary.trainingCost
-    assert all(best <= c + 1e-9 for _, c in costs)
-    assert len(vocab) <= 3000
-
-
-def test_tfidf_unit_norm(spark):
-    rows = QUERIES["tfidf_matrix"](spark, SF_SMALL).where("nnz > 0").select("norm").collect()
-    assert rows and all(abs(r.norm - 1.0) < 1e-6 for r in rows)
-
-
 def test_linear_comparables_equal_pair_join(spark, con):
     """Metamorphic: the linear band form equals the pair-join oracle."""
     ok, msg = compare(spark, "comparables_naive", SF_SMALL, con)
