@@ -8,13 +8,16 @@ compared.
 
 The first order (frequent tokens last, by counts over all documents) runs in
 Spark: prefix tokens that two different sets share are found by grouping, and
-sets of compatible length under one token are candidates.  They are compared
-in two steps, so that a large group of near copies costs its members and not
-its pairs: first each set with two neighbours under every shared token (by
-length, and in an order of that token), then all pairs that the links found so
-far leave apart.  The further
-orders are applied where the sets of a block of pairs lie together, before
-they are verified.  Equal sets are one node.
+sets under one token are candidates if their lengths and the token's places in
+both prefixes allow the similarity (of a similar pair the first shared token
+does).  Comparing goes in rounds, so that a large group of near copies costs
+its members and not its pairs: under every token each set meets its neighbours
+in an order that is the same for all tokens (by length, then by hashes that
+change with the round); links that hold are contracted, and the next round
+looks only at tokens whose sets are still in different components.  When a
+round finds nothing new, all pairs that are left apart and may be similar are
+made and compared.  The further orders are applied where the sets of a block of
+pairs lie together, before they are verified.  Equal sets are one node.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrid.llm.filters import bitmap_of, may_hold
@@ -34,8 +37,12 @@ GRAM = 5
 PERCENT = 80
 ORDERS = 3                    # the first in Spark, the others on each block pair
 COMMON_TOKENS = 50_000        # most frequent tokens, put last in the first order
+HELD_TOKENS = 500_000         # counts that a task holds while it looks for them
 COMMON_LEAST = 16             # documents that a token must be in to count as frequent
+ROUNDS = 3                    # of comparing neighbours, at most, before all pairs that are left
+SKETCH_BITS = 1_024           # of a set, beside its tokens when all pairs that are left are made
 BLOCK_SETS, BLOCK_TOKENS = 256, 400_000     # about so many sets, or tokens, are dealt to a block
+ROWS = 1_024                  # of a batch, answered together
 _U = np.uint64
 
 
@@ -67,15 +74,27 @@ def prefix_size(n, percent: int = PERCENT):
 def frequent_tokens(docs: DataFrame, gram: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``most`` most frequent tokens of all documents, and their counts.
 
-    A batch reports tokens that it holds three times or more, so every token
-    that is more frequent than twice the number of batches is seen; an order
-    may rank the others anyhow.  A fixed number of rows reaches the driver.
+    A task keeps at most ``HELD_TOKENS`` counts: when there are more, the
+    rarest are let go.  Counts only rank tokens, any order is exact.  A fixed
+    number of rows reaches the driver.
     """
     def run(batches):
+        held, parts, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), [], 0
+        def merged():
+            t, at = np.unique(np.concatenate([held[0], *parts]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([held[1], np.ones(size, np.int64)]), minlength=len(t)).astype(np.int64)
+            few = 1
+            while len(t) > HELD_TOKENS:
+                t, n, few = t[n > few], n[n > few], 2 * few
+            return t, n
         for batch in batches:
-            sets = list(token_sets(batch.column(0), gram))
-            t, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            yield pa.RecordBatch.from_pydict({"token": pa.array(t[n > 2].view(np.int64)), "n": pa.array(n[n > 2].astype(np.int64))})
+            for tokens in token_sets(batch.column(0), gram):
+                parts.append(tokens)
+                size += len(tokens)
+                if size >= HELD_TOKENS:
+                    held, parts, size = merged(), [], 0
+        t, n = merged()
+        yield pa.RecordBatch.from_pydict({"token": pa.array(t[n > 2].view(np.int64)), "n": pa.array(n[n > 2])})
     got = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(
         F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).toPandas()
     t, n = got["token"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64)
@@ -92,16 +111,16 @@ def first_prefix(tokens: np.ndarray, common: np.ndarray, counts: np.ndarray, siz
     return tokens[np.argsort(mix(tokens))[:size]]
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """One bit per token in a power of two of bits, at least their number."""
-    size = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+def bitmap(tokens: np.ndarray, size: int | None = None) -> np.ndarray:
+    """One bit per token, in ``size`` bits or a power of two of at least their number."""
+    size = size or (max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64)
     bits = np.zeros(size, bool)
     bits[(mix(tokens) & _U(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def digest(docs: DataFrame, gram: int, percent: int, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``(doc_id, n, node, prefix, bits)`` of every row."""
+    """``(doc_id, n, node, prefix, bits, sketch)`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((common, counts))
 
     def lists(parts: list[np.ndarray]) -> pa.Array:
@@ -109,17 +128,23 @@ def digest(docs: DataFrame, gram: int, percent: int, common: np.ndarray, counts:
         return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     def run(batches):
-        for batch in batches:
-            n, node, prefix, bits = [], [], [], []
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            n, node, prefix, bits, sketch = [], [], [], [], []
             for tokens in token_sets(batch.column(1), gram):
                 n.append(len(tokens))
                 node.append(node_of(tokens) if len(tokens) else 0)
                 size = prefix_size(len(tokens), percent) if len(tokens) else 0
                 prefix.append(first_prefix(tokens, *shared.value, size).view(np.int64))
                 bits.append(bitmap(tokens))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(bits)],
-                                             names=["doc_id", "n", "node", "prefix", "bits"])
-    return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, bits array<long>")
+                sketch.append(bitmap(tokens, SKETCH_BITS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists(prefix), lists(bits),
+                                              lists(sketch)], names=["doc_id", "n", "node", "prefix", "bits", "sketch"])
+    return docs.mapInArrow(run, "doc_id long, n long, node long, prefix array<long>, bits array<long>, sketch array<long>")
+
+
+def lacks(x: Column, y: Column) -> Column:
+    """Bits of ``x`` that ``y`` does not have: at most as many as tokens."""
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, c: t + c)
 
 
 def not_too_different(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -131,9 +156,8 @@ def not_too_different(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataF
     fold = lambda x: F.when(F.size(x) > size, F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size),
                                                          lambda u, v: u.bitwiseOR(v))).otherwise(F.col(x))
     d = d.withColumns({"f_a": fold("bits_a"), "f_b": fold("bits_b")})
-    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda t, c: t + c)
     need = percent * (F.col("n_a") + F.col("n_b"))
-    enough = lambda n, x, y: (100 + percent) * (F.col(n) - lacks(x, y)) >= need
+    enough = lambda n, x, y: (100 + percent) * (F.col(n) - lacks(F.col(x), F.col(y))) >= need
     return d.where(enough("n_a", "f_a", "f_b") & enough("n_b", "f_b", "f_a")).select("a", "b")
 
 
@@ -182,7 +206,7 @@ def neighbourhoods(pairs: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component"))
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, percent: int, orders: int) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, gram: int, percent: int, orders: int) -> DataFrame:
     """Links ``(a, b)`` that connect all similar ones of ``pairs (a, b)``.
 
     Nodes are dealt to blocks: small neighbourhoods share blocks of about
@@ -191,9 +215,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, gram: int, perce
     which the texts of its nodes are sent once.
     """
     pairs = write_out(not_too_different(pairs, nodes, percent), "candidates")
-    held = write_out(neighbourhoods(pairs).join(nodes.select("node", "n", "wanted_id"), "node"), "wanted")
-    group = held.select("node", "component", "n")
-    texts = texts_of(docs, held.select("node", "n", "wanted_id"), gram)
+    group = write_out(neighbourhoods(pairs).join(nodes.select("node", "n"), "node"), "wanted")
     whole = group.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s")).withColumn(
         "cuts", F.greatest(F.ceil(F.col("k") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_TOKENS)))
     total = whole.agg(F.ceil(F.sum("s") / BLOCK_TOKENS).alias("blocks"))                     # one row
@@ -244,35 +266,54 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common, counts = frequent_tokens(docs, gram, COMMON_TOKENS, COMMON_LEAST)
     rows = write_out(digest(docs, gram, percent, common, counts), "sets")
 
-    tokens = rows.select("node", "n", F.explode("prefix").alias("token"))
+    tokens = rows.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    # tokens shared if this one is the first of them, and all after it
+    left = lambda n, pos: F.col(n) - F.col(pos)
+    can_be = lambda n, i, m, j: (100 + percent) * F.least(left(n, i), left(m, j)) >= percent * (F.col(n) + F.col(m))
     by_length = Window.partitionBy("token").orderBy("n", "node")
-    beside = tokens.withColumns({"b": F.lag("node").over(by_length), "m": F.lag("n").over(by_length), "c": F.lead("node").over(by_length)})
-    multi = write_out(beside.where("b <> node or c <> node"), "shared-tokens")     # tokens of one set only end here
-
-    near = multi.where((F.col("b") != F.col("node")) & alike(F.col("m"), F.col("n"))).select(
-        F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-    # and with the neighbour in an order that differs from token to token, so that a group of near copies joins up
-    shuffled = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
-    other = multi.withColumns({"o": F.lag("node").over(shuffled), "q": F.lag("n").over(shuffled)}).where(
-        (F.col("o") != F.col("node")) & alike(F.col("q"), F.col("n"))).select(
-        F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
-    near = write_out(near.union(other).distinct(), "neighbours")
-    # a set with any compatible partner under a token has a compatible neighbour there
-    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    nodes = write_out(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("wanted_id"), F.min("bits").alias("bits")).join(
-        ends, "node"), "nodes")
-
-    first = verify(near, nodes, docs, gram, percent, orders)
-    group = components(first, "a", "b")
-    open_ = multi.select("token", "n", "node").distinct().join(ends, "node").join(group, "node", "left").select(
-        "token", "n", "node", F.coalesce("component", "node").alias("c"))
-    open_ = write_out(open_, "open")
-    x, y = open_.alias("x"), open_.hint("merge").alias("y")
+    beside = tokens.withColumns({"b": F.lag("node").over(by_length), "m": F.lag("n").over(by_length),
+                                 "c": F.lead("node").over(by_length), "l": F.lead("n").over(by_length)})
+    # a set with a partner of compatible length under a token has a neighbour of compatible length there;
+    # of repeated rows of one set only the first and the last stay
+    multi = beside.where(((F.col("b") != F.col("node")) & alike(F.col("m"), F.col("n"))) | (
+        (F.col("c") != F.col("node")) & alike(F.col("l"), F.col("n")))).select("token", "n", "pos", "node")
+    multi = write_out(multi.distinct(), "shared-tokens")
+    ends = multi.select("node").distinct()
+    nodes = write_out(rows.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("wanted_id"), F.min("bits").alias("bits"),
+                                                                       F.min("sketch").alias("sketch")).join(ends, "node"), "nodes")
+    texts = write_out(texts_of(docs, nodes.select("node", "n", "wanted_id"), gram), "texts")
+
+    links, tested, open_ = None, None, multi.withColumn("c", F.col("node"))
+    for k in range(ROUNDS):
+        w = Window.partitionBy("token").orderBy("n", "node") if not k else Window.partitionBy("token").orderBy(F.xxhash64("node", F.lit(k)), "node")
+        pairs = open_.withColumns({x + "0": F.lag(x).over(w) for x in ("node", "n", "pos", "c")}).where(
+            (F.col("c") != F.col("c0")) & alike(F.col("n"), F.col("n0")) & can_be("n", "pos", "n0", "pos0")).select(
+            F.least("node", "node0").alias("a"), F.greatest("node", "node0").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = write_out(pairs, "neighbours")
+        found = verify(pairs, nodes, texts, gram, percent, orders)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = found if links is None else links.union(found)
+        if k and not found.take(1):
+            break
+        comp = components(links, "a", "b")
+        named = multi.join(comp.hint("merge"), "node", "left").select("token", "n", "pos", "node", F.coalesce("component", "node").alias("c"))
+        several = named.groupBy("token").agg((F.min("c") != F.max("c")).alias("_open")).where("_open").select("token")
+        open_ = write_out(named.join(several.hint("merge"), "token"), "open")
+    # a pair is made under the first of a row of tokens that follow each other in both sets, if lengths, places and sketches allow it
+    before = F.lag("token").over(Window.partitionBy("node").orderBy("pos"))
+    sides = open_.withColumn("before", before).join(nodes.select("node", "sketch").hint("merge"), "node")
+    x, y = sides.alias("x"), sides.hint("merge").alias("y")
+    enough = lambda u, v: (100 + percent) * (F.col(f"{u}.n") - lacks(F.col(f"{u}.sketch"), F.col(f"{v}.sketch"))) >= percent * (
+        F.col("x.n") + F.col("y.n"))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-                  & alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    rest = write_out(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    comp = components(first.union(verify(rest, nodes, docs, gram, percent, orders)), "a", "b")
+                  & alike(F.col("x.n"), F.col("y.n")) & can_be("x.n", "x.pos", "y.n", "y.pos")
+                  & F.coalesce(F.col("x.before") != F.col("y.before"), F.lit(True)) & enough("x", "y") & enough("y", "x")).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    rest = write_out(rest.distinct().join(tested.hint("merge"), ["a", "b"], "left_anti"), "rest")
+    comp = components(links.union(verify(rest, nodes, texts, gram, percent, orders)), "a", "b")
 
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
