@@ -89,3 +89,27 @@ def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def median(c) -> Column:
     return F.percentile(c, 0.5)
+
+
+def running_sum(df: DataFrame, groups: list[str], order: str, value: str, bucket: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` up to each row of its group by
+    ``order`` (distinct in a group), in two levels.
+
+    ``bucket`` must not fall as ``order`` rises.  Sums run inside (group,
+    bucket), so a hot group is spread over its buckets; what lies before a
+    bucket is a running sum of one total per bucket.
+    """
+    d = df.withColumn("_bucket", bucket)
+    to_here = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy(*groups, "_bucket").agg(F.sum(value).alias("_total"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_total").over(
+        to_here.partitionBy(*groups) if groups else to_here), F.lit(0))).drop("_total")
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumn("_inside", F.sum(value).over(inside)).join(before, [*groups, "_bucket"]).withColumn(
+        name, F.col("_inside") + F.col("_before")).drop("_bucket", "_inside", "_before")
+
+
+def magnitude(c: Column, steps: int = 64) -> Column:
+    """A bucket that does not fall as a number rises: ``steps`` per power of
+    two, so at most a few ten thousand whatever the values."""
+    return F.when(c > 0, F.floor(F.log2(c + 1) * steps)).otherwise(F.when(c < 0, -F.floor(F.log2(1 - c) * steps)).otherwise(0)).cast("int")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from paygrid import rules as R
 from paygrid.functions import classify as C
-from paygrid.operators.common import histogram, median, top_k
+from paygrid.operators.common import histogram, median, running_sum, top_k
 from paygrid.operators.pay import salaried
 
 
@@ -59,6 +59,21 @@ def weekly_open_roles(h: DataFrame) -> DataFrame:
     deltas are summed per Sunday (map-side combine), then a running sum runs
     over the week grid, which has one row per week of the date span.
     """
+    grid = _week_deltas(h)
+    w = Window.orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
+    return grid.select("week", F.sum("delta").over(w).cast("bigint").alias("active_roles"))
+
+
+def running_open_roles(h: DataFrame) -> DataFrame:
+    """``weekly_open_roles`` for a grid of any length: sums run inside years,
+    and one total per year is carried over, so no task holds the whole grid."""
+    year = F.floor(F.datediff("week", F.lit("1970-01-04").cast("date")) / (7 * 52))
+    return running_sum(_week_deltas(h), [], "week", "delta", year, "active_roles").select("week", F.col("active_roles").cast("bigint").alias("active_roles"))
+
+
+def _week_deltas(h: DataFrame) -> DataFrame:
+    """``(week, delta)`` for every Sunday of the span: roles that it is the first
+    Sunday of, less those whose last has passed."""
     spark = h.sparkSession
     s = _sunday_on_or_after(F.col("first_seen"))
     e = F.next_day(F.col("last_seen"), "Sun")
@@ -73,10 +88,7 @@ def weekly_open_roles(h: DataFrame) -> DataFrame:
     hi = h.select(F.max("last_seen")).scalar()
     grid = spark.range(1).select(F.explode(
         F.sequence(_sunday_on_or_after(lo), hi, F.expr("interval 7 days"))).alias("week"))
-    w = Window.orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
-    return (grid.join(deltas, "week", "left")
-                .select("week", F.sum(F.coalesce("delta", F.lit(0))).over(w).cast("bigint")
-                        .alias("active_roles")))
+    return grid.join(deltas, "week", "left").select("week", F.coalesce("delta", F.lit(0)).alias("delta"))
 
 
 def peak_week(h: DataFrame) -> DataFrame:

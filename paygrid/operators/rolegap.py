@@ -15,7 +15,7 @@ from paygrid import rules as R
 from paygrid.functions import classify as C
 from paygrid.functions import text as TX
 from paygrid.functions.text import let, neighbour_groups
-from paygrid.operators.common import median
+from paygrid.operators.common import magnitude, median, running_sum
 from paygrid.session import cut_lineage
 
 KEY = ["company", "department", "scope_score", "mid"]
@@ -234,13 +234,12 @@ def pay_percentile(r: DataFrame) -> DataFrame:
     """Share (x100) of the company's salaried postings paid <= each posting.
 
     Same shape as ``cume_dist`` over the company, but computed on distinct
-    (company, mid) counts so no window holds a whole company.
+    (company, mid) counts, summed up inside ranges of pay and then across
+    them: no window holds a whole company.
     """
     cnt = r.groupBy("company", "mid").agg(F.count("*").alias("cnt"))
-    w = Window.partitionBy("company").orderBy("mid")
-    cum = cnt.select("company", "mid",
-                     F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("le"),
-                     F.sum("cnt").over(Window.partitionBy("company")).alias("n"))
+    total = cnt.groupBy("company").agg(F.sum("cnt").alias("n"))
+    cum = running_sum(cnt, ["company"], "mid", "cnt", magnitude(F.col("mid")), "le").join(total, "company")
     return (r.select("job_id", "company", "mid").join(cum, ["company", "mid"])
              .select("job_id", "company", "mid", (F.col("le") / F.col("n") * 100.0).alias("percentile")))
 

@@ -47,7 +47,7 @@ register("weekly_open_roles", sql("select week, active_roles from wk", _WEEKS))(
     lambda spark, sf: H.weekly_open_roles(facts(spark, sf)))
 
 register("running_open_roles", sql("select week, active_roles from wk", _WEEKS))(
-    lambda spark, sf: H.weekly_open_roles(facts(spark, sf)))
+    lambda spark, sf: H.running_open_roles(facts(spark, sf)))
 
 register("peak_week", sql("select week, active_roles from wk order by active_roles desc, week limit 1", _WEEKS))(
     lambda spark, sf: H.peak_week(facts(spark, sf)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paygrid.operators import history as H
 from paygrid.operators import nlp, pay
-from paygrid.plans.catalog import postings, r2, register, sql
+from paygrid.plans.catalog import facts, r2, register, sql
 from paygrid.plans.q_history import _RT
 from paygrid.plans.q_sources import BACKFILL_SQL
 from paygrid.plans.q_text import word_freq_sql
@@ -49,7 +49,7 @@ register("sink_postings", _SQL)(lambda spark, sf: _roundtrip(spark, sf, "parquet
 
 def _history_roundtrip(spark, sf):
     path = scratch(spark, "history")
-    h = fixture.postings(spark, sf).withColumn("snapshot_url", F.lit(None).cast("string"))
+    h = fixture.postings(spark, sf, text=False).withColumn("snapshot_url", F.lit(None).cast("string"))
     SP.sink_history(h, path)
     return SP.scan_history(spark, path).select("job_id", "title", "salary_min", "first_seen", "last_seen",
                                                "is_active")
@@ -61,7 +61,7 @@ register("scan_history", "select job_id, title, nullif(salary_min, 0)::double as
 
 def _build_if_absent(spark, sf):
     path = scratch(spark, "history-once")
-    h = fixture.postings(spark, sf).withColumn("snapshot_url", F.lit(None).cast("string"))
+    h = fixture.postings(spark, sf, text=False).withColumn("snapshot_url", F.lit(None).cast("string"))
     SP.build_if_absent(h, path)
     SP.build_if_absent(h.limit(0), path)        # second build is skipped: output unchanged
     return SP.scan_history(spark, path).select("job_id")
@@ -81,31 +81,31 @@ def _sink_backfill(spark, sf):
 register("sink_backfill", f"{BACKFILL_SQL} select job_id, length(description_md) as n_chars from filled")(_sink_backfill)
 
 register("range_usd", sql(f"select job_id, {r2('range_usd')} as range_usd from p"))(
-    lambda spark, sf: postings(spark, sf).select("job_id", "range_usd"))
+    lambda spark, sf: facts(spark, sf).select("job_id", "range_usd"))
 
 register("default_columns", sql(
     f"select job_id, title_department as department, title_department as department_raw, {r2('mid_usd')} as mid_usd from p"))(
-    lambda spark, sf: SP.default_columns(postings(spark, sf).drop(
+    lambda spark, sf: SP.default_columns(facts(spark, sf).drop(
         "department", "department_raw", "min_usd", "max_usd", "mid_usd", "range_usd")).select("job_id", "department", "department_raw", "mid_usd"))
 
 register("exclude_other", sql("select job_id from p where title_department <> 'Other'"))(
-    lambda spark, sf: postings(spark, sf).where(F.col("title_department") != "Other").select("job_id"))
+    lambda spark, sf: facts(spark, sf).where(F.col("title_department") != "Other").select("job_id"))
 
 register("align_to_order", sql(
     "select seniority, count(*) as n, (case " + " ".join(
         f"when seniority = '{s}' then {i + 1}" for i, s in enumerate(
             ["Intern / Fellow", "Junior", "Mid-Level", "Senior", "Staff / Principal", "Lead", "Manager",
              "Director+"])) + " end)::integer as level_rank from s group by 1"))(
-    lambda spark, sf: pay.seniority_pay(postings(spark, sf)).select(
+    lambda spark, sf: pay.seniority_pay(facts(spark, sf)).select(
         "seniority", "n", F.col("level_rank").cast("int").alias("level_rank")))
 
 register("original_title", sql("select title_norm, title from g", _RT))(
-    lambda spark, sf: H.recurring_titles(postings(spark, sf)).select("title_norm", "title"))
+    lambda spark, sf: H.recurring_titles(facts(spark, sf)).select("title_norm", "title"))
 
 register("month_union", sql(
     "select distinct month from (select date_trunc('month', first_seen)::date as month from p union "
     "select date_trunc('month', last_seen)::date from p where not is_active)"))(
-    lambda spark, sf: H.monthly_new_closed(postings(spark, sf)).select("month"))
+    lambda spark, sf: H.monthly_new_closed(facts(spark, sf)).select("month"))
 
 register("stopword_union", "with " + word_freq_sql("documents", "source", "text")[1] + " "
          + word_freq_sql("documents", "source", "text")[0])(
@@ -121,4 +121,4 @@ _KDE = (
 register("kde_curve", sql(
     f"select d.i::integer as i, {r2('lo + d.i * step')} as x, "
     f"{r2('w * (1 / (h * sqrt(2 * 3.141592653589793))) * (hi - lo) / 30')} as expected_rows from d, k", _KDE))(
-    lambda spark, sf: pay.kde_curve(postings(spark, sf)))
+    lambda spark, sf: pay.kde_curve(facts(spark, sf)))

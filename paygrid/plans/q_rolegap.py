@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from paygrid import rules as R
 from paygrid.operators import rolegap as RG
 from paygrid.plans import oracle_rules as O
-from paygrid.plans.catalog import TARGET_JOB_ID, postings, r2, register, sql
+from paygrid.plans.catalog import TARGET_JOB_ID, facts, postings, r2, register, sql
 
 T = TARGET_JOB_ID
 WS = O.WS
@@ -135,7 +135,7 @@ register("comparables_naive", sql(
 register("pay_percentile", sql(
     f"select job_id, company, {r2('mid')} as mid, "
     f"{r2('cume_dist() over (partition by company order by mid) * 100')} as percentile from r", ROLE))(
-    lambda spark, sf: RG.pay_percentile(role(spark, sf)))
+    lambda spark, sf: RG.pay_percentile(RG.role_frame(facts(spark, sf).withColumn("description_md", F.lit(None).cast("string")))))
 
 _STOPS = "[" + ", ".join(O.q(w) for w in R.PHRASE_STOPWORDS) + "]"
 _PH = (f"w as (select job_id, list_filter(list_filter(regexp_split_to_array(regexp_replace(lower(description_md), "

@@ -42,7 +42,7 @@ register("scan_board_flat", f"select job_id, title, location, cast(first_seen as
         "job_id", "title", "location", "updated_at", "department_raw", "url", "work_mode"))
 
 register("work_mode_structured", f"select job_id, {_WMS} as work_mode from {PS}")(
-    lambda spark, sf: B.scan_board_flat(B.payload_guard(B.board_b_payloads(raw(spark, sf)))).select(
+    lambda spark, sf: B.scan_board_flat(B.payload_guard(B.board_b_payloads(facts_raw(spark, sf)))).select(
         "job_id", "work_mode"))
 
 _IDX = ("idx as (select event_type as board, strftime(ts, '%Y%m%d%H%M%S') as timestamp, "
@@ -101,7 +101,7 @@ register("posting_key_from_url", _key_sql())(
 
 register("posting_url", f"select job_id, 'https://job-boards.greenhouse.io/' || company || '/jobs/' || job_id as url "
          f"from {PS}")(
-    lambda spark, sf: raw(spark, sf).select("job_id", U.posting_url().alias("url")))
+    lambda spark, sf: facts_raw(spark, sf).select("job_id", U.posting_url().alias("url")))
 
 register("ensure_query_param", "select page_id, case when contains(url, 'content=true') then url else "
          "regexp_replace(url, '/+$', '') || '?content=true' end as url from pages")(
@@ -112,7 +112,7 @@ _SNAP = ("'https://web.archive.org/web/' || strftime(first_seen, '%Y%m%d') || '0
 
 register("raw_snapshot_url", f"select job_id, regexp_replace({_SNAP}, '(web\\.archive\\.org/web/\\d+)/', "
          f"'\\1id_/', 'g') as raw_url from {PS}")(
-    lambda spark, sf: raw(spark, sf).select("job_id", U.raw_snapshot_url(F.concat(
+    lambda spark, sf: facts_raw(spark, sf).select("job_id", U.raw_snapshot_url(F.concat(
         F.lit("https://web.archive.org/web/"), F.date_format("first_seen", "yyyyMMdd"), F.lit("000000/"),
         U.posting_url())).alias("raw_url")))
 
@@ -120,7 +120,7 @@ register("company_label", "select distinct company, array_to_string(list_transfo
          "regexp_extract('/data/' || replace(company, ' ', '_') || '_salaries.csv', '([^/]*?)(\\.[^./]*)?$', 1), "
          "'_salaries', ''), '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as label "
          f"from {PS}")(
-    lambda spark, sf: raw(spark, sf).select("company", U.company_label(F.concat(
+    lambda spark, sf: facts_raw(spark, sf).select("company", U.company_label(F.concat(
         F.lit("/data/"), F.replace("company", F.lit(" "), F.lit("_")), F.lit("_salaries.csv"))).alias("label")
     ).distinct())
 

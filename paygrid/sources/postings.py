@@ -95,15 +95,28 @@ def history_frame(df: DataFrame) -> DataFrame:
 
 
 def sink_history(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Sorted within partitions (no global sort: a range shuffle buys nothing
-    for a file that is read back by key)."""
-    (history_frame(df).sortWithinPartitions("first_seen", "job_id")
-     .write.mode(mode).options(**_CSV_WRITE).csv(path))
-
-
-def build_if_absent(df: DataFrame, path: str) -> None:
-    """Materialise once: an existing output is left untouched."""
-    history_frame(df).write.mode("ignore").options(**_CSV_WRITE).csv(path)
+    """One sorted table: by first_seen, then as the rows came in.  Ranges of
+    (date, input place) are dealt to tasks and sorted there, so the part files
+    follow each other and a date with most of the rows is still split."""
+    rows = history_frame(df).withColumn("_in", F.monotonically_increasing_id())
+    rows.orderBy("first_seen", "_in").drop("_in").write.mode(mode).options(**_CSV_WRITE).csv(path)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a build of ``path`` was committed: Spark writes ``_SUCCESS`` last,
+    after all parts have been moved into place."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
+def build_if_absent(df: DataFrame, path: str) -> bool:
+    """Materialise once: a committed output is left untouched; the rest of a
+    build that broke off is replaced.  Returns whether it was built now."""
+    if is_complete(df.sparkSession, path):
+        return False
+    (history_frame(df).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+     .options(**_CSV_WRITE).csv(path))
+    return True
 
 
 def sink_backfill(df: DataFrame, path: str) -> None:
