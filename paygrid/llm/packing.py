@@ -60,6 +60,21 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
+@lru_cache(maxsize=2)
+def slow_encoder(path: str):
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(os.path.splitext(path)[0] + ".json")
+
+
+def token_ids(text: str, path: str) -> list[int]:
+    """Ids of a text.  The fast encoder's regex gives up on very long runs of
+    white space; those texts go to ``tokenizers`` and the JSON beside the ranks."""
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        return slow_encoder(path).encode(text, add_special_tokens=False).ids
+
+
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
     """``(start, length)`` of the pieces of ``n`` tokens; the first is the shorter one."""
     head = n % capacity or capacity
@@ -75,7 +90,7 @@ def piece_table(docs: DataFrame, path: str, capacity: int, id_col: str, text_col
             for i, j in slices(off):
                 ids, rows = batch.column(0).slice(i, j - i), []
                 for k, text in enumerate(texts.slice(i, j - i).to_pylist()):
-                    tokens = np.array([*encoder(path).encode(text or "", allowed_special="all"), 0], "<u4")
+                    tokens = np.array([*token_ids(text or "", path), 0], "<u4")
                     rows += [(k, p, s, n, zlib.crc32(tokens[s:s + n].tobytes()))
                              for p, (s, n) in enumerate(piece_bounds(len(tokens), capacity))]
                 cols = [pa.array(c) for c in zip(*rows, strict=True)]

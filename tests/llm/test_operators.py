@@ -135,6 +135,16 @@ def test_added_tokens(spark):
         (i, len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want))
 
 
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "\r\n", "\u00a0"])
+def test_long_white_space(space):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = public_tokenizers.path(packing.VOCABULARY)
+    for text in (f"a{space * 1_000_000}b <|endoftext|> c", space * 1_000_000, f"x{space * 300_000}"):
+        assert packing.token_ids(text, path) == tok.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_bin_completion(seed):
     r = np.random.default_rng(seed)
