@@ -1,4 +1,4 @@
-"""Shared building blocks: slugs, salted top-k, histograms, box statistics."""
+"""Shared building blocks: slugs, salted top-k, histograms, running sums."""
 
 from __future__ import annotations
 
@@ -61,33 +61,8 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
                     F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def box_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Quartiles, 1.5-IQR whiskers (furthest datum inside) and outlier count.
-
-    The input is read once into (group, value, count); the weighted quartiles
-    and, joined back with them, the whiskers come from that table (both
-    branches share its exchange).  No window holds a whole group.
-    """
-    v = (df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-           .groupBy(group, value).agg(F.count("*").alias("_c")))
-    q = (v.groupBy(group)
-          .agg(F.sum("_c").alias("n"),
-               F.percentile(value, [0.25, 0.5, 0.75], F.col("_c")).alias("_q"))
-          .select(group, "n",
-                  F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                  F.col("_q")[2].alias("q3")))
-    lo_fence = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi_fence = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    x = F.col(value)
-    w = (v.join(q, group)
-          .groupBy(group, "n", "q1", "median", "q3")
-          .agg(F.min(F.when(x >= lo_fence, x)).alias("whisker_lo"),
-               F.max(F.when(x <= hi_fence, x)).alias("whisker_hi"),
-               F.coalesce(F.sum(F.when((x < lo_fence) | (x > hi_fence), F.col("_c"))), F.lit(0)).alias("n_outliers")))
-    return w
-
-
 def median(c) -> Column:
+    """For values of few kinds; ``selection`` has medians of any values."""
     return F.percentile(c, 0.5)
 
 

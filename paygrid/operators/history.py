@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from paygrid import rules as R
 from paygrid.functions import classify as C
-from paygrid.operators.common import histogram, median, running_sum, top_k
+from paygrid.operators.common import histogram, running_sum, top_k
 from paygrid.operators.pay import salaried
+from paygrid.operators.selection import describe, medians, value_counts, with_quantiles
 
 
 def history_kpis(h: DataFrame) -> DataFrame:
@@ -114,9 +115,11 @@ def _quarter(c):
 
 
 def quarterly_pay(h: DataFrame) -> DataFrame:
-    q = (salaried(h).groupBy(_quarter("first_seen").alias("quarter"))
-         .agg(median("mid_usd").alias("median"), F.avg("mid_usd").alias("mean"),
-              F.count("mid_usd").alias("n"), F.stddev_samp("mid_usd").alias("std")))
+    s = salaried(h).select(_quarter("first_seen").alias("quarter"), "mid_usd")
+    q = s.groupBy("quarter").agg(F.avg("mid_usd").alias("mean"), F.count("mid_usd").alias("n"),
+                                 F.stddev_samp("mid_usd").alias("std"))
+    q = with_quantiles(q, value_counts(s, ["quarter"], "mid_usd"), ["quarter"], {"median": 0.5}).select(
+        "quarter", "median", "mean", "n", "std")
     return q.withColumns({"band_lo": F.col("median") - F.col("std"),
                           "band_hi": F.col("median") + F.col("std")}).orderBy("quarter")
 
@@ -134,8 +137,8 @@ def dept_quarter_pay(h: DataFrame, min_rows: int = 3, min_quarters: int = 2) ->
     """Median per quarter x department for departments with >= 2 quarters
     holding >= 3 salaried rows (no Other)."""
     s = salaried(h)
-    cells = (s.groupBy(_quarter("first_seen").alias("quarter"), F.col("title_department").alias("department"))
-              .agg(F.count("*").alias("n"), median("mid_usd").alias("median")))
+    cells = medians(s.select(_quarter("first_seen").alias("quarter"), F.col("title_department").alias("department"), "mid_usd"),
+                    ["quarter", "department"], "mid_usd").withColumn("n", F.col("n_rows"))
     good = (cells.where(F.col("n") >= min_rows).groupBy("department").agg(F.count("*").alias("q"))
                  .where((F.col("q") >= min_quarters) & (F.col("department") != "Other")).select("department"))
     return cells.join(good, "department", "left_semi").select("quarter", "department", "median")
@@ -148,11 +151,8 @@ def closed_valid(h: DataFrame) -> DataFrame:
 
 
 def time_to_fill(h: DataFrame) -> DataFrame:
-    c = closed_valid(h)
-    return c.agg(F.count("*").alias("n"), median("days_open").alias("median"),
-                 F.avg("days_open").alias("mean"),
-                 F.percentile("days_open", 0.25).alias("p25"),
-                 F.percentile("days_open", 0.75).alias("p75"))
+    return describe(closed_valid(h), [], "days_open", {"median": 0.5, "p25": 0.25, "p75": 0.75}).select(
+        "n", "median", "mean", "p25", "p75")
 
 
 def days_open_histogram(h: DataFrame) -> DataFrame:
@@ -160,15 +160,15 @@ def days_open_histogram(h: DataFrame) -> DataFrame:
 
 
 def dept_time_to_fill(h: DataFrame) -> DataFrame:
-    return (closed_valid(h).groupBy(F.col("title_department").alias("department"))
-            .agg(median("days_open").alias("median_days"), F.count("*").alias("n"))
+    c = closed_valid(h).select(F.col("title_department").alias("department"), "days_open")
+    return (medians(c, ["department"], "days_open", "median_days").select("department", "median_days", "n")
             .orderBy(F.desc("median_days"), "department"))
 
 
 def status_pay(h: DataFrame) -> DataFrame:
-    return (salaried(h).groupBy(C.status_label("is_active").alias("status"))
-            .agg(F.count("*").alias("n"), median("mid_usd").alias("median"),
-                 F.avg("mid_usd").alias("mean")))
+    s = salaried(h).select(C.status_label("is_active").alias("status"), "mid_usd")
+    return describe(s, ["status"], "mid_usd", {"median": 0.5}).select(
+        "status", F.col("n_rows").alias("n"), "median", "mean")
 
 
 def dept_status_mix(h: DataFrame) -> DataFrame:

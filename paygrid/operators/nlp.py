@@ -118,6 +118,15 @@ def _trend(df: DataFrame, x: str, y: str, min_n: int | None) -> DataFrame:
     return t.where(F.col("n") > min_n) if min_n is not None else t
 
 
+def trend_line(trend: DataFrame, points: int = 50) -> DataFrame:
+    """``points`` places on a trend, evenly from its smallest to its largest x
+    (all of them the same where those are equal); none without a line."""
+    i = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
+    x = F.col("x_min") + F.col("i") * (F.col("x_max") - F.col("x_min")) / (points - 1)
+    return trend.where(F.col("slope").isNotNull()).select("slope", "intercept", "x_min", "x_max", i).select(
+        "i", x.alias("x"), (F.col("intercept") + F.col("slope") * x).alias("y"))
+
+
 def yoe_pay_trend(p: DataFrame) -> DataFrame:
     """Least-squares line of pay on experience, only when n > 10."""
     y = with_yoe(p).where(F.col("yoe").isNotNull() & F.col("mid_usd").isNotNull())

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from paygrid import rules as R
 from paygrid.functions import classify as C
-from paygrid.operators.common import box_stats, histogram, median, slug, top_k
+from paygrid.operators.common import histogram, slug, top_k
+from paygrid.operators.selection import box_stats, describe, medians, value_counts, with_quantiles
 
 
 def salaried(p: DataFrame) -> DataFrame:
@@ -31,10 +32,12 @@ def _stats(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     stack = "stack({n}, {pairs}) as (measure, value)".format(
         n=len(measures), pairs=", ".join(f"'{m}', cast({m} as double)" for m in measures))
     long = df.select(*keys, F.expr(stack))
-    return (long.groupBy(*keys, "measure")
-                .agg(F.count("value").alias("n"), F.min("value").alias("min"),
-                     F.max("value").alias("max"), F.avg("value").alias("mean"),
-                     median("value").alias("median"), F.stddev_samp("value").alias("std")))
+    groups = [*keys, "measure"]
+    rest = long.groupBy(*groups).agg(
+        F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return with_quantiles(rest, value_counts(long, groups, "value"), groups, {"median": 0.5}).select(
+        *groups, "n", "min", "max", "mean", "median", "std")
 
 
 def salary_stats_by_currency(p: DataFrame) -> DataFrame:
@@ -66,26 +69,33 @@ def department_counts(p: DataFrame, dept: str = "title_department") -> DataFrame
 
 def department_pay(p: DataFrame, dept: str = "title_department") -> DataFrame:
     """Median USD midpoint and non-null count per department, by median desc."""
-    return (salaried(p).groupBy(F.col(dept).alias("department"))
-            .agg(median("mid_usd").alias("median_usd"), F.count("mid_usd").alias("n"))
+    s = salaried(p).select(F.col(dept).alias("department"), "mid_usd")
+    return (medians(s, ["department"], "mid_usd", "median_usd").select("department", "median_usd", "n")
             .orderBy(F.desc_nulls_last("median_usd"), "department"))
 
 
 def seniority_pay(p: DataFrame) -> DataFrame:
     """Rows and median per level present, in the fixed seniority order."""
-    return (salaried(p).groupBy("seniority")
-            .agg(F.count("*").alias("n"), median("mid_usd").alias("median_usd"))
+    return (medians(salaried(p), ["seniority"], "mid_usd", "median_usd")
+            .select("seniority", F.col("n_rows").alias("n"), "median_usd")
             .withColumn("level_rank", C.seniority_rank("seniority"))
             .orderBy("level_rank"))
 
 
 def _conditional_medians(s: DataFrame, key: str, labels: list[str], value: str) -> DataFrame:
-    """Median per department for each label plus overall, in ONE aggregation
-    (a pivot followed by a second group-by would shuffle the rows twice)."""
-    meds = [median(F.when(F.col(key) == lbl, F.col(value))).alias(slug(lbl)) for lbl in labels]
-    return (s.groupBy(F.col("title_department").alias("department"))
-             .agg(*meds, median(value).alias("overall_median"))
-             .orderBy(F.desc_nulls_last("overall_median"), "department"))
+    """Median per department for each label plus overall (column index 0): the
+    counted values of a department stand under their label and once more under
+    the department, one selection serves both, and the cells, a bounded number
+    per department, are turned into columns."""
+    place = F.array_position(F.array(*[F.lit(lbl) for lbl in labels]), F.col(key))
+    rows = s.select(F.col("title_department").alias("department"), F.coalesce(place, F.lit(0)).alias("_place"), value)
+    counts = value_counts(rows, ["department", "_place"], value)
+    both = F.when(F.col("_place") > 0, F.array(F.col("_place"), F.lit(0).cast("long"))).otherwise(F.array("_place"))
+    counts = counts.withColumn("_place", F.explode(both)).groupBy("department", "_place", "_x").agg(F.sum("_c").alias("_c"))
+    cells = with_quantiles(counts.select("department", "_place").distinct(), counts, ["department", "_place"], {"_median": 0.5})
+    cols = [F.max(F.when(F.col("_place") == i, F.col("_median"))).alias(n)
+            for i, n in [*enumerate(map(slug, labels), 1), (0, "overall_median")]]
+    return cells.groupBy("department").agg(*cols).orderBy(F.desc_nulls_last("overall_median"), "department")
 
 
 def dept_seniority_matrix(p: DataFrame) -> DataFrame:
@@ -95,10 +105,10 @@ def dept_seniority_matrix(p: DataFrame) -> DataFrame:
 
 def work_mode_summary(p: DataFrame) -> DataFrame:
     """Totals, salaried rows and median per work mode; all modes listed."""
-    agg = p.groupBy("work_mode").agg(
-        F.count("*").alias("total"),
-        F.count_if("has_salary").alias("with_salary"),
-        median(F.when(F.col("has_salary"), F.col("mid_usd"))).alias("median_usd"))
+    paid = p.withColumn("_paid", F.when(F.col("has_salary"), F.col("mid_usd")))
+    agg = with_quantiles(
+        paid.groupBy("work_mode").agg(F.count("*").alias("total"), F.count_if("has_salary").alias("with_salary")),
+        value_counts(paid, ["work_mode"], "_paid"), ["work_mode"], {"median_usd": 0.5})
     modes = p.sparkSession.createDataFrame([(m, i) for i, m in enumerate(R.WORK_MODES)],
                                            "work_mode string, mode_rank int")
     return (F.broadcast(modes).join(agg, "work_mode", "left")
@@ -138,27 +148,34 @@ def city_counts(p: DataFrame, n: int = 15) -> DataFrame:
 
 def city_pay(p: DataFrame, n: int = 10) -> DataFrame:
     """Top-n salaried cities by roles, ordered by median USD midpoint."""
-    c = (cities(salaried(p)).groupBy("city")
-         .agg(F.count("*").alias("n"), median("mid_usd").alias("median_usd")))
+    c = medians(cities(salaried(p)), ["city"], "mid_usd", "median_usd").select("city", F.col("n_rows").alias("n"), "median_usd")
     return top_k(c, [F.desc("n"), F.asc("city")], n).orderBy(F.desc_nulls_last("median_usd"), "city")
 
 
 def pay_kpis(p: DataFrame) -> DataFrame:
-    return p.agg(
+    paid = p.where("has_salary")
+    rest = p.agg(
         F.count("*").alias("total_roles"),
         F.count_if("has_salary").alias("with_salary"),
-        median(F.when(F.col("has_salary"), F.col("mid_usd"))).alias("median_usd"),
         F.max(F.when(F.col("has_salary"), F.col("mid_usd"))).alias("max_mid_usd"),
         F.min(F.when(F.col("has_salary"), F.col("mid_usd"))).alias("min_mid_usd"),
         F.count_distinct(F.when(F.col("has_salary"), F.col("title_department"))).alias("departments"))
+    return with_quantiles(rest, value_counts(paid, [], "mid_usd"), [], {"median_usd": 0.5})
 
 
 def range_spread(p: DataFrame) -> DataFrame:
-    s = salaried(p)
-    return s.agg(median("range_usd").alias("median_range_usd"), F.avg("range_usd").alias("mean_range_usd"))
+    return describe(salaried(p), [], "range_usd", {"median_range_usd": 0.5}).select(
+        "median_range_usd", F.col("mean").alias("mean_range_usd"))
+
+
+def minmax_points(p: DataFrame) -> DataFrame:
+    """Both ends of every salaried posting's range in USD, by currency, and how
+    far they lie above the line of equal ends.  Ends without a rate are null."""
+    return salaried(p).select("job_id", "currency", "min_usd", "max_usd", "range_usd")
 
 
 def minmax_extent(p: DataFrame) -> DataFrame:
+    """Ends of the line of equal ends that the points are drawn against."""
     s = salaried(p)
     return s.agg(F.min("min_usd").alias("lo"), F.max("max_usd").alias("hi"),
                  F.count("*").alias("n_points"))
@@ -222,20 +239,16 @@ def kde_curve(p: DataFrame, col: str = "mid_usd", grid: int = 200, bins: int = R
     work grows with distinct values, not rows x rows.
     """
     v = salaried(p).where(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("v"))
-    st = v.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"),
-               F.max("v").alias("hi"))
-    # four numbers (bounded): fetched once, used as literals in the transform
-    row = st.first()
-    n, sd, lo, hi = row["n"], row["sd"], row["lo"], row["hi"]
-    if not n or sd is None or hi == lo:
-        return p.sparkSession.createDataFrame([], "i int, x double, expected_rows double")
-    h = F.lit(sd) * F.pow(F.lit(float(n)), F.lit(-0.2))
-    step = (hi - lo) / (grid - 1)
     vals = v.groupBy("v").agg(F.count("*").alias("c"))
+    st = v.agg(F.count("*").alias("n"), F.stddev_samp("v").alias("sd"), F.min("v").alias("lo"),
+               F.max("v").alias("hi")).where("sd is not null and hi <> lo")
+    st = st.select("lo", "hi", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
+                   ((F.col("hi") - F.col("lo")) / (grid - 1)).alias("step"))
+    lo, hi, h, step = (F.col(c) for c in ("lo", "hi", "h", "step"))
     pts = F.sequence(F.lit(0), F.lit(grid - 1))
-    contrib = vals.select(F.posexplode(F.transform(
+    contrib = vals.join(F.broadcast(st)).select("lo", "hi", "h", "step", F.posexplode(F.transform(   # one row
         pts, lambda i: F.col("c") * F.exp(-F.pow((lo + i * step - F.col("v")) / h, 2) / 2))).alias("i", "w"))
-    dens = contrib.groupBy("i").agg(F.sum("w").alias("w"))
+    dens = contrib.groupBy("i", "lo", "hi", "h", "step").agg(F.sum("w").alias("w"))
     norm = 1.0 / (h * F.sqrt(F.lit(2 * 3.141592653589793)))
     return dens.select("i", (lo + F.col("i") * step).alias("x"),
                        (F.col("w") * norm * (hi - lo) / bins).alias("expected_rows"))

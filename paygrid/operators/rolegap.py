@@ -244,6 +244,19 @@ def pay_percentile(r: DataFrame) -> DataFrame:
              .select("job_id", "company", "mid", (F.col("le") / F.col("n") * 100.0).alias("percentile")))
 
 
+def posting_summary(r: DataFrame, job_id: str) -> DataFrame:
+    """Everything known of one posting: title, company, range, scope, the share
+    of its company's salaried postings that it is paid at least as much as, and
+    how its pay lies against its comparables.  No row for an unknown id or one
+    without a salary; null statistics where nothing compares."""
+    t = _target(r, job_id).select("job_id", "title", "company", "department", "scope_score", "salary_min", "salary_max", "mid")
+    near = comparables_summary(r, job_id).select(
+        F.col("n").alias("n_comparables"), "tier", "comp_min", "comp_median", "comp_max", "gap", "gap_pct", "direction")
+    peers = r.join(F.broadcast(t.select("company", F.col("mid").alias("_mid"))), "company")        # one row
+    share = peers.agg(F.try_divide(F.count_if(F.col("mid") <= F.col("_mid")) * 100.0, F.count("*")).alias("percentile"))
+    return t.join(F.broadcast(share)).join(F.broadcast(near))
+
+
 # --------------------------------------------------------------------------
 # phrases
 # --------------------------------------------------------------------------

@@ -133,6 +133,11 @@ register("minmax_extent", sql(
     f"select {r2('min(min_usd)')} as lo, {r2('max(max_usd)')} as hi, count(*) as n_points from s"))(
     lambda spark, sf: pay.minmax_extent(facts(spark, sf)))
 
+register("minmax_points", sql(
+    f"select job_id, currency, {r2('min_usd')} as min_usd, {r2('max_usd')} as max_usd, "
+    f"{r2('range_usd')} as range_usd from s"))(
+    lambda spark, sf: pay.minmax_points(facts(spark, sf)))
+
 register("share_of_total", sql(
     f"select dimension, key, n, {r2('n * 100::double / sum(n) over (partition by dimension)')} as pct from u",
     "u as (select 'currency' as dimension, currency as key, count(*) as n from s where currency is not null "

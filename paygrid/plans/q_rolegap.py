@@ -61,6 +61,16 @@ register("comparables_summary", sql(
     "quantile_cont(mid, 0.5) as comp_median, max(tier) as tier, (select mid from t) as target_mid from comps)"))(
     lambda spark, sf: RG.comparables_summary(role(spark, sf), T))
 
+register("posting_summary", sql(
+    f"select t.job_id, t.title, t.company, t.department, t.scope_score, t.salary_min, t.salary_max, "
+    f"{r2('t.mid')} as mid, {r2('percentile')} as percentile, n as n_comparables, a.tier, {r2('comp_min')} as comp_min, "
+    f"{r2('comp_median')} as comp_median, {r2('comp_max')} as comp_max, {_gap_sql('t.mid', 'comp_median')} from t, a, "
+    f"(select cd * 100 as percentile from (select job_id, cume_dist() over (partition by company order by mid) as cd "
+    f"from r) where job_id = '{T}')",
+    CTES + ", a as (select count(*) as n, min(mid) as comp_min, max(mid) as comp_max, "
+    "quantile_cont(mid, 0.5) as comp_median, max(tier) as tier from comps)"))(
+    lambda spark, sf: RG.posting_summary(role(spark, sf), T))
+
 register("role_groups", sql(
     f"select job_id, scope_score, {r2('mid')} as mid, case when job_id = '{T}' then 'target' when job_id in "
     f"(select job_id from comps) then 'comparable' else 'other' end as grp from r "

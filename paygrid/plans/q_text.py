@@ -101,6 +101,20 @@ register("yoe_pay_trend", sql(
     _trend_sql("yoe", "y where yoe is not null and mid_usd is not null", "having count(*) > 10"), YOE_CTE))(
     lambda spark, sf: nlp.yoe_pay_trend(postings(spark, sf)))
 
+
+
+def _line_sql(x: str, src: str, having: str) -> str:
+    at = "x_min + i * (x_max - x_min) / 49"
+    return (f"select i, {r2(at)} as x, {r2(f'intercept + slope * ({at})')} as y from "
+            f"(select regr_slope(mid_usd, {x}) as slope, regr_intercept(mid_usd, {x}) as intercept, "
+            f"min({x})::double as x_min, max({x})::double as x_max from {src} {having}), "
+            f"(select range::integer as i from range(50)) where slope is not null")
+
+
+register("yoe_pay_line", sql(
+    _line_sql("yoe", "y where yoe is not null and mid_usd is not null", "having count(*) > 10"), YOE_CTE))(
+    lambda spark, sf: nlp.trend_line(nlp.yoe_pay_trend(postings(spark, sf))))
+
 WORDS_SQL = (f"case when {D} is not null then len(list_filter(regexp_split_to_array({D}, {O.q(WS + '+')}), "
              f"lambda x: x <> ''))::integer end")
 BULLETS_SQL = f"len(regexp_extract_all({D}, {O.q('(?m)^' + WS + '*[*-]' + WS)}))::integer"
@@ -115,6 +129,9 @@ register("text_shape", sql(
 register("length_pay_trend", sql(_trend_sql("desc_words", "lw", ""), LEN_CTE))(
     lambda spark, sf: nlp.length_pay_trend(postings(spark, sf)))
 
+register("length_pay_line", sql(_line_sql("desc_words", "lw", ""), LEN_CTE))(
+    lambda spark, sf: nlp.trend_line(nlp.length_pay_trend(postings(spark, sf))))
+
 
 def _corr_sql(x: str) -> str:
     return (f"case when min({x}) <> max({x}) and min(mid_usd) <> max(mid_usd) then "
