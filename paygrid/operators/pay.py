@@ -92,7 +92,8 @@ def _conditional_medians(s: DataFrame, key: str, labels: list[str], value: str)
     counts = value_counts(rows, ["department", "_place"], value)
     both = F.when(F.col("_place") > 0, F.array(F.col("_place"), F.lit(0).cast("long"))).otherwise(F.array("_place"))
     counts = counts.withColumn("_place", F.explode(both)).groupBy("department", "_place", "_x").agg(F.sum("_c").alias("_c"))
-    cells = with_quantiles(counts.select("department", "_place").distinct(), counts, ["department", "_place"], {"_median": 0.5})
+    present = counts.groupBy("department", "_place").agg(F.sum("_c").alias("_n")).where("_n > 0")
+    cells = with_quantiles(present, counts, ["department", "_place"], {"_median": 0.5})
     cols = [F.max(F.when(F.col("_place") == i, F.col("_median"))).alias(n)
             for i, n in [*enumerate(map(slug, labels), 1), (0, "overall_median")]]
     return cells.groupBy("department").agg(*cols).orderBy(F.desc_nulls_last("overall_median"), "department")

@@ -42,9 +42,11 @@ def ranked_values(counts: DataFrame, groups: list[str], fractions: list[float])
     """``(_g, _n, _at)`` per group that has a value: the struct of its keys,
     the number of its values and a map from rank to value for the ranks on
     both sides of every fraction."""
-    # a struct compares null keys as equal, in joins too
-    rows = counts.where("_x is not null").select(
-        F.struct(F.lit(0).alias("_"), *groups).alias("_g"), "_x", "_c", magnitude(F.col("_x")).alias("_b"))
+    # a struct compares null keys as equal, in joins too; conditions that could be moved below the
+    # counting would keep the steps from sharing its exchange: so the filter reads the count, and
+    # what is joined on is never null
+    rows = counts.where(F.when(F.col("_x").isNotNull(), F.col("_c")) > 0).select(
+        F.struct(F.lit(0).alias("_"), *groups).alias("_g"), "_x", "_c", F.coalesce(magnitude(F.col("_x")), F.lit(0)).alias("_b"))
     coarse = rows.groupBy("_g", "_b").agg(F.sum("_c").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     total = F.sum("_n").over(Window.partitionBy("_g"))
     ends = [end(_rank(F.col("_total"), f)).cast("long") for f in fractions for end in (F.floor, F.ceil)]
@@ -54,7 +56,7 @@ def ranked_values(counts: DataFrame, groups: list[str], fractions: list[float])
 
     width = F.col("_hi") - F.col("_lo")
     part = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width * FINE), F.lit(FINE - 1))).otherwise(0)
-    near = rows.join(coarse, ["_g", "_b"]).withColumn("_part", part.cast("int")).select(
+    near = rows.join(coarse, ["_g", "_b"]).withColumn("_part", F.coalesce(part.cast("int"), F.lit(0))).select(
         "_g", "_b", "_part", "_x", "_c", "_total", "_before", "_ranks")
     known = ["_g", "_b", "_total", "_before", "_ranks"]
     fine = _holding(near.groupBy(*known, "_part").agg(F.sum("_c").alias("_n")), ["_g", "_b"], "_part")
