@@ -2,6 +2,7 @@
 empty tables."""
 
 import random
+import time
 import zlib
 from itertools import combinations_with_replacement
 
@@ -333,22 +334,53 @@ def test_html(spark, empty):
     'div title="x" data-class="ad"', "div title='class=ad hidden'", 'div data-id=ads', 'td id=form', 'div class="section" id="notices"', 'pre class="toc"'])
 @pytest.mark.parametrize("home", ["article", "main", "div id=content"])
 def test_article_parts_stay(tag, home):
-    if home.startswith("div") and tag in ('section id="search"', 'li id="share"', 'td id=form', 'div class="section" id="notices"', 'pre class="toc"'):
-        return                                      # by name outside an article
+    by_name = home.startswith("div") and tag in (   # outside an article these are furniture
+        'section id="search"', 'li id="share"', 'td id=form', 'div class="section" id="notices"', 'pre class="toc"')
     plain = "<p>Long text, with commas, that is the body of the page, and goes on.</p>"
     page = f"<body><nav>menu</nav><{home}>{plain}<{tag}>Kept words, of the part, which are long enough, really.</{tag.split()[0]}>{plain}</{home.split()[0]}></body>"
-    assert "Kept words" in html.main_text(page) and "menu" not in html.main_text(page)
+    assert ("Kept words" in html.main_text(page)) is not by_name
+    assert "body of the page" in html.main_text(page) and "menu" not in html.main_text(page)
 
 
 @pytest.mark.parametrize("tag", [
     'div class="x ad"', 'div class="share-buttons"', 'ul class="related_posts"', 'div id="comments"', "div hidden", "p HIDDEN=''", 'div aria-hidden=true',
-    'div class="sidebar2"', 'div style="color:red; display : none"', 'section role="search"', 'div class="cookie-notice"', "div title='a'hidden"])
+    'div class="sidebar2"', 'div style="color:red; display : none"', 'section role="search"', 'div class="cookie-notice"', "div title='a'hidden",
+    'section id="comments"', 'section class="comments"', 'section id=respond', 'li class="comment"', 'button', 'button type=button class=x', 'p class="advert"',
+    'p class="x sponsored"', 'div role="comment"'])
 def test_chrome_inside_article_goes(tag):
     plain = "<p>Long text, with commas, that is the body of the page, and goes on.</p>"
     page = f"<article>{plain}<{tag}>Lost words, of the part, which are long enough, really.</{tag.split()[0]}>{plain}</article>"
     assert "Lost" not in html.main_text(page) and "body of the page" in html.main_text(page)
 
 
+LINE = "a plain line, of the article, that is long enough to count, and goes on."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f'<article><p class=lead">One {LINE}</p><p>Two {LINE}</p></article>', f"One {LINE} Two {LINE}"),
+    (f"<article><p title=John's>One {LINE}</p><p>It's two.</p></article>", f"One {LINE} It's two."),
+    (f'<article><p title="a > b">One {LINE}<p title="open>Two {LINE}</article>', f"One {LINE} Two {LINE}"),
+    (f"<article><p title='a' \"b>One {LINE}</p></article>", f"One {LINE}"),
+    (f"<!--><article><p>One {LINE}</p><!-- no --><p>Two.</p></article>", f"One {LINE} Two."),
+    (f"<body><nav>menu</nav><div><p>One {LINE}</p></div><div><p>Two {LINE}</p></div></body>", f"One {LINE} Two {LINE}"),
+    (f"<body><div><p>One {LINE}</p><p>More {LINE}</p><p>And {LINE}</p></div><div><p>Two is short, but no menu.</p></div><div>(c) us</div></body>",
+     f"One {LINE} More {LINE} And {LINE} Two is short, but no menu."),
+    (f"<body><div><section><div><p>One {LINE}</p></div></section><section><div><p>Two {LINE}</p></div></section></div></body>",
+     f"One {LINE} Two {LINE}"),
+    (f"<body><div><p>One {LINE}</p></div><div><p><a href=x>A list of links, to other pages, and more of them</a></p></div></body>", f"One {LINE}"),
+    (f"<article><p>One <button>Share this, now</button>{LINE}</p><p><button>Share<p>Two.</p></article>", f"One {LINE} Two."),
+    (f"<article><p>One {LINE}</p><svg><path d=x><p>Two {LINE}</p></article>", f"One {LINE} Two {LINE}")])
+def test_pages_as_found(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("tag", ["div", "blockquote", "ul><li", "section", "button", "p"])
+def test_deep_pages_take_linear_time(tag):
+    began = time.perf_counter()
+    assert ("Words" in html.main_text(f"<{tag}>" * 20_000 + f"Words {LINE}")) is (tag != "button")
+    assert time.perf_counter() - began < 2
+
+
 # ---------------------------------------------------------------- empty tables, entry, pipeline
 
 @pytest.mark.parametrize("op", [
