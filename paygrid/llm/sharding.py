@@ -5,9 +5,10 @@ text form one atomic unit, and a shard is a run of consecutive units.  The
 smallest capacity for which ``shards`` runs suffice is found by binary search
 with a greedy check, and the runs are cut there (law ``bytes``).
 
-Only a histogram of ``units`` hash ranges (fixed number, whatever the data)
-reaches the driver: units finer than one range are merged, which moves a cut
-by at most one range, about ``16 / units`` of a shard.
+Only histograms reach the driver: first of 2^18 hash ranges, whatever the
+data; then those ranges in which a cut may fall are split further, until the
+cuts of every smaller capacity stand between single units, so the capacity is
+the exact one.  Texts with one 64-bit hash count as one unit.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from paygrid.session import write_out
 
-UNITS = 1 << 18
+BITS, MORE = 18, 8           # hash bits of the first ranges, and more bits each time a range is split
+AT_ONCE = 512                # ranges split in one step, at most; the next step has the others
 ROWS_PER_RUN = 1_000_000     # rows ranked by one sort when slots are numbered
 
 
@@ -67,12 +69,62 @@ def balanced_cuts(sizes: np.ndarray, shards: int, capacity: int) -> list[int]:
     return cuts
 
 
+def to_split(sizes: np.ndarray, single: np.ndarray, shards: int, capacity: int) -> np.ndarray:
+    """Ranges to split before it is certain that no capacity below
+    ``capacity`` (the least for whole ranges) serves; none: it is certain.
+    ``single`` marks ranges of one unit."""
+    big = sizes >= capacity
+    if big.any():
+        return np.flatnonzero(big & ~single) if not (big & single).any() else np.array([], int)
+    least = max(-(-int(sizes.sum()) // shards), int(sizes.max()))
+    if least >= capacity:
+        return np.array([], int)
+    far = [c for c in greedy_cuts(sizes, capacity - 1)[:shards] if c < len(sizes)]
+    cut = [c for c in far if not single[c]]
+    if not cut:
+        return np.array([], int)                    # the greedy cuts below the capacity are those of single units
+    near = greedy_cuts(sizes, least)
+    held = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(near, far, strict=False)]))
+    held = held[~single[held]]
+    return held if len(held) <= AT_ONCE else np.array(cut)
+
+
+def ranges(rows: DataFrame, bits: int) -> np.ndarray:
+    """``(first hash, last hash, size, bits)`` of the hash ranges of so many bits that hold a row."""
+    got = rows.groupBy(F.shiftright("hash", 64 - bits).alias("unit")).agg(
+        F.min("hash").alias("a"), F.max("hash").alias("b"), F.sum("size").alias("size"))
+    d = got.select("a", "b", "size").toPandas().to_numpy(np.int64).reshape(-1, 3)
+    return np.column_stack([d, np.full(len(d), bits)])
+
+
+def exact_ranges(rows: DataFrame, shards: int, bits: int) -> np.ndarray:
+    """Ranges of ``rows (hash, size)`` in order, split where it matters: the
+    least capacity for them is the least for units."""
+    held = ranges(rows, bits)
+    while True:
+        held = held[np.argsort(held[:, 0])]
+        sizes, single = held[:, 2], held[:, 0] == held[:, 1]
+        split = to_split(sizes, single, shards, minimax_cuts(sizes, shards)[0]) if len(held) else []
+        if not len(split):
+            return held
+        finer = []
+        for b in np.unique(held[split, 3]):
+            some = held[split][held[split, 3] == b]
+            inside = " or ".join(f"hash between {_long(x)} and {_long(y)}" for x, y in some[:, :2].tolist())
+            finer.append(ranges(rows.where(inside), int(min(b + MORE, 64))))
+        held = np.concatenate([np.delete(held, split, 0), *finer])
+
+
+def _long(x: int) -> str:
+    return f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)"      # no literal for the least long
+
+
 def text_size(text: str | Column) -> Column:
     """UTF-8 bytes of the text (null: none) plus 1."""
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def assign_shards(docs: DataFrame, shards: int = 16, units: int = UNITS, id_col: str = "doc_id",
+def assign_shards(docs: DataFrame, shards: int = 16, bits: int = BITS, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with its shard and its place in it.
 
@@ -82,8 +134,8 @@ def assign_shards(docs: DataFrame, shards: int = 16, units: int = UNITS, id_col:
     without gaps inside each shard; ``grown_shard`` is null under law
     ``bytes``.  An empty table gives no rows.  Other columns are ignored.
 
-    Plan: one narrow table is written once; the histogram is a grouped sum
-    with map-side combine; slots come from row numbers inside (shard, salt)
+    Plan: one narrow table is written once; the histograms are grouped sums
+    with map-side combine over it; slots come from row numbers inside (shard, salt)
     runs of about ``ROWS_PER_RUN`` rows plus the offsets of the runs, so no
     task ranks a whole shard and copies of one text spread over all salts.
     """
@@ -91,14 +143,13 @@ def assign_shards(docs: DataFrame, shards: int = 16, units: int = UNITS, id_col:
     rows = write_out(docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), text_size(text).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(units)).cast("int").alias("unit"),
+        F.xxhash64(text).alias("hash"),
         F.monotonically_increasing_id().alias("row")), "shard-rows")
 
-    hist = rows.groupBy("unit").agg(F.sum("size").alias("size")).orderBy("unit").toPandas()
-    _, cuts = minimax_cuts(hist["size"].to_numpy(np.int64), shards)
-    at = hist["unit"].to_numpy(np.int64)
-    bounds = sorted({int(at[c]) for c in cuts if c < len(at)})   # first unit of each later shard
-    shard = sum(((F.col("unit") >= b).cast("int") for b in bounds), F.lit(0)) if bounds else F.lit(0)
+    held = exact_ranges(rows.select("hash", "size"), shards, bits)
+    _, cuts = minimax_cuts(held[:, 2], shards)
+    bounds = sorted({int(held[c, 0]) for c in cuts if c < len(held)})   # first hash of each later shard
+    shard = sum(((F.col("hash") >= b).cast("int") for b in bounds), F.lit(0)) if bounds else F.lit(0)
 
     n = rows.count()
     salts = max(8, -(-n // (shards * ROWS_PER_RUN)))
