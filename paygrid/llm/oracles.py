@@ -3,7 +3,7 @@ forms (all windows, all pairs that share a shingle), no code shared."""
 
 from __future__ import annotations
 
-from paygrid.llm import licenses
+from paygrid.llm import licenses, secrets
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')"
 
@@ -17,10 +17,7 @@ _RULES = [
     ("assign", "(?i:(password|passwd|secret|token|api_?key))[\"'']? *[:=] *[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     ("access", "AKIA[A-Z0-9]+", 0, 20),
     ("hex", "[0-9a-f]{24,}", 0, 24),
-    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
-    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
-    ("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", 0, 1),
+    *[(r.kind, r.regex, 0, 1) for r in secrets.EXTRA],
 ]
 _FOUND = " union all ".join(
     f"select doc_id, {k} as rank, '{kind}' as kind, s, s + length(p[i]) as e from (select doc_id, p, i, "
@@ -77,7 +74,8 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     or 3 * n_dup_lines > len(string_split(t, chr(10))) + 2
     or 2 * length(regexp_replace(t, '[^\\p{{Lu}}]+', '', 'g')) > length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g'))
     or 2 * (length(t) - length(regexp_replace(t, '[!?]', '', 'g'))) > n_words
-    or 100 * len(list_distinct(w)) < 12 * n_words - 6 * least(n_words, 4000)) as kept from f"""
+    or case when n_words <= 4000 then 100 * len(list_distinct(w)) < 6 * n_words
+       else 10 * len(list_distinct(w))::bigint * len(list_distinct(w)) < 144 * n_words end) as kept from f"""
 
 
 def _folded(text: str) -> str:

@@ -42,12 +42,44 @@ BASE = (
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20),
     SecretRule("hex", r"[0-9a-f]{24,}", 0, 24),      # equals runs of [0-9a-f]+ that have 24 characters or more
 )
-EXTRA = (
-    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    SecretRule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-)
+# Public formats of keys and tokens.
+EXTRA = tuple(SecretRule(kind, regex) for kind, regex in (
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    ("aws_session", r"ASIA[A-Z0-9]{16}"),
+    ("google_api", r"AIza[0-9A-Za-z_-]{35}"),
+    ("google_client", r"GOCSPX-[A-Za-z0-9_-]{28}"),
+    ("google_token", r"ya29\.[A-Za-z0-9_-]{20,}"),
+    ("stripe", r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}"),
+    ("square", r"sq0(?:atp|csp)-[A-Za-z0-9_-]{22,}"),
+    ("braintree", r"access_token\$production\$[a-z0-9]{16}\$[a-f0-9]{32}"),
+    ("shopify", r"shp(?:at|ca|pa|ss)_[a-fA-F0-9]{32}"),
+    ("npm", r"npm_[A-Za-z0-9]{36}"),
+    ("pypi", r"pypi-AgEI[A-Za-z0-9_-]{50,}"),
+    ("rubygems", r"rubygems_[a-f0-9]{48}"),
+    ("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
+    ("github_pat", r"github_pat_[A-Za-z0-9_]{22,}"),
+    ("sendgrid", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
+    ("mailgun", r"key-[0-9a-f]{32}"),
+    ("mailchimp", r"[0-9a-f]{32}-us[0-9]{1,2}"),
+    ("telegram", r"[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
+    ("slack_hook", r"hooks\.slack\.com/services/T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]{20,}"),
+    ("discord_hook", r"discord(?:app)?\.com/api/webhooks/[0-9]{10,}/[A-Za-z0-9_-]{30,}"),
+    ("huggingface", r"hf_[A-Za-z0-9]{30,}"),
+    ("url_password", r"[a-z]{2,10}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@[A-Za-z0-9.-]+"),
+    ("azure_account", r"(?:AccountKey|SharedAccessKey)=[A-Za-z0-9+/=]{40,}"),
+    ("digitalocean", r"do[oprt]_v1_[a-f0-9]{64}"),
+    ("databricks", r"dapi[a-f0-9]{32}"),
+    ("newrelic", r"NRAK-[A-Z0-9]{27}"),
+    ("doppler", r"dp\.pt\.[A-Za-z0-9]{40,}"),
+    ("linear", r"lin_api_[A-Za-z0-9]{40}"),
+    ("postman", r"PMAK-[a-f0-9]{24}-[a-f0-9]{34}"),
+    ("vault", r"hvs\.[A-Za-z0-9_-]{24,}"),
+    ("age", r"AGE-SECRET-KEY-1[A-Z0-9]{58}"),
+    ("bearer", r"[Bb]earer [A-Za-z0-9._~+/-]{20,}"),
+))
 
 
 # ------------------------------------------------------------ regex -> trigram query
@@ -153,18 +185,19 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
 
 # ------------------------------------------------------------ verification
 
-def running_starts(lens: Column) -> Column:
-    """Sum of all earlier entries, for each entry, in blocks of about the
-    square root of the length (SQL arrays have no running sum)."""
+def running(values: Column, join=lambda s, x: s + x) -> Column:
+    """Sum (or another ``join`` with neutral 0) of all earlier entries, for
+    each entry, in blocks of about the square root of the length (SQL arrays
+    have no running sum)."""
     def blocks(a):
         return let(F.ceil(F.sqrt(F.size(a))).cast("int"), lambda b: let(
             F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / b).cast("int") - 1),
-                        lambda k: F.aggregate(F.slice(a, k * b + 1, b), F.lit(0), lambda s, x: s + x)),
+                        lambda k: F.aggregate(F.slice(a, k * b + 1, b), F.lit(0), join)),
             lambda sums: let(
-                F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), lambda s, x: s + x)),
-                lambda base: F.transform(a, lambda _, i: F.get(base, F.floor(i / b).cast("int")) + F.aggregate(
-                    F.slice(a, F.floor(i / b).cast("int") * b + 1, i % b), F.lit(0), lambda s, x: s + x)))))
-    return let(lens, blocks)
+                F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, F.lit(1), k), F.lit(0), join)),
+                lambda base: F.transform(a, lambda _, i: join(F.get(base, F.floor(i / b).cast("int")), F.aggregate(
+                    F.slice(a, F.floor(i / b).cast("int") * b + 1, i % b), F.lit(0), join))))))
+    return let(values, blocks)
 
 
 def spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
@@ -175,7 +208,7 @@ def spans_of(text: Column, rule: SecretRule, rank: int) -> Column:
     value = (lambda m: F.regexp_extract(m, rule.regex, rule.group)) if rule.group else (lambda m: m)
 
     def cut(parts):
-        return let(running_starts(F.transform(parts, F.length)), lambda at: F.transform(
+        return let(running(F.transform(parts, F.length)), lambda at: F.transform(
             F.filter(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)),
                      lambda i: F.length(value(F.get(parts, i))) >= rule.min_chars),
             lambda i: F.struct(F.get(at, i).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"),
@@ -223,12 +256,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", put:
     """``docs`` with every span in the text replaced by ``put``; overlapping
     spans give one replacement; null texts stay null; columns are unchanged."""
     text = F.col(f"`{text_col}`")
-    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    def step(a, s):
-        fresh = F.concat(a["out"], F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))), F.lit(put))
-        return F.struct(F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"),
-                        F.greatest(a["at"], s["end"]).alias("at"))
-    done = F.aggregate("_spans", empty, step, lambda a: F.concat(
-        a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    ends = F.transform("_spans", lambda s: s["end"])
+
+    def pieces(done):                               # done: where the spans before each one end
+        kept = F.transform("_spans", lambda s, i: F.when(
+            s["start"] >= F.get(done, i), F.concat(F.substring(text, F.get(done, i) + 1, s["start"] - F.get(done, i)), F.lit(put))).otherwise(""))
+        return F.concat(F.array_join(kept, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+    done = let(running(ends, lambda s, x: F.greatest(s, x)), pieces)
     return scan(docs, id_col=id_col, text_col=text_col).withColumn(
         text_col, F.when(F.size("_spans") > 0, done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
