@@ -17,9 +17,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paygrid.llm.cascade import words_of
+from paygrid.llm.filters import BUCKET, bitmap_of, may_hold
 from paygrid.llm.words import _LOWER, _power, gram_hashes, mix, split
 from paygrid.session import write_out
 
@@ -132,6 +134,33 @@ def window_rows(texts: DataFrame, sizes: list[int], only: np.ndarray | None, who
     return texts.mapInArrow(run, "id long, key long, size int, literal boolean, pos int, hash long, slots array<long>, tokens int")
 
 
+def bitmap_rows(bits: DataFrame) -> DataFrame:
+    """``(bucket, bytes)`` of all bits set: at most 2^BITS / BUCKET rows of 4 KB."""
+    return bits.select(F.floor(F.col("bit") / BUCKET).alias("bucket"), (F.col("bit") % BUCKET).alias("at")).groupBy("bucket").agg(
+        F.bitmap_construct_agg("at").alias("bytes"))
+
+
+def bare(text: Column) -> Column:
+    """Lower-case words of a text without outer punctuation, joined by one space."""
+    return F.array_join(F.filter(F.transform(words_of(F.lower(text)), lambda w: F.regexp_replace(
+        w, "^[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+$", "")), lambda w: w != ""), " ")
+
+
+def short_items(items: DataFrame, windowed: DataFrame) -> DataFrame:
+    """``(item_id, line, item_words)`` of items ``(id, key, text)`` with a word but without a window."""
+    some = items.join(windowed.select(F.col("key")).distinct(), "key", "left_anti").select(
+        F.col("id").alias("item_id"), bare(F.col("text")).alias("line")).where("line <> ''").distinct()
+    return write_out(some.withColumn("item_words", F.size(F.split("line", " ")).cast("long")), "short-items")
+
+
+def short_leaks(docs: DataFrame, short: DataFrame) -> DataFrame:
+    """``(id, key, item_id, item_words)``: ``short`` items that are a whole line of ``docs (id, key, text)``."""
+    lines = docs.select("id", "key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).select(
+        "id", "key", bare(F.col("line")).alias("line")).where("size(split(line, ' ')) <= 2 and line <> ''").distinct()
+    # a bitmap of the items' lines first, so that other lines are not shuffled; AQE splits a line that many documents share
+    return may_hold(lines, "line", bitmap_of(short, "line")).join(short, "line").select("id", "key", "item_id", "item_words")
+
+
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return d.select("id", F.xxhash64("id", "text").alias("key"), "text")
@@ -146,16 +175,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     windows where every item value stands for one document value, else those
     of the template windows if they agree among themselves, else those of the
     literal windows.  ``exact`` says that the covered words hold the same
-    values too; ``key`` names the row by content.  Items of fewer than 3 words
-    are not searched; items of fewer than 3 plain words only literally.  Null
+    values too; ``key`` names the row by content.  Items of one or two words
+    count where they are a whole line (case and outer punctuation apart); items
+    of fewer than 3 plain words are searched only literally.  Null
     and empty texts match nothing; repeated rows give one row; other columns
     are ignored; empty tables give no rows.
     """
     items = write_out(window_rows(_rows(benchmark, item_col, item_text), list(range(3, WINDOW + 1)), None, True), "item-windows")
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()]
-    bits = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in items.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit")).distinct().toLocalIterator():
-        bits[r[0] >> 3] |= 1 << (r[0] & 7)                 # at most 2^BITS bits, whatever the benchmark
+    bits = np.zeros(1 << (BITS - 3), np.uint8)             # 2^BITS bits, whatever the benchmark
+    for r in bitmap_rows(items.select(F.shiftrightunsigned("hash", 64 - BITS).alias("bit"))).collect():
+        bits[r[0] * (BUCKET >> 3):(r[0] + 1) * (BUCKET >> 3)] = np.frombuffer(r[1], np.uint8)
     hits = window_rows(_rows(docs, id_col, text_col), sizes, bits, False)
     item = items.select("hash", "size", "literal", F.col("id").alias("item_id"), F.col("key").alias("item_key"), F.col("pos").alias("item_pos"),
                         F.col("slots").alias("item_slots"), F.col("tokens").alias("item_words"))
@@ -185,9 +215,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     good = along.where(F.col("part.covered") >= F.least(F.lit(COVERED), F.ceil(SHARE * F.col("item_words"))))
     exact = F.col("part.covered") == F.col("equal")        # a word with another value is in no literal window
     best = F.max(F.struct("part.covered", "part.n_slots", exact.alias("exact"), "item_words"))
-    return good.groupBy("id", "key", "item_id").agg(best.alias("x")).select(
+    short = short_items(_rows(benchmark, item_col, item_text), items)
+    lines = None if short.isEmpty() else short_leaks(_rows(docs, id_col, text_col), short).select(
+        F.col("id").alias("doc_id"), "key", "item_id", F.col("item_words").alias("covered"), "item_words",
+        F.lit(0).cast("long").alias("n_slots"), F.lit(True).alias("exact"))
+    found = good.groupBy("id", "key", "item_id").agg(best.alias("x")).select(
         F.col("id").alias("doc_id"), "key", "item_id", F.col("x.covered").cast("long").alias("covered"),
         F.col("x.item_words").cast("long").alias("item_words"), F.col("x.n_slots").cast("long").alias("n_slots"), F.col("x.exact").alias("exact"))
+    return found if lines is None else found.unionByName(lines)
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
