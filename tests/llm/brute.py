@@ -170,3 +170,62 @@ def resampled(rows, target, grams=1, buckets=10_000, least=20, percent=10, seed=
     for k, r in enumerate(able[:percent * len(able) // 100], 1):
         r[4] = k
     return [tuple(r[:5]) for r in out]
+
+
+def site_log_odds(rows):
+    """``rows``: (host, path, evidence); shrunk log odds of each (host, path) over the global ones."""
+    sites, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for h, p, x in rows:
+        sites[h, p].append(x)
+        hosts[h].append(x)
+    n = len(rows)
+    mu = sum(x for *_, x in rows) / n
+    within = mu * (1 - mu)
+
+    def strength(spread, groups):
+        between = max((spread - (groups - 1) * within) / n, within * 1e-4)
+        return min(max(within / between - 1, 2.0), 10_000.0)
+    mean = {k: sum(v) / len(v) for k, v in (*sites.items(), *hosts.items())}
+    of_host = strength(sum(len(v) * mean[k] ** 2 for k, v in hosts.items()) - n * mu * mu, len(hosts))
+    of_path = strength(sum(len(v) * (mean[k] - mean[k[0]]) ** 2 for k, v in sites.items()), len(sites) - len(hosts) + 1)
+    shrunk = {h: (sum(v) + of_host * mu) / (len(v) + of_host) for h, v in hosts.items()}
+    logit = lambda p: math.log(p / (1 - p))
+    return {k: logit((sum(v) + of_path * shrunk[k[0]]) / (len(v) + of_path)) - logit(mu) for k, v in sites.items()}
+
+
+def languages(rows, longest=5, smooth=0.2):
+    """``rows``: (id, text, lang); language, score and held-out flag by id."""
+    runs = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    cut = lambda w, n: [x[i:i + n] for x in [f"\x02{w}\x03" if n > 1 else w] for i in range(len(x) - n + 1)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    count = collections.defaultdict(collections.Counter)
+    for i, t, lang in rows:
+        if t is not None and lang is not None and not held(i):
+            for w in runs(t):
+                count[lang, 0][w] += 1
+                for n in range(1, longest + 1):
+                    count[lang, n].update(cut(w, n))
+    langs = sorted({x for x, _ in count})
+    known = [set().union(*(count[x, n] for x in langs)) for n in range(longest + 1)]
+    kinds = [max(len(count[x, n]) for x in langs) for n in range(longest + 1)]
+    total = {k: sum(v.values()) for k, v in count.items()}
+    log = lambda x, n, u: math.log((count[x, n][u] + smooth) / (total[x, n] + smooth * kinds[n]))
+    all_words = sum(total[x, 0] for x in langs)
+    prior = {x: math.log((total[x, 0] + 1) / (all_words + len(langs))) for x in langs}
+    memo, out = {}, {}
+
+    def evidence(w):
+        if w not in memo:
+            units = [(0, w)] if w in known[0] else next(
+                (u for n in range(longest, 0, -1) if (u := [(n, g) for g in cut(w, n) if g in known[n]])), [])
+            memo[w] = {x: sum(log(x, n, u) for n, u in units) / len(units) if units else 0.0 for x in langs}
+        return memo[w]
+    for i, t, _ in rows:
+        found = [evidence(w) for token in (t or "").split() for w in runs(token)]
+        if not found:
+            out[i] = ("und", 0.0, held(i))
+            continue
+        v = {x: prior[x] + sum(f[x] for f in found) for x in langs}
+        best = max(langs, key=lambda x: v[x])
+        out[i] = (best, 1 / sum(math.exp(v[x] - v[best]) for x in langs), held(i))
+    return out
