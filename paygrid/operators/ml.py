@@ -27,11 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
-from paygrid.functions.text import let, neighbour_groups
+from paygrid.arrow import list_sizes, spans
 from paygrid.operators.common import median
 from paygrid.session import write_out
 
-CHUNK = 16_384                 # stored weights that a task works on at a time
+CHUNK = 262_144                # words or stored weights that a task works on at a time
+BLOCK_CELLS = 65_536           # numbers of a product that are in work at once: they stay in a core's cache
+DENSE, DENSE_ROWS = 25, 128    # rows with more than one weight in 25 terms are multiplied as dense rows, 128 at once
 KMEANS_ITERATIONS, KMEANS_MOVE = 20, 1e-4
 KMEANS_START_ROWS = 2_048      # rows (least hashes) on which the starting centres are chosen; all passes cover all rows
 SVD_BLOCK, SVD_ITERATIONS, SVD_RESIDUAL = 12, 80, 1e-8
@@ -57,16 +59,54 @@ class Matrix:
 def terms_of(text: Column) -> Column:
     """Words that are no stop words, and pairs of those that are next to each
     other without them; as ``array<struct<first, n>>`` by term."""
-    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(R.SPARK_ENGLISH_STOPWORDS))
-    places = lambda w: F.when(F.size(w) > 1, F.sequence(F.lit(0), F.size(w) - 2)).otherwise(F.array().cast("array<int>"))
-    every = let(words, lambda w: F.concat(w, F.transform(places(w), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))))
-    return neighbour_groups(F.sort_array(every))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w\w+"), F.lit(0))
+    return F.arrow_udf(counted, "array<struct<first:string,n:int>>")(words)
+
+
+def counted(words: pa.Array) -> pa.Array:
+    """The terms of every list of words, a bounded number of words at a time."""
+    parts = [_counted(words.slice(i, j - i)) for i, j in spans(list_sizes(words), CHUNK)]
+    return pa.concat_arrays(parts) if parts else _counted(words)
+
+
+def _counted(words: pa.Array) -> pa.Array:
+    """Words are numbered in byte order; a word is below its pairs and these are
+    below any longer word, so the numbers of (row, word, next word or none)
+    sort as the terms do."""
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    names, n = coded.dictionary.take(order), len(order)
+    number = np.empty(n, np.int64)
+    number[order.to_numpy()] = np.arange(n)
+    code = number[coded.indices.to_numpy()]
+    row = np.repeat(np.arange(len(words)), list_sizes(words))
+    kept = ~pc.is_in(names, value_set=pa.array(R.SPARK_ENGLISH_STOPWORDS, names.type)).to_numpy(zero_copy_only=False)[code]
+    code, row = code[kept], row[kept]
+    one = (row * n + code) * (n + 1)
+    cells = np.sort(np.concatenate([one, (one[:-1] + code[1:] + 1)[row[1:] == row[:-1]]]))
+    starts = np.flatnonzero(np.diff(cells, prepend=-1))
+    many, cells = np.diff(np.append(starts, len(cells))), cells[starts]
+    word, after = np.divmod(cells, n + 1)
+    row, word = np.divmod(word, max(n, 1))
+    terms = pc.binary_join_element_wise(names.take(pa.array(word)), names.take(pa.array(after - 1, mask=after == 0)), " ", null_handling="skip")
+    off = pa.array(np.searchsorted(row, np.arange(len(words) + 1)).astype(np.int32))
+    pairs = pa.StructArray.from_arrays([terms, pa.array(many.astype(np.int32))], names=["first", "n"])
+    return pa.ListArray.from_arrays(off, pairs, mask=words.is_null())
 
 
 def vocabulary(terms: DataFrame, n: int, max_features: int) -> DataFrame:
-    """``(term, total, df)`` of the most frequent terms, ties by term."""
-    each = terms.select(F.explode("_terms").alias("t")).select(F.col("t.first").alias("term"), F.col("t.n").alias("n"))
-    return each.groupBy("term").agg(F.sum("n").alias("total"), F.count("*").alias("df")).where(
+    """``(term, total, df)`` of the most frequent terms, ties by term.  Terms
+    are added up inside each task before they become rows."""
+    def run(batches):
+        for batch in batches:
+            for i, j in spans(list_sizes(batch.column(0)), 4 * CHUNK):
+                flat = batch.column(0).slice(i, j - i).flatten()
+                each = pa.table({"term": flat.field("first"), "n": flat.field("n")})
+                added = each.group_by("term", use_threads=False).aggregate([("n", "sum"), ("n", "count")])
+                yield from added.select(["term", "n_sum", "n_count"]).rename_columns(["term", "n", "df"]).combine_chunks().to_batches()
+
+    each = terms.select("_terms").mapInArrow(run, "term string, n long, df long")
+    return each.groupBy("term").agg(F.sum("n").alias("total"), F.sum("df").alias("df")).where(
         (F.col("df") >= R.TFIDF_MIN_DF) & (F.col("df") <= R.TFIDF_MAX_DF * n)).orderBy(F.desc("total"), "term").limit(max_features)
 
 
@@ -87,20 +127,20 @@ def tfidf(df: DataFrame, text: str = "description_md", keep: list[str] | None =
         names, idf = shared.value
         names = pa.array(names, pa.string())
         for batch in batches:
-            lists = batch.column(len(keep))
-            flat = lists.flatten()
-            at = pc.index_in(flat.field("first"), value_set=names)
-            count = flat.field("n").to_numpy(zero_copy_only=False).astype(float)
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            has = at.is_valid().to_numpy(zero_copy_only=False)
-            col, row = at.drop_null().to_numpy(), row[has]
-            w = count[has] * idf[col] if len(col) else np.zeros(0)
-            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lists)))
-            order = np.lexsort((col, row))
-            off = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], pa.ListArray.from_arrays(off, pa.array(col[order].astype(np.int32))),
-                 pa.ListArray.from_arrays(off, pa.array((w / norm[row])[order] if len(w) else w))], names=[*keep, "idx", "w"])
+            for i, j in spans(list_sizes(batch.column(len(keep))), CHUNK):
+                part = batch.slice(i, j - i)
+                lists = part.column(len(keep))
+                flat = lists.flatten()
+                at = pc.index_in(flat.field("first"), value_set=names)
+                has = at.is_valid().to_numpy(zero_copy_only=False)
+                col, row = at.drop_null().to_numpy(), np.repeat(np.arange(len(lists)), list_sizes(lists))[has]
+                w = flat.field("n").to_numpy(zero_copy_only=False)[has] * idf[col] if len(col) else np.zeros(0)
+                norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lists)))
+                order = np.lexsort((col, row))
+                off = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(keep)], pa.ListArray.from_arrays(off, pa.array(col[order].astype(np.int32))),
+                     pa.ListArray.from_arrays(off, pa.array((w / norm[row])[order] if len(w) else w))], names=[*keep, "idx", "w"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "idx array<int>, w array<double>"])
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -125,19 +165,27 @@ def chunks(batch: pa.RecordBatch, idx: int, w: int) -> Iterator[tuple[int, int,
     lists = batch.column(idx)
     off = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     col, val = lists.flatten().to_numpy(), batch.column(w).flatten().to_numpy()
-    i, n = 0, len(lists)
-    while i < n:
-        j = min(n, i + CHUNK, max(i + 1, int(np.searchsorted(off, off[i] + CHUNK, "right")) - 1))
+    for i, j in spans(np.diff(off), CHUNK):
         yield i, j, np.repeat(np.arange(j - i), np.diff(off[i:j + 1])), col[off[i]:off[j]], val[off[i]:off[j]]
-        i = j
 
 
 def times(rows: int, row: np.ndarray, col: np.ndarray, val: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Product of the rows of a chunk with a dense block."""
+    """Product of the rows of a chunk with a dense block: rows with many weights as dense rows, others weight by weight."""
     out = np.zeros((rows, block.shape[1]))
-    if len(row):
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[first]] = np.add.reduceat(val[:, None] * block[col], first, axis=0)
+    if len(row) * DENSE > rows * len(block):
+        ends = np.searchsorted(row, np.arange(0, rows + DENSE_ROWS, DENSE_ROWS))
+        for r, i, j in zip(range(0, rows, DENSE_ROWS), ends, ends[1:]):
+            x = np.zeros((min(DENSE_ROWS, rows - r), len(block)))
+            x[row[i:j] - r, col[i:j]] = val[i:j]
+            out[r:r + len(x)] = x @ block
+        return out
+    step = max(1, BLOCK_CELLS // max(block.shape[1], 1))
+    for i in range(0, len(row), step):
+        here = row[i:i + step]
+        first = np.flatnonzero(np.diff(here, prepend=-1))
+        part = block[col[i:i + step]]
+        part *= val[i:i + step, None]
+        out[here[first]] += np.add.reduceat(part, first, axis=0)
     return out
 
 
@@ -176,6 +224,7 @@ def gram_times(m: Matrix, block: np.ndarray) -> np.ndarray:
                                          names=["term", *names])
     parts = m.rows.select("idx", "w").mapInArrow(run, ", ".join(["term int", *[f"{c} double" for c in names]]))
     got = parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    shared.unpersist()
     out = np.zeros_like(block)
     out[got["term"].to_numpy()] = np.column_stack([got[c].to_numpy() for c in names])
     return out
@@ -279,6 +328,7 @@ def one_pass(m: Matrix, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
                                           pa.array(np.concatenate([sums.ravel()[at], counts.ravel(), costs]))], names=["cell", "term", "s"])
 
     got = m.rows.select("idx", "w").mapInArrow(run, "cell int, term int, s double").groupBy("cell", "term").agg(F.sum("s").alias("s")).toArrow()
+    shared.unpersist()
     cell, term, s = (got[c].to_numpy() for c in ("cell", "term", "s"))
     sums, counts, costs = np.zeros((runs * k, size)), np.zeros(runs * k), np.zeros(runs)
     for kind, out in ((-1, counts), (-2, costs)):
