@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from paygrid.llm.filters import bitmap_of, may_hold
 from paygrid.llm.graph import components
 from paygrid.llm.words import gram_hashes, mix, split
-from paygrid.session import write_out
+from paygrid.session import release, write_out
 
 GRAM = 5
 PERCENT = 80
@@ -302,6 +302,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         named = multi.join(comp.hint("merge"), "node", "left").select("token", "n", "pos", "node", F.coalesce("component", "node").alias("c"))
         several = named.groupBy("token").agg((F.min("c") != F.max("c")).alias("_open")).where("_open").select("token")
         open_ = write_out(named.join(several.hint("merge"), "token"), "open")
+        release(docs.sparkSession)
     # a pair is made under the first of a row of tokens that follow each other in both sets, if lengths, places and sketches allow it
     before = F.lag("token").over(Window.partitionBy("node").orderBy("pos"))
     sides = open_.withColumn("before", before).join(nodes.select("node", "sketch").hint("merge"), "node")

@@ -21,10 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paygrid.llm.cascade import SYMBOLS, chars_in, let
-from paygrid.session import write_out
+from paygrid.session import release, write_out
 
 TRAIN_ROWS = 6_000            # labelled documents fitted (those with the least hash of the id)
 VOCABULARY = 4_096            # words of the model
+PART_ROWS = 1_500             # fitted rows in a task: every step of a fit is a job over all of them
 SITES_BROADCAST = 200_000     # sites that may be broadcast; more are joined by shuffle, salted
 SALTS = 16
 KEEP_AT = 0.5
@@ -90,13 +91,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: in
     shape = Pipeline(stages=[
         CountVectorizer(inputCol="_words", outputCol="_has", vocabSize=VOCABULARY, minDF=min(3.0, float(n)), binary=True),
         VectorAssembler(inputCols=["_has", *SHAPE], outputCol="_x")]).fit(train)
-    ready = shape.transform(train)
+    # Each of the hundred jobs of a fit carries its plan and schema along: they read vectors from a written table, whose
+    # schema has the vectors' size in place of a name for every word.
+    x = F.col("_x").alias("_x", metadata={"ml_attr": {"num_attrs": len(shape.stages[0].vocabulary) + len(SHAPE)}})
+    ready = write_out(shape.transform(train).select(x, "_l_quality", "_l_toxic").coalesce(-(-n // PART_ROWS)), "vectors")
     models, rates = {}, {}
     for k, one in zip(("quality", "toxic"), ones, strict=True):
         rates[k] = (one + 1) / (n + 2)
         models[k] = LogisticRegression(
             featuresCol="_x", labelCol=f"_l_{k}", probabilityCol=f"_p_{k}", rawPredictionCol=f"_r_{k}", predictionCol=f"_c_{k}",
             maxIter=60, regParam=0.002, elasticNetParam=0.5, aggregationDepth=2).fit(ready) if 0 < one < n else None
+        release(docs.sparkSession)
     return Classifier(shape, models, rates)
 
 
@@ -104,11 +109,17 @@ def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def constants(row: DataFrame) -> dict[str, Column]:
+    """The columns of a table of one row as literals."""
+    values = row.first()
+    return {f.name: F.lit(values[f.name]).cast(f.dataType) for f in row.schema}
+
+
 def site_posteriors(scored: DataFrame) -> DataFrame:
     """``(_host, _path, _site)`` from ``(_host, _path, _good)``: log odds of
     the path's shrunk mean over those of the global mean."""
     sites = write_out(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("_good").alias("s")), "sites")
-    hosts = sites.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count("*").alias("paths"))
+    hosts = write_out(sites.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"), F.count("*").alias("paths")), "hosts")
     whole = hosts.agg(F.sum("hn").alias("gn"), F.sum("hs").alias("gs"), F.count("*").alias("hosts"),
                       F.sum(F.col("hs") * F.col("hs") / F.col("hn")).alias("sq"))
     mu = F.col("gs") / F.col("gn")
@@ -119,11 +130,11 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
         between = F.greatest((spread - (groups - 1) * within) / F.col("gn"), within * 1e-4)
         return F.least(F.greatest(within / between - 1, F.lit(2.0)), F.lit(10_000.0))
 
-    g = whole.withColumn("hk", strength(F.col("sq") - F.col("gn") * mu * mu, F.col("hosts")))
-    h = hosts.crossJoin(F.broadcast(g)).withColumn("hm", (F.col("hs") + F.col("hk") * mu) / (F.col("hn") + F.col("hk")))   # g: one row
+    g = constants(whole.withColumn("hk", strength(F.col("sq") - F.col("gn") * mu * mu, F.col("hosts"))))
+    h = hosts.withColumns(g).withColumn("hm", (F.col("hs") + F.col("hk") * mu) / (F.col("hn") + F.col("hk")))
     p = sites.join(h, "_host")
-    k = p.agg(F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("hs") / F.col("hn"), 2)).alias("psq"), F.count("*").alias("sites"))
-    p = p.crossJoin(F.broadcast(k)).withColumn("pk", strength(F.col("psq"), F.col("sites") - F.col("hosts") + 1))           # k: one row
+    k = constants(p.agg(F.sum(F.col("n") * F.pow(F.col("s") / F.col("n") - F.col("hs") / F.col("hn"), 2)).alias("psq"), F.count("*").alias("sites")))
+    p = p.withColumns(k).withColumn("pk", strength(F.col("psq"), F.col("sites") - F.col("hosts") + 1))
     mean = (F.col("s") + F.col("pk") * F.col("hm")) / (F.col("n") + F.col("pk"))
     return write_out(p.select("_host", "_path", (_odds(mean) - _odds(mu)).alias("_site")), "site-posteriors")
 

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from paygrid.llm import (cascade, html, jaccard, langid, packing, quality, queries, recompression, secrets, sharding, templates, words)
+from paygrid.session import write_out
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -418,6 +419,31 @@ def test_quality_edge_rows(spark, odd, empty):
     assert quality.classify(empty, labels, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_fits_read_a_small_written_table(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["good", "bad", "plain"]) + str(r.randint(0, 9)) for _ in range(12)), "h", "p") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(24)
+    labels = spark.createDataFrame([(i, i % 2, i % 3 // 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    fitted, released, fit = [], [], quality.LogisticRegression.fit
+    monkeypatch.setattr(quality.LogisticRegression, "fit", lambda self, d, *a: fitted.append(d) or fit(self, d, *a))
+    monkeypatch.setattr(quality, "release", released.append)
+    model = quality.fit(docs, labels, "doc_id", "text")
+    assert len(fitted) == 2 and len(released) == 2 and model.models["quality"].numFeatures == 3 + len(quality.SHAPE)
+    for d in fitted:
+        plan = d._jdf.queryExecution().toString()
+        assert d.rdd.getNumPartitions() == 1 and len(d.schema["_x"].metadata["ml_attr"]) == 1 and "split" not in plan
+
+
+def test_sites_make_few_broadcasts(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(quality, "write_out", lambda d, name: plans.append(d._jdf.queryExecution().executedPlan().toString()) or write_out(d, name))
+    rows = [("a", "x", 0.9)] * 30 + [("a", "y", 0.4)] * 20 + [("b", "x", 0.2)] * 10
+    quality.site_posteriors(spark.createDataFrame(rows, "_host string, _path string, _good double"))
+    assert not any("NestedLoopJoin" in p for p in plans) and plans[-1].count("BroadcastExchange") <= 1
+    none = quality.site_posteriors(spark.createDataFrame([], "_host string, _path string, _good double"))
+    assert none.count() == 0
+
+
 def test_language_id(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").toPandas()
@@ -557,6 +583,15 @@ def test_pipeline(spark):
     assert 0 < out["doc_id"].nunique() <= lone.count() and (out.groupby("sequence_id")["length"].sum() <= 2048).all()
 
 
+def test_rounds_release_the_driver(spark, monkeypatch):
+    released = []
+    monkeypatch.setattr(jaccard, "release", released.append)
+    say = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(say)), (2, " ".join([*say, "end"])), (3, "other words here")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and released
+
+
 def test_near_copies_by_row(spark):
     import corpus_pipeline as cp
     say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
