@@ -6,11 +6,14 @@ pairs of the remaining tokens; the 3,000 most frequent terms with document
 frequency >= 3 and <= 85 %; weight = count * (ln((1+n)/(1+df)) + 1); rows
 L2-normalised.
 
-Terms are counted inside their row and written once; one aggregation gives the
-vocabulary, and the weights of a row are looked up without a shuffle.  Rows
-``(keys, idx, w)`` are written in as many partitions as asked for, and every
-iteration of the fits is one pass over that table: a task returns partial
-sums, which Spark adds up per cell.  The driver holds the vocabulary, the
+The words of a text are written once, joined by spaces.  Terms that are
+frequent in a sample and all single words are counted in all rows; that gives
+a count below which no term is in the vocabulary, and only pairs that may reach
+it are counted besides (``frequent_terms``; the result is exact).  The weights
+of a row are looked up without a shuffle.  Rows ``(keys, idx, w)`` are written;
+k-means packs them into bytes once, and every iteration of the fits is one pass
+over a written table: a task returns partial sums, which are added up per cell
+or per centre.  The driver holds the vocabulary, the
 centres of all restarts (10 x 8 x 3,000 numbers) or a 3,000 x 12 block, never
 rows; nothing is cached, so nothing has to be released.
 """
@@ -27,13 +30,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paygrid import rules as R
-from paygrid.arrow import list_sizes, spans
+from paygrid.arrow import list_sizes, spans, text_sizes
 from paygrid.operators.common import median
 from paygrid.session import write_out
 
 CHUNK = 262_144                # words or stored weights that a task works on at a time
 BLOCK_CELLS = 65_536           # numbers of a product that are in work at once: they stay in a core's cache
-DENSE, DENSE_ROWS = 25, 128    # rows with more than one weight in 25 terms are multiplied as dense rows, 128 at once
+PAD = 8                        # rows are multiplied together with others of the same number of weights, rounded up to this
+PACK = 256                     # weights in a row of bytes: Spark reads thousands of such rows at once
+GUESS_ROWS = 20_000            # rows in which terms are looked for that are likely to be frequent
+PIECE = 4_194_304              # words in which pairs are counted at once
+DENSE, DENSE_ROWS = 16, 128    # rows with more than one weight in 16 terms are multiplied as dense rows, 128 at once
 KMEANS_ITERATIONS, KMEANS_MOVE = 20, 1e-4
 KMEANS_START_ROWS = 2_048      # rows (least hashes) on which the starting centres are chosen; all passes cover all rows
 SVD_BLOCK, SVD_ITERATIONS, SVD_RESIDUAL = 12, 80, 1e-8
@@ -110,41 +117,201 @@ def vocabulary(terms: DataFrame, n: int, max_features: int) -> DataFrame:
         (F.col("df") >= R.TFIDF_MIN_DF) & (F.col("df") <= R.TFIDF_MAX_DF * n)).orderBy(F.desc("total"), "term").limit(max_features)
 
 
+def words_of(text: Column) -> Column:
+    """The words of the lower-cased text, stop words too, with a space between."""
+    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w\w+"), F.lit(0)), " ")
+
+
+def numbered(texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray, np.ndarray]]:
+    """``(first row, row after the last, names, code, row)`` of a bounded part of
+    the texts: the number in ``names`` of each word that is no stop word, and its row."""
+    for i, j in spans(text_sizes(texts), 8 * CHUNK):
+        lists = pc.split_pattern(texts.slice(i, j - i), " ")
+        coded = lists.flatten().dictionary_encode()
+        code, row = coded.indices.to_numpy(), np.repeat(np.arange(j - i), list_sizes(lists))
+        out = pc.is_in(coded.dictionary, value_set=pa.array(["", *R.SPARK_ENGLISH_STOPWORDS], pa.string()))
+        kept = ~out.to_numpy(zero_copy_only=False)[code]
+        yield i, j, coded.dictionary, code[kept].astype(np.int64), row[kept]
+
+
+def numbers_in(names: pa.Array, values: list[str]) -> np.ndarray:
+    """The place of each name in ``values``, or -1."""
+    return pc.fill_null(pc.index_in(names, value_set=pa.array(values, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def neighbours(word: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``first * size + second`` and row of words next to each other that have numbers (not -1)."""
+    ok = (word[:-1] >= 0) & (word[1:] >= 0) & (row[:-1] == row[1:])
+    return word[:-1][ok] * size + word[1:][ok], row[1:][ok]
+
+
+@dataclass
+class Pairs:
+    """Pairs of words as rising ``codes`` (``first * len(words) + second``), and
+    the place that each has in the list they come from."""
+    words: list[str]
+    codes: np.ndarray
+    place: np.ndarray
+
+    @staticmethod
+    def of(terms: list[str]) -> Pairs:
+        pairs = [(t.split(" "), i) for i, t in enumerate(terms) if " " in t]
+        number = {w: k for k, w in enumerate(dict.fromkeys(w for p, _ in pairs for w in p))}
+        codes = np.array([number[a] * len(number) + number[b] for (a, b), _ in pairs], np.int64)
+        order = np.argsort(codes)
+        return Pairs(list(number), codes[order], np.array([i for _, i in pairs], np.int64)[order])
+
+    def found(self, names: pa.Array, code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, row)`` of each occurrence."""
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cells, row = neighbours(numbers_in(names, self.words)[code], row, len(self.words))
+        at = np.minimum(np.searchsorted(self.codes, cells), len(self.codes) - 1)
+        same = self.codes[at] == cells
+        return self.place[at[same]], row[same]
+
+
+def counted_once(row: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """In how many rows each of ``size`` values is."""
+    cells = np.sort(row * size + value)
+    return np.bincount(cells[np.diff(cells, prepend=-1) != 0] % max(size, 1), minlength=size)
+
+
+def count_terms(words: DataFrame, pairs: list[str], single: bool) -> DataFrame:
+    """``(term, total, df)`` of the given pairs and, if ``single``, of all words;
+    the null term has the number of words.  Words are added up inside a task."""
+    shared = words.sparkSession.sparkContext.broadcast(Pairs.of(pairs))
+
+    def added(tables):
+        return pa.concat_tables(tables).group_by("term", use_threads=False).aggregate([("n", "sum"), ("df", "sum")]).select(
+            ["term", "n_sum", "df_sum"]).rename_columns(["term", "n", "df"])
+
+    def table(terms, n, df):
+        return pa.table({"term": terms.cast(pa.string()), "n": n.astype(np.int64), "df": df.astype(np.int64)})
+
+    def run(batches):
+        known, held, size, every = shared.value, [], 0, 0
+        total, df = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+        for batch in batches:
+            for _, _, names, code, row in numbered(batch.column(0)):
+                every += len(code)
+                place, of = known.found(names, code, row)
+                total += np.bincount(place, minlength=len(pairs))
+                df += counted_once(of, place, len(pairs))
+                if not single:
+                    continue
+                n = np.bincount(code, minlength=len(names))
+                has = np.flatnonzero(n)
+                held.append(table(names.take(pa.array(has)), n[has], counted_once(row, code, len(names))[has]))
+                size += len(has)
+                if size > 4 * CHUNK:
+                    held = [added(held)]
+                    size = len(held[0])
+                    if size > 2 * CHUNK:
+                        yield from held[0].combine_chunks().to_batches()
+                        held, size = [], 0
+        has = np.flatnonzero(total)
+        held.append(table(pa.array([pairs[i] for i in has], pa.string()), total[has], df[has]))
+        held.append(table(pa.array([None], pa.string()), np.array([every]), np.array([0])))
+        yield from added(held).combine_chunks().to_batches()
+
+    each = words.select("_words").mapInArrow(run, "term string, n long, df long")
+    return each.groupBy("term").agg(F.sum("n").alias("total"), F.sum("df").alias("df"))
+
+
+def likely_pairs(words: DataFrame, known: list[str], least: int, every: int) -> DataFrame:
+    """All pairs of ``known`` words that may be in the texts ``least`` times:
+    such a pair has, in some piece of the texts, that piece's share of ``least``."""
+    shared, size = words.sparkSession.sparkContext.broadcast(known), len(known)
+
+    def likely(held, here):
+        codes = np.sort(np.concatenate(held))
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        many = np.diff(np.append(starts, len(codes)))
+        first, second = np.divmod(codes[starts[many * float(every) >= least * float(here) * (1 - 1e-9)]], max(size, 1))
+        names = pa.array(shared.value, pa.string())
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), " ")], names=["term"])
+
+    def run(batches):
+        held, here = [], 0
+        for batch in batches:
+            for _, _, names, code, row in numbered(batch.column(0)):
+                held.append(neighbours(numbers_in(names, shared.value)[code], row, size)[0])
+                here += len(code)
+                if here > PIECE:
+                    yield from likely(held, here)
+                    held, here = [], 0
+        if held:
+            yield from likely(held, here)
+
+    return words.select("_words").mapInArrow(run, "term string").distinct()
+
+
+def frequent_terms(words: DataFrame, n: int, max_features: int, sample: int = GUESS_ROWS) -> tuple[list[str], list[int]]:
+    """Terms and document frequencies of ``vocabulary`` over the rows of ``_words``.
+
+    Terms frequent in a sample are counted in all rows, with all single words.
+    The last of the ``max_features`` best so far is the least count that a term
+    of the result can have: rarer words are in none, and a pair of the others is
+    counted if some piece of the texts holds that count's share of it.  The
+    sample decides on the time only."""
+    def best(counts):
+        return counts.where(F.col("term").isNotNull() & (F.col("df") >= R.TFIDF_MIN_DF) & (F.col("df") <= R.TFIDF_MAX_DF * n)).orderBy(
+            F.desc("total"), "term").limit(max_features).collect()
+
+    guess = words.sample(min(1.0, sample / max(n, 1)), R.KMEANS_SEED) if n > sample else words
+    guess = vocabulary(guess.select(terms_of(F.col("_words")).alias("_terms")), n, max_features if n <= sample else 2 * max_features).collect()
+    if n <= sample:
+        return [r.term for r in guess], [r.df for r in guess]
+    guess = [r.term for r in guess if " " in r.term]
+    counts = write_out(count_terms(words, guess, single=True).where(F.col("term").isNull() | (F.col("df") >= R.TFIDF_MIN_DF)), "counts")
+    found = best(counts)
+    least = max(R.TFIDF_MIN_DF, found[-1].total if len(found) == max_features else 0)
+    every = counts.where("term is null").collect()[0].total
+    known = [r.term for r in counts.where(F.col("total") >= least).where(~F.col("term").contains(" ")).select("term").collect()]
+    more = sorted({r.term for r in likely_pairs(words, known, least, every).collect()} - set(guess))
+    if more:
+        found = sorted(found + best(count_terms(words, more, single=False)), key=lambda r: (-r.total, r.term))[:max_features]
+    return [r.term for r in found], [r.df for r in found]
+
+
 def tfidf(df: DataFrame, text: str = "description_md", keep: list[str] | None = None,
           max_features: int = R.TFIDF_MAX_FEATURES, partitions: int | None = None) -> Matrix:
     """TF-IDF rows of all texts that are not null (a text without known terms
-    is a row without weights).  ``partitions``: how many the row table has, by
-    default as many as shuffles."""
+    is a row without weights).  ``partitions``: in how many parts the words are
+    written, by default as many as shuffles."""
     keep = keep or []
     spark = df.sparkSession
-    terms = write_out(df.where(F.col(text).isNotNull()).select(*keep, terms_of(F.col(text)).alias("_terms")), "terms", compression="zstd")
-    n = terms.count()
-    known = vocabulary(terms, n, max_features).collect()
-    vocab = [r.term for r in known]
-    shared = spark.sparkContext.broadcast((vocab, np.log((1 + n) / (1 + np.array([r.df for r in known], float))) + 1))
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = write_out(df.where(F.col(text).isNotNull()).select(*keep, words_of(F.col(text)).alias("_words")).repartition(parts), "words", compression="zstd")
+    n = words.count()
+    vocab, dfs = frequent_terms(words, n, max_features)
+    shared = spark.sparkContext.broadcast((vocab, Pairs.of(vocab), np.log((1 + n) / (1 + np.array(dfs, float))) + 1))
 
     def run(batches):
-        names, idf = shared.value
-        names = pa.array(names, pa.string())
+        vocab, pairs, idf = shared.value
+        size = max(len(vocab), 1)
+        by_term = np.array(sorted(range(len(vocab)), key=lambda i: vocab[i]), np.int64)
+        rank = np.argsort(by_term)
         for batch in batches:
-            for i, j in spans(list_sizes(batch.column(len(keep))), CHUNK):
-                part = batch.slice(i, j - i)
-                lists = part.column(len(keep))
-                flat = lists.flatten()
-                at = pc.index_in(flat.field("first"), value_set=names)
-                has = at.is_valid().to_numpy(zero_copy_only=False)
-                col, row = at.drop_null().to_numpy(), np.repeat(np.arange(len(lists)), list_sizes(lists))[has]
-                w = flat.field("n").to_numpy(zero_copy_only=False)[has] * idf[col] if len(col) else np.zeros(0)
-                norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(lists)))
-                order = np.lexsort((col, row))
-                off = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+            for i, j, names, code, row in numbered(batch.column(len(keep))):
+                col = numbers_in(names, vocab)[code]
+                has = col >= 0
+                second, of = pairs.found(names, code, row)
+                cells = np.sort(np.concatenate([row[has], of]) * size + rank[np.concatenate([col[has], second])])
+                starts = np.flatnonzero(np.diff(cells, prepend=-1))
+                row, col = np.divmod(cells[starts], size)
+                col = by_term[col]
+                w = np.diff(np.append(starts, len(cells))) * idf[col] if len(col) else np.zeros(0)
+                norm = np.sqrt(np.bincount(row, weights=w * w, minlength=j - i))
+                order = np.argsort(row * size + col)
+                off = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:len(keep)], pa.ListArray.from_arrays(off, pa.array(col[order].astype(np.int32))),
+                    [*batch.slice(i, j - i).columns[:len(keep)], pa.ListArray.from_arrays(off, pa.array(col[order].astype(np.int32))),
                      pa.ListArray.from_arrays(off, pa.array((w / norm[row])[order] if len(w) else w))], names=[*keep, "idx", "w"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "idx array<int>, w array<double>"])
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return Matrix(write_out(terms.mapInArrow(run, schema).repartition(parts), "tfidf"), vocab, n)
+    return Matrix(write_out(words.mapInArrow(run, schema), "tfidf"), vocab, n)
 
 
 def tfidf_matrix(df: DataFrame, text: str = "description_md", key: str = "job_id",
@@ -170,22 +337,32 @@ def chunks(batch: pa.RecordBatch, idx: int, w: int) -> Iterator[tuple[int, int,
 
 
 def times(rows: int, row: np.ndarray, col: np.ndarray, val: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Product of the rows of a chunk with a dense block: rows with many weights as dense rows, others weight by weight."""
-    out = np.zeros((rows, block.shape[1]))
-    if len(row) * DENSE > rows * len(block):
-        ends = np.searchsorted(row, np.arange(0, rows + DENSE_ROWS, DENSE_ROWS))
-        for r, i, j in zip(range(0, rows, DENSE_ROWS), ends, ends[1:]):
-            x = np.zeros((min(DENSE_ROWS, rows - r), len(block)))
-            x[row[i:j] - r, col[i:j]] = val[i:j]
-            out[r:r + len(x)] = x @ block
-        return out
-    step = max(1, BLOCK_CELLS // max(block.shape[1], 1))
-    for i in range(0, len(row), step):
-        here = row[i:i + step]
-        first = np.flatnonzero(np.diff(here, prepend=-1))
-        part = block[col[i:i + step]]
-        part *= val[i:i + step, None]
-        out[here[first]] += np.add.reduceat(part, first, axis=0)
+    """Product of the rows of a chunk with a dense block.  Rows of like width
+    (their weights filled up with zeros to a multiple of ``PAD``) are small
+    products done together, rows with many weights are multiplied as dense rows."""
+    out, width = np.zeros((rows, block.shape[1])), block.shape[1]
+    many = np.bincount(row, minlength=rows)
+    start = np.cumsum(many) - many
+    size = -(-many // PAD) * PAD
+    size[many * DENSE > len(block)] = -1
+    order = np.argsort(size, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(size[order], prepend=-2)), rows)
+    for i, j in zip(ends, ends[1:]):
+        k = int(size[order[i]])
+        if k == 0 or not width:
+            continue
+        step = DENSE_ROWS if k < 0 else max(1, BLOCK_CELLS // (k * width))
+        for here in (order[x:min(x + step, j)] for x in range(i, j, step)):
+            if k < 0:
+                at = np.concatenate([np.arange(start[r], start[r] + many[r]) for r in here])
+                x = np.zeros((len(here), len(block)))
+                x[np.repeat(np.arange(len(here)), many[here]), col[at]] = val[at]
+                out[here] = x @ block
+            else:
+                at = start[here, None] + np.arange(k)
+                x = np.where(np.arange(k) < many[here, None], val.take(at, mode="clip"), 0.0)
+                part = block.take(col.take(at, mode="clip").ravel(), axis=0, mode="clip").reshape(len(here), k, width)
+                out[here] = np.matmul(x[:, None, :], part)[:, 0]
     return out
 
 
@@ -279,7 +456,10 @@ class Clusters:
 
 
 def distances(x2: np.ndarray, dots: np.ndarray, c2: np.ndarray) -> np.ndarray:
-    return np.maximum(x2[:, None] - 2 * dots + c2, 0)
+    out = dots * -2
+    out += x2[:, None]
+    out += c2
+    return np.maximum(out, 0, out=out)
 
 
 def starting_centers(m: Matrix, k: int, seeds: list[int]) -> np.ndarray:
@@ -303,8 +483,33 @@ def starting_centers(m: Matrix, k: int, seeds: list[int]) -> np.ndarray:
     return np.array(out)
 
 
-def one_pass(m: Matrix, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(sums, counts, costs)`` of all rows under all restarts at once."""
+def packed(m: Matrix) -> DataFrame:
+    """The weights of a few neighbouring rows as one row of bytes (sizes, idx, w):
+    Spark hands them to the tasks as they are, number by number it takes longer."""
+    def run(batches):
+        for batch in batches:
+            for i, j, row, col, val in chunks(batch, 0, 1):
+                many = np.bincount(row, minlength=j - i)
+                off = np.concatenate([[0], np.cumsum(many)])
+                parts = list(spans(many, PACK))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([many[x:y].astype(np.int32).tobytes() for x, y in parts], pa.binary()),
+                    pa.array([col[off[x]:off[y]].astype(np.int32).tobytes() for x, y in parts], pa.binary()),
+                    pa.array([val[off[x]:off[y]].tobytes() for x, y in parts], pa.binary())], names=["sizes", "idx", "w"])
+    return m.rows.select("idx", "w").mapInArrow(run, "sizes binary, idx binary, w binary")
+
+
+def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(weights of each row, idx, w)`` of a bounded part of packed rows."""
+    many, col, val = (np.frombuffer(b"".join(c.to_pylist()), t) for c, t in zip(batch.columns, (np.int32, np.int32, np.float64)))
+    off = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
+    for i, j in spans(many, CHUNK):
+        yield many[i:j], col[off[i]:off[j]], val[off[i]:off[j]]
+
+
+def one_pass(m: Matrix, centers: np.ndarray, blocks: DataFrame | None = None, with_costs: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(sums, counts, costs)`` of all rows under all restarts at once (costs:
+    zeros if not asked for).  ``blocks``: the written ``packed`` rows of ``m``."""
     runs, k, size = centers.shape
     shared = m.rows.sparkSession.sparkContext.broadcast(centers)
 
@@ -313,28 +518,38 @@ def one_pass(m: Matrix, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
         flat, c2 = np.ascontiguousarray(c.reshape(runs * k, size).T), (c * c).sum(axis=2).ravel()
         sums, counts, costs = np.zeros((runs, k * size)), np.zeros((runs, k)), np.zeros(runs)
         for batch in batches:
-            for i, j, row, col, val in chunks(batch, 0, 1):
-                x2 = np.bincount(row, weights=val * val, minlength=j - i)
-                d = distances(x2, times(j - i, row, col, val, flat), c2).reshape(j - i, runs, k)
-                label = d.argmin(axis=2)
-                costs += d.min(axis=2).sum(axis=0)
+            for many, col, val in unpacked(batch):
+                row = np.repeat(np.arange(len(many)), many)
+                x2 = np.bincount(row, weights=val * val, minlength=len(many))
+                d = distances(x2, times(len(many), row, col, val, flat), c2).reshape(len(many), runs, k)
+                label = d.argmin(axis=2).T
+                if with_costs:
+                    costs += d.min(axis=2).sum(axis=0)
                 for r in range(runs):
-                    counts[r] += np.bincount(label[:, r], minlength=k)
-                    sums[r] += np.bincount(label[row, r] * size + col, weights=val, minlength=k * size)
-        at = np.flatnonzero(sums.ravel())
-        cell = np.concatenate([at // size, np.arange(runs * k), np.arange(runs)])
-        term = np.concatenate([at % size, np.full(runs * k, -1), np.full(runs, -2)])
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(term.astype(np.int32)),
-                                          pa.array(np.concatenate([sums.ravel()[at], counts.ravel(), costs]))], names=["cell", "term", "s"])
-
-    got = m.rows.select("idx", "w").mapInArrow(run, "cell int, term int, s double").groupBy("cell", "term").agg(F.sum("s").alias("s")).toArrow()
+                    counts[r] += np.bincount(label[r], minlength=k)
+                    sums[r] += np.bincount(np.repeat(label[r] * size, many) + col, weights=val, minlength=k * size)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(runs * k + 1, dtype=np.int32)),
+             pa.array([*(np.append(s, n).tobytes() for s, n in zip(sums.reshape(runs * k, size), counts.ravel())), costs.tobytes()], pa.binary())], names=["cell", "s"])
+
+    def add(batches):
+        total = {}
+        for batch in batches:
+            for cell, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = np.frombuffer(s.as_buffer())
+                total[cell] = total[cell] + s if cell in total else s
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([s.tobytes() for s in total.values()], pa.binary())], names=["cell", "s"])
+
+    blocks = packed(m) if blocks is None else blocks
+    got = blocks.mapInArrow(run, "cell int, s binary").repartition("cell").mapInArrow(add, "cell int, s binary").collect()
     shared.unpersist()
-    cell, term, s = (got[c].to_numpy() for c in ("cell", "term", "s"))
     sums, counts, costs = np.zeros((runs * k, size)), np.zeros(runs * k), np.zeros(runs)
-    for kind, out in ((-1, counts), (-2, costs)):
-        out[cell[term == kind]] = s[term == kind]
-    inside = term >= 0
-    sums[cell[inside], term[inside]] = s[inside]
+    for cell, s in got:
+        s = np.frombuffer(s)
+        if cell == runs * k:
+            costs += s
+        else:
+            sums[cell], counts[cell] = s[:-1], s[-1]
     return sums.reshape(runs, k, size), counts.reshape(runs, k), costs
 
 
@@ -343,17 +558,18 @@ def kmeans_best(m: Matrix, k: int = R.KMEANS_K, seed: int = R.KMEANS_SEED, resta
     an iteration, for the restarts whose centres still move; the model of least
     cost stays."""
     seeds = [seed + i for i in range(restarts)]
+    blocks = write_out(packed(m), "blocks")
     centers = starting_centers(m, k, seeds)
     moving = np.arange(restarts)
     for _ in range(KMEANS_ITERATIONS):
-        sums, counts, _ = one_pass(m, centers[moving])
+        sums, counts, _ = one_pass(m, centers[moving], blocks, with_costs=False)
         new = np.where(counts[:, :, None] > 0, sums / np.maximum(counts, 1)[:, :, None], centers[moving])
         step = np.linalg.norm(new - centers[moving], axis=2).max(axis=1)
         centers[moving] = new
         moving = moving[step > KMEANS_MOVE]
         if not len(moving):
             break
-    costs = one_pass(m, centers)[2]
+    costs = one_pass(m, centers, blocks)[2]
     best = int(costs.argmin())
     return Clusters(centers[best], float(costs[best]), list(zip(seeds, costs.tolist(), strict=True)))
 
