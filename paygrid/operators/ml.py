@@ -36,7 +36,7 @@ from paygrid.session import write_out
 
 CHUNK = 262_144                # words or stored weights that a task works on at a time
 BLOCK_CELLS = 65_536           # numbers of a product that are in work at once: they stay in a core's cache
-PAD = 8                        # rows are multiplied together with others of the same number of weights, rounded up to this
+PAD = 4                        # rows are multiplied together with others of the same number of weights, rounded up to this
 PACK = 256                     # weights in a row of bytes: Spark reads thousands of such rows at once
 GUESS_ROWS = 20_000            # rows in which terms are looked for that are likely to be frequent
 PIECE = 4_194_304              # words in which pairs are counted at once
@@ -180,7 +180,7 @@ def counted_once(row: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
 def count_terms(words: DataFrame, pairs: list[str], single: bool) -> DataFrame:
     """``(term, total, df)`` of the given pairs and, if ``single``, of all words;
     the null term has the number of words.  Words are added up inside a task."""
-    shared = words.sparkSession.sparkContext.broadcast(Pairs.of(pairs))
+    shared, size = words.sparkSession.sparkContext.broadcast((Pairs.of(pairs), pairs)), len(pairs)
 
     def added(tables):
         return pa.concat_tables(tables).group_by("term", use_threads=False).aggregate([("n", "sum"), ("df", "sum")]).select(
@@ -190,26 +190,26 @@ def count_terms(words: DataFrame, pairs: list[str], single: bool) -> DataFrame:
         return pa.table({"term": terms.cast(pa.string()), "n": n.astype(np.int64), "df": df.astype(np.int64)})
 
     def run(batches):
-        known, held, size, every = shared.value, [], 0, 0
-        total, df = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+        (known, pairs), held, rows, every = shared.value, [], 0, 0
+        total, df = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for _, _, names, code, row in numbered(batch.column(0)):
                 every += len(code)
                 place, of = known.found(names, code, row)
-                total += np.bincount(place, minlength=len(pairs))
-                df += counted_once(of, place, len(pairs))
+                total += np.bincount(place, minlength=size)
+                df += counted_once(of, place, size)
                 if not single:
                     continue
                 n = np.bincount(code, minlength=len(names))
                 has = np.flatnonzero(n)
                 held.append(table(names.take(pa.array(has)), n[has], counted_once(row, code, len(names))[has]))
-                size += len(has)
-                if size > 4 * CHUNK:
+                rows += len(has)
+                if rows > 4 * CHUNK:
                     held = [added(held)]
-                    size = len(held[0])
-                    if size > 2 * CHUNK:
+                    rows = len(held[0])
+                    if rows > 2 * CHUNK:
                         yield from held[0].combine_chunks().to_batches()
-                        held, size = [], 0
+                        held, rows = [], 0
         has = np.flatnonzero(total)
         held.append(table(pa.array([pairs[i] for i in has], pa.string()), total[has], df[has]))
         held.append(table(pa.array([None], pa.string()), np.array([every]), np.array([0])))
@@ -355,14 +355,17 @@ def times(rows: int, row: np.ndarray, col: np.ndarray, val: np.ndarray, block: n
         for here in (order[x:min(x + step, j)] for x in range(i, j, step)):
             if k < 0:
                 at = np.concatenate([np.arange(start[r], start[r] + many[r]) for r in here])
-                x = np.zeros((len(here), len(block)))
-                x[np.repeat(np.arange(len(here)), many[here]), col[at]] = val[at]
-                out[here] = x @ block
+                cells = np.repeat(np.arange(len(here)) * len(block), many[here]) + col[at]
+                out[here] = np.bincount(cells, weights=val[at], minlength=len(here) * len(block)).reshape(len(here), -1) @ block
+                continue
+            first, last = here[0], here[-1]
+            if last - first + 1 == len(here) and start[last] + k - start[first] == len(here) * k and many[last] == k:   # side by side, as packed
+                x, at = val[start[first]:start[last] + k].reshape(-1, k), col[start[first]:start[last] + k]
             else:
                 at = start[here, None] + np.arange(k)
-                x = np.where(np.arange(k) < many[here, None], val.take(at, mode="clip"), 0.0)
-                part = block.take(col.take(at, mode="clip").ravel(), axis=0, mode="clip").reshape(len(here), k, width)
-                out[here] = np.matmul(x[:, None, :], part)[:, 0]
+                x, at = np.where(np.arange(k) < many[here, None], val.take(at, mode="clip"), 0.0), col.take(at, mode="clip").ravel()
+            part = block.take(at, axis=0, mode="clip").reshape(len(here), k, width)
+            out[here] = np.matmul(x[:, None, :], part)[:, 0]
     return out
 
 
@@ -484,24 +487,38 @@ def starting_centers(m: Matrix, k: int, seeds: list[int]) -> np.ndarray:
 
 
 def packed(m: Matrix) -> DataFrame:
-    """The weights of a few neighbouring rows as one row of bytes (sizes, idx, w):
-    Spark hands them to the tasks as they are, number by number it takes longer."""
+    """The weights of a few rows as one row of bytes (sizes, idx, w): Spark hands
+    them to the tasks as they are, number by number it takes longer.  Rows are
+    filled up to a multiple of ``PAD`` with weights of 0, those of like width next to each other."""
     def run(batches):
         for batch in batches:
             for i, j, row, col, val in chunks(batch, 0, 1):
                 many = np.bincount(row, minlength=j - i)
-                off = np.concatenate([[0], np.cumsum(many)])
-                parts = list(spans(many, PACK))
+                size = -(-many // PAD) * PAD
+                order = np.argsort(size, kind="stable")
+                off = np.concatenate([[0], np.cumsum(size[order])])
+                start = np.empty_like(many)
+                start[order] = off[:-1]
+                at = np.repeat(start - np.cumsum(many) + many, many) + np.arange(len(col))
+                size, idx, w = size[order].astype(np.int32), np.zeros(off[-1], np.int32), np.zeros(off[-1])
+                idx[at], w[at] = col, val
+                parts = list(spans(size, PACK))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([many[x:y].astype(np.int32).tobytes() for x, y in parts], pa.binary()),
-                    pa.array([col[off[x]:off[y]].astype(np.int32).tobytes() for x, y in parts], pa.binary()),
-                    pa.array([val[off[x]:off[y]].tobytes() for x, y in parts], pa.binary())], names=["sizes", "idx", "w"])
+                    pa.array([size[x:y].tobytes() for x, y in parts], pa.binary()),
+                    *(pa.array([v[off[x]:off[y]].tobytes() for x, y in parts], pa.binary()) for v in (idx, w))], names=["sizes", "idx", "w"])
     return m.rows.select("idx", "w").mapInArrow(run, "sizes binary, idx binary, w binary")
 
 
+def numbers_of(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of all rows of bytes, without a copy."""
+    _, off, data = column.cast(pa.binary()).buffers()
+    off = np.frombuffer(off, np.int32, len(column) + 1, column.offset * 4) if len(column) else [0, 0]
+    return np.frombuffer(data, np.uint8)[off[0]:off[-1]].view(kind) if off[-1] > off[0] else np.zeros(0, kind)
+
+
 def unpacked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """``(weights of each row, idx, w)`` of a bounded part of packed rows."""
-    many, col, val = (np.frombuffer(b"".join(c.to_pylist()), t) for c, t in zip(batch.columns, (np.int32, np.int32, np.float64)))
+    many, col, val = (numbers_of(c, t) for c, t in zip(batch.columns, (np.int32, np.int32, np.float64)))
     off = np.concatenate([[0], np.cumsum(many, dtype=np.int64)])
     for i, j in spans(many, CHUNK):
         yield many[i:j], col[off[i]:off[j]], val[off[i]:off[j]]
